@@ -27,9 +27,9 @@ LOCALITY_KINDS = {
     "colony": "colony col colny clny cly kolony coloni कॉलोनी कालोनी", "township": "township twp twnshp tship twnship townshp towship twship टाउनशिप", "kunj": "kunj knj kunjj कुंज कुन्ज", "bagh": "bagh bag baagh baag bgh बाग", "khurd": "khurd khrd khurdh khuurd khud खुर्द",
 }
 STREET_KINDS = {
-    "homes": "homes home hms", "heights": "heights hts hgts hghts height", "apartments": "apartments apartment apts apt. appts aptmts apartmnts", "residency": "residency resi residancy rsdncy residencey", "greens": "greens grns green grn", "meadows": "meadows mdws meadow meadws",
+    "homes": "homes home hms", "heights": "heights hts hgts hghts height", "apartments": "apartments apartment apts apt appts aptmts apartmnts", "residency": "residency resi resdy resdcy residancy rsdncy residencey", "greens": "greens grns green grn", "meadows": "meadows mdws meadow meadws",
     "court": "court crt ct courtt", "manor": "manor mnr manour manr", "terraces": "terraces terr terrace trcs terrs", "towers": "towers tower twrs twrss", "floors": "floors flrs floor flr", "habitat": "habitat hab habitt hbt", "crescent": "crescent cres cresc crsnt crescnt",
-    "road": "road rd raod", "street": "street str st", "lane": "lane ln", "gali": "gali gali gly galli galy", "marg": "marg mrg maarg", "path": "path pathh paath", "avenue": "avenue ave av avn avenu",
+    "road": "road rd raod", "street": "street str st", "lane": "lane ln", "gali": "gali gali gly galli galy", "marg": "marg mrg maarg", "path": "path pathh paath pth", "avenue": "avenue ave av avn avenu",
 }
 _KIND = {w: k for table in (LOCALITY_KINDS, STREET_KINDS) for k, ws in table.items() for w in ws.split()}
 #: Words that carry no part of a place's name.
