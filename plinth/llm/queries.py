@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plinth.llm.address import same_address_pairs
 from plinth.llm.canonical import canonical_localities
 from plinth.session import table
 
@@ -13,9 +14,13 @@ def listings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return a.select(*columns).unionByName(b.select(*columns))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_address_pairs(listings(spark, sf_dir, "listing_id", "city", "locality", "address_full"), table(spark, sf_dir, "gazetteer"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_localities(listings(spark, sf_dir, "listing_id", "city", "locality"), table(spark, sf_dir, "gazetteer"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found)}
 ORACLE: dict[str, str] = {}
