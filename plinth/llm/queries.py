@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm.address import same_address_pairs
 from plinth.llm.canonical import canonical_localities
+from plinth.llm.leak import leaked_passages
 from plinth.llm.packing import pack, token_counts
 from plinth.llm.percentiles import market_percentiles
 from plinth.session import table
@@ -37,7 +38,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_localities(listings(spark, sf_dir, "listing_id", "city", "locality"), table(spark, sf_dir, "gazetteer"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p5_found, p8_packed)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "passage"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p5_found, p8_packed, p9_found)}
 
 #: The same buckets, counted and cut at the same ranks without windows over partitions.
 _P3 = """
