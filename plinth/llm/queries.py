@@ -11,6 +11,7 @@ from plinth.llm.canonical import canonical_localities
 from plinth.llm.leak import leaked_passages
 from plinth.llm.packing import pack, token_counts
 from plinth.llm.percentiles import market_percentiles
+from plinth.llm.spam import stuffed_pages
 from plinth.session import table
 
 #: Where the public tokenizer's ranks file lies; a parameter of the packing query, never part of the repository.
@@ -42,7 +43,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "passage"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p5_found, p8_packed, p9_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p5_found, p8_packed, p9_found, p10_found)}
 
 #: The same buckets, counted and cut at the same ranks without windows over partitions.
 _P3 = """
