@@ -13,10 +13,10 @@ KM_PER_DEGREE = 111.19  # a little under the length of a degree of latitude at E
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km (radius 6371.0088)."""
+    """Great-circle distance in km (radius 6371.0088); NULL if any coordinate is."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))  # least() alone would skip a NULL
 
 
 def restored_position(lat: Column, lon: Column, lat_range: tuple[float, float] = (8.0, 37.0), lon_range: tuple[float, float] = (68.0, 97.0)) -> Column:

@@ -56,3 +56,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unhinted. Counts at most ``max_rows + 1`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each application, so that they need no installed copy."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).parent
+        # only the driver reads this file: it serves it to the executors itself
+        folder = tempfile.mkdtemp(prefix="plinth-code-")
+        shutil.copytree(root, f"{folder}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/src"))
+        _SHIPPED.add(app)
