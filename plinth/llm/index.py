@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.session import bounded_broadcast
-
 
 def deletions(c: Column, most: int = 1) -> Column:
     """The distinct strings left by deleting up to ``most`` (0, 1 or 2) characters of ``c``."""
@@ -24,7 +22,7 @@ def deletions(c: Column, most: int = 1) -> Column:
     return F.array_distinct(F.concat(F.array(c), one, two))
 
 
-def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6, broadcast_rows: int = 1_000_000) -> DataFrame:
+def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6) -> DataFrame:
     """word, entry, distance: words and vocabulary entries at most 0, 1 or 2 edits apart, by the word's length.
 
     Both sides are one column of distinct strings (``word``, ``entry``). Words under ``short`` characters must be
@@ -36,7 +34,7 @@ def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long:
     w = words.where("word is not null and word <> ''").select("word", F.explode(F.when(n < short, deletions(F.col("word"), 0)).when(n < long, deletions(F.col("word"), 1)).otherwise(deletions(F.col("word"), 2))).alias("v"))
     e = vocabulary.where("entry is not null and entry <> ''").select("entry", F.explode(deletions(F.col("entry"), 2)).alias("v"))
     most = F.when(n < short, 0).when(n < long, 1).otherwise(2)
-    hits = w.join(bounded_broadcast(e, broadcast_rows), "v").select("word", "entry").distinct()
+    hits = w.join(e, "v").select("word", "entry").distinct()
     d = F.levenshtein("word", "entry")
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (d == 2) & (F.length("word") == F.length("entry")) & (letters("word") == letters("entry"))
