@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plinth.llm.address import same_address_pairs
 from plinth.llm.canonical import canonical_localities
 from plinth.llm.leak import leaked_passages
+from plinth.llm.match import matched_listings
 from plinth.llm.packing import pack, token_counts
 from plinth.llm.percentiles import market_percentiles
 from plinth.llm.spam import stuffed_pages
@@ -35,6 +36,14 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
 
 
+def p4_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_listings(table(spark, sf_dir, "listing_src1"), table(spark, sf_dir, "listing_src2"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matched(spark, sf_dir).select("listing_id_a", "listing_id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_localities(listings(spark, sf_dir, "listing_id", "city", "locality"), table(spark, sf_dir, "gazetteer"))
 
@@ -47,7 +56,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p5_found, p8_packed, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p4_found, p4_matched, p5_found, p8_packed, p9_found, p10_found)}
 
 #: The same buckets, counted and cut at the same ranks without windows over partitions.
 _P3 = """
