@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plinth.session import written
 
@@ -140,8 +139,13 @@ def spectra(documents: DataFrame) -> DataFrame:
                 words = _TOKEN.findall(t.lower())
                 if not words:
                     continue
-                own = sum("ऀ" <= w[0] <= "ॿ" for w in words)
-                out += [(i, "deva" if 2 * own > len(words) else "latn", len(words), f, v, m) for (f, m), v in Counter((f, not w[0].isalnum()) for w, f in Counter(words).items()).items()]
+                n, times = len(words), Counter(words)
+                own = 0 if t.isascii() else sum(f for w, f in times.items() if "ऀ" <= w[0] <= "ॿ")
+                script = "deva" if 2 * own > n else "latn"
+                marks = Counter(f for w, f in times.items() if len(w) == 1 and not w.isalnum())
+                every = Counter(times.values())
+                every.subtract(marks)
+                out += [(i, script, n, f, v, False) for f, v in every.items() if v] + [(i, script, n, f, v, True) for f, v in marks.items()]
             yield pd.DataFrame(out, columns=["doc_id", "script", "n", "f", "v", "mark"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -168,6 +172,7 @@ def curve_features(spectrum: DataFrame) -> DataFrame:
     vxx, vxy, vyy = F.expr("sxx - sx * sx / w"), F.expr("sxy - sx * sy / w"), F.expr("syy - sy * sy / w")
     slope = F.when(vxx > 1e-9, vxy / vxx).otherwise(0.0)
     fit = fit.withColumns({"slope": slope, "residual": F.sqrt(F.greatest(F.lit(0.0), (vyy - slope * vxy) / F.col("w")))})
+    fit = written(fit.select("doc_id", "script", "size", "slope", "residual", *[f"c{c}" for c in range(10)]), "curves")  # read twice below
     like = fit.groupBy("script", "size").agg(*[F.avg(f"c{c}").alias(f"m{c}") for c in range(10)])
     total = F.lit(0.0)
     for c in range(10):
@@ -175,11 +180,6 @@ def curve_features(spectrum: DataFrame) -> DataFrame:
     return fit.join(F.broadcast(like), ["script", "size"]).select("doc_id", "script", "size", "slope", "residual", total.alias("divergence"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _share(s: pd.Series) -> pd.Series:
-    return s.map(stuffed_share).astype("float64")
-
-
 def stuffed_pages(documents: DataFrame, *, most: float = 0.5, spread: float = 0.5, few: int = 20) -> DataFrame:
     """doc_id, share, slope, residual, divergence of the pages of which more than ``most`` is search phrases, links or tags.
 
@@ -188,7 +188,7 @@ def stuffed_pages(documents: DataFrame, *, most: float = 0.5, spread: float = 0.
     Null and empty texts, and texts without a word or mark, are in no row. Repeated rows of one id with one text are one page. Empty input
     gives an empty result. Runs jobs.
     """
-    x = written(curve_features(spectra(documents)), "curves")
+    x = curve_features(spectra(documents))
     names = ["slope", "residual", "divergence"]
     q = x.groupBy("script", "size").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(f"q_{c}") for c in names], F.count("*").alias("pages"))
     out = F.col("pages") < few
@@ -198,4 +198,12 @@ def stuffed_pages(documents: DataFrame, *, most: float = 0.5, spread: float = 0.
         out = out | (far if c == "divergence" else far | (F.col(c) < lo - spread * (hi - lo)))
     flagged = x.join(F.broadcast(q), ["script", "size"]).where(out).select("doc_id", *names)  # a row for each script and power of two on the right
     texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
-    return texts.join(flagged, "doc_id").select("doc_id", _share("text").alias("share"), *names).where(F.col("share") > most).distinct()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            share = b["text"].map(stuffed_share).astype("float64")
+            yield b.assign(share=share)[share > most][["doc_id", "share", *names]]
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    # a map keeps the judging behind the join, where an expression would be moved in front of it
+    return texts.join(flagged, "doc_id").mapInPandas(judge, f"doc_id {kind}, share double, slope double, residual double, divergence double").distinct()
