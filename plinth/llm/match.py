@@ -18,7 +18,7 @@ from plinth.session import written
 
 BANDS = 24
 _BONES = re.compile("[aeiouy]")
-_FEATURES = "listing_id long, src int, entity string, kind string, area double, price double, lat double, lon double, floor int, floors int, bathrooms int, balconies int, facing string, bhk int, society string, place string, letter string, number string, phase int, bands array<long>"
+_FEATURES = "listing_id long, src int, entity string, kind string, area double, price double, lat double, lon double, floor int, floors int, bathrooms int, balconies int, facing string, bhk int, society string, place string, letter string, number string, phase int, sign int, bands array<int>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,6 +49,24 @@ def minhash(tokens: np.ndarray, present: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def _sign(area: np.ndarray, price: np.ndarray, floor: np.ndarray, floors: np.ndarray, bathrooms: np.ndarray, balconies: np.ndarray) -> np.ndarray:
+    """What two rows of one dwelling must agree in, coarsely, in 31 bits; 0 in a field stands for unknown."""
+    part = lambda x, lo, hi: np.where(np.isnan(x) | (x < lo) | (x > hi), 0, np.nan_to_num(x) - lo + 1).astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, p = np.floor(np.log(area / 540.0) / 0.02), np.floor(np.log(price / 2e5) / 0.03)
+    return (part(a, 0, 126) | part(p, 0, 254) << 7 | part(floor, 0, 30) << 15 | part(floors, 1, 31) << 20 | part(bathrooms, 1, 7) << 25 | part(balconies, 0, 6) << 28).astype(np.int32)
+
+
+def _signs_agree(a: Column, b: Column) -> Column:
+    """Whether two signs leave room for one dwelling: no later test is anticipated that could pass."""
+    get = lambda s, at, bits: F.shiftright(s, at).bitwiseAND((1 << bits) - 1)
+    ok = F.lit(True)
+    for at, bits, most in ((0, 7, 4), (7, 8, 6), (15, 5, 0), (20, 5, 0), (25, 3, 0), (28, 3, 0)):
+        x, y = get(a, at, bits), get(b, at, bits)
+        ok = ok & ((x == 0) | (y == 0) | (F.abs(x - y) <= most))
+    return ok
+
+
 def society_key(name: str | None) -> tuple[str, int]:
     """The phonetic name and phase of a building or street on its own: ('neka', 2)."""
     a = parse_address(name, need_number=False) if name else None
@@ -133,7 +151,8 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
             tokens, present = np.stack([s for s, _ in slots], axis=1), np.stack([h for _, h in slots], axis=1)
             hashes = minhash(tokens, present, bands)
             out = b.drop(columns=["address_full", "project_society_name", "locality"]).assign(society=society, place=place, letter=letter, number=number, phase=phase)
-            yield out.assign(bands=list(hashes.view(np.int64)))
+            out["sign"] = _sign(num("area"), num("price"), fl, fls, ba, num("balconies"))
+            yield out.assign(bands=list((hashes >> np.uint64(33)).astype(np.int32)))  # 31 bits: two sets that meet by chance are told apart by their attributes
 
     return x.mapInPandas(run, _FEATURES)
 
@@ -200,8 +219,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, *, blocks: int = 20) -> list[tupl
 def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5, sample: int = 40_000, bands: int = BANDS) -> DataFrame:
     """listing_id_a, listing_id_b, confidence: a row of ``one`` and a row of ``two`` that offer the same dwelling, the smaller id first.
 
-    Rows of one source with the same property_id are deliveries of one dwelling: the fullest stands for them in matching, and each of
-    them is in the result. Candidates share a MinHash band; those that differ in what they both state and cannot differ in (kind, floor,
+    Rows of one source with the same property_id are deliveries of one dwelling: what decides for one of them decides for all. Candidates share a MinHash band; those that differ in what they both state and cannot differ in (kind, floor,
     bathrooms, balconies, direction, area beyond 6 %, price beyond 17 %, 2.5 km) are dropped. Where both addresses reach the door number
     these decide: equal ones with similar building names are matches, others are not. Such pairs are also the weak labels on which a
     logistic classifier of the other attributes is fitted, on at most ``sample`` pairs, half of them kept to calibrate its scores
@@ -214,14 +232,14 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
     columns = ["listing_id", "property_id", "property_type", "locality", "address_full", "covered_area_value", "covered_area_unit", "covered_area_sqft", "price", "price_raw", "price_per_sqft", "bhk", "bathrooms", "balconies", "floors", "facing_direction", "latitude", "longitude", "project_society_name"]
     x = one.select(*columns, F.lit(1).alias("src")).unionByName(two.select(*columns, F.lit(2).alias("src")))
     rows = listing_features(x, bands=bands)
-    fields = [c for c in rows.columns if c not in ("listing_id", "src", "entity")]
-    known = sum((F.col(c).isNotNull().cast("int") for c in ("area", "price", "lat", "floor", "bathrooms", "balconies", "facing", "bhk", "number")), F.lit(0))
-    best = F.max_by(F.struct(*fields), F.struct(known, "listing_id"))
-    each = written(rows.groupBy("src", "entity").agg(best.alias("r"), F.collect_list("listing_id").alias("ids")).select(F.xxhash64("src", "entity").alias("e"), "src", "ids", "r.*"), "dwellings")
-    keyed = each.select("e", "src", F.explode("bands").alias("band")).where("band <> 0").distinct()
-    pair = keyed.where("src = 1").select(F.col("e").alias("ea"), "band").join(keyed.where("src = 2").select(F.col("e").alias("eb"), "band"), "band").select("ea", "eb").distinct()
-    side = [c for c in fields if c != "bands"]
-    f = pair.join(each.select("e", F.struct(*side).alias("a")), F.col("ea") == F.col("e")).drop("e").join(each.select("e", F.struct(*side).alias("b")), F.col("eb") == F.col("e")).drop("e").where(_possible())
+    each = written(rows, "listing-features")
+    keyed = each.select("listing_id", "src", "sign", F.explode("bands").alias("band")).where("band <> 0")
+    left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.col("sign").alias("sa"), "band")
+    right = keyed.where("src = 2").select(F.col("listing_id").alias("eb"), F.col("sign").alias("sb"), "band")
+    pair = left.join(right, "band").where(_signs_agree(F.col("sa"), F.col("sb"))).select("ea", "eb").distinct()
+    side = [c for c in rows.columns if c not in ("listing_id", "src", "entity", "sign", "bands")]
+    whole = lambda src, name: each.where(F.col("src") == src).select(F.col("listing_id").alias(f"e{name}"), F.struct(*side).alias(name))
+    f = pair.join(whole(1, "a"), "ea").join(whole(2, "b"), "eb").where(_possible())
     full = F.col("a.number").isNotNull() & F.col("b.number").isNotNull() & (F.col("a.society") != "") & (F.col("b.society") != "")
     unit = (F.col("a.number") == F.col("b.number")) & (F.coalesce("a.letter", F.lit("")) == F.coalesce("b.letter", F.lit("")))
     alike = 1 - F.levenshtein("a.society", "b.society") / F.greatest(F.length("a.society"), F.length("b.society"))
@@ -246,9 +264,11 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
         score = F.lit(steps[-1][1])
         for upper, p in reversed(steps[:-1]):
             score = F.when(linear <= upper, F.lit(p)).otherwise(score)
-    sure = F.when(F.col("told") == 1, F.lit(0.999)).when(F.col("told") == 0, F.lit(0.0)).otherwise(score)
-    hits = f.select("ea", "eb", sure.alias("confidence")).where(F.col("confidence") >= confidence)
-    ids = each.select("e", "ids")
-    out = hits.join(ids.withColumnRenamed("ids", "ids_a"), F.col("ea") == F.col("e")).drop("e").join(ids.withColumnRenamed("ids", "ids_b"), F.col("eb") == F.col("e")).drop("e")
-    out = out.select("confidence", F.explode("ids_a").alias("p"), "ids_b").select("confidence", "p", F.explode("ids_b").alias("q"))
-    return out.select(F.least("p", "q").alias("listing_id_a"), F.greatest("p", "q").alias("listing_id_b"), "confidence")
+    # deliveries of one dwelling stand together: an address decides for all of them, else their best score does
+    owner = lambda src, e, n: each.where(F.col("src") == src).select(F.col("listing_id").alias(e), F.col("entity").alias(n))
+    both = f.select("ea", "eb", "told", score.alias("score")).join(owner(1, "ea", "na"), "ea").join(owner(2, "eb", "nb"), "eb")
+    both = both.groupBy("na", "nb").agg(F.max("told").alias("yes"), F.min("told").alias("no"), F.max("score").alias("score"))
+    sure = F.when(F.col("yes") == 1, F.lit(0.999)).when(F.col("no") == 0, F.lit(0.0)).otherwise(F.col("score"))
+    hits = both.select("na", "nb", sure.alias("confidence")).where(F.col("confidence") >= confidence)
+    out = hits.join(owner(1, "p", "na"), "na").join(owner(2, "q", "nb"), "nb")
+    return out.select(F.least("p", "q").alias("listing_id_a"), F.greatest("p", "q").alias("listing_id_b"), "confidence").distinct()
