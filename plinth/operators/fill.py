@@ -146,4 +146,4 @@ def fill_property_master(master: DataFrame, *, rounds: int = 4) -> DataFrame:
     }
     out = propagate_labels(master, "property_id", fields, hubs, rounds=rounds)
     whole = F.least(F.lit(12.0), F.greatest(F.when(F.col("field_name") == "bathrooms", 1.0).otherwise(0.0), F.round("value_num")))
-    return out.withColumn("value_num", F.when(F.col("filled") & F.col("field_name").isin("bathrooms", "balconies"), whole).otherwise(F.col("value_num")))
+    return out.withColumn("value_num", F.when(F.col("filled") & F.col("value_num").isNotNull() & F.col("field_name").isin("bathrooms", "balconies"), whole).otherwise(F.col("value_num")))
