@@ -22,17 +22,17 @@ def deletions(c: Column, most: int = 1) -> Column:
     return F.array_distinct(F.concat(F.array(c), one, two))
 
 
-def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6) -> DataFrame:
+def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6, most_letters: int = 64) -> DataFrame:
     """word, entry, distance: words and vocabulary entries at most 0, 1 or 2 edits apart, by the word's length.
 
     Both sides are one column of distinct strings (``word``, ``entry``). Words under ``short`` characters must be
-    equal, those under ``long`` may have one edit. Two strings at distance d share a string left by deleting at most
+    equal, and so must those of more than ``most_letters``, of which there would be too many parts; those under ``long`` may have one edit. Two strings at distance d share a string left by deleting at most
     d characters of each, so the join is an equi-join on these, never of all pairs; the distance itself follows.
     Two letters in exchanged places count as one edit of the result, and as two against the limit.
     """
-    n = F.length("word")
+    n = F.when(F.length("word") > most_letters, 0).otherwise(F.length("word"))
     w = words.where("word is not null and word <> ''").select("word", F.explode(F.when(n < short, deletions(F.col("word"), 0)).when(n < long, deletions(F.col("word"), 1)).otherwise(deletions(F.col("word"), 2))).alias("v"))
-    e = vocabulary.where("entry is not null and entry <> ''").select("entry", F.explode(deletions(F.col("entry"), 2)).alias("v"))
+    e = vocabulary.where("entry is not null and entry <> ''").select("entry", F.explode(F.when(F.length("entry") > most_letters, deletions(F.col("entry"), 0)).otherwise(deletions(F.col("entry"), 2))).alias("v"))
     most = F.when(n < short, 0).when(n < long, 1).otherwise(2)
     hits = w.join(e, "v").select("word", "entry").distinct()
     d = F.levenshtein("word", "entry")

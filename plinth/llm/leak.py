@@ -95,7 +95,7 @@ class WaveletMatrix:
 
 
 def suffix_array(t: np.ndarray, bits: int) -> np.ndarray:
-    """Suffixes of ``t`` in order; each 0 counts as a symbol of its own, smaller than all others and ordered by its place.
+    """Suffixes of ``t``, which ends with a 0, in order; each 0 counts as a symbol of its own, smaller than all others and ordered by its place.
 
     The first symbols, as many as fit into one integer, are sorted at once; what they leave equal is refined by the ranks
     of the suffixes further on, twice as far each time.
@@ -143,6 +143,8 @@ class FMIndex:
 
     def __init__(self, t: np.ndarray, symbols: int, sample: int = 8) -> None:
         bits = max(1, int(symbols).bit_length())
+        if not len(t) or t[-1] != 0:
+            t = np.append(t, 0)  # the last run needs an end as well
         sa = suffix_array(t, bits)
         before = np.where(sa > 0, t[sa - 1], 0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=symbols + 1))]).astype(np.int64)
