@@ -5,13 +5,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- words
 
@@ -23,9 +22,35 @@ _SIGNS = re.compile(rb"\xe2\x80[\x90-\xbf]|\xe2\x80[\x80-\x8a]|\xe2[\x81-\xaf][\
 _NOTHING = re.compile(rb"\xe2\x80[\x8b-\x8f]|\xc2\xad|\xef\xbb\xbf|-[ \t]*\r?\n\s*")
 
 
+#: Runs of UTF-8 that was read as Windows-1252: a lead byte's letter, then the letters and signs of the bytes after it.
+_BROKEN = re.compile("(?:[\u00c2-\u00df\u00e0-\u00ef][\u0080-\u00bf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]{1,2})+")
+
+
+_LEADS = ("\u00e0\u00a4", "\u00e0\u00a5", "\u00e2\u201a", "\u00e2\u20ac", "\u00e2\u0080", "\u00e2\u0082", "\u00c2", "\u00c3")
+
+
+def _byte(c: str) -> bytes:
+    try:
+        return c.encode("cp1252")
+    except UnicodeEncodeError:
+        return c.encode("latin-1", "replace")  # the five bytes that Windows-1252 leaves undefined
+
+
+def mended(text: str) -> str:
+    """``text`` with UTF-8 that was read as Windows-1252 restored; what does not decode stays as it is."""
+
+    def fix(m: re.Match) -> str:
+        try:
+            return b"".join(_byte(c) for c in m[0]).decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
+
+    return _BROKEN.sub(fix, text) if any(c in text for c in _LEADS) else text
+
+
 def word_bytes(text: str) -> bytes:
     """``text`` with its words, and only them, parted by single or more spaces, in UTF-8."""
-    b = _MARKUP.sub(b" ", text.encode("utf-8", "replace"))
+    b = _MARKUP.sub(b" ", (text if text.isascii() else mended(text)).encode("utf-8", "replace"))
     if b"-\n" in b or b"- \n" in b or b"-\r" in b or not b.isascii():
         b = _SIGNS.sub(b" ", _NOTHING.sub(b"", b))
     return b.translate(_KEEP)
@@ -33,7 +58,7 @@ def word_bytes(text: str) -> bytes:
 
 def squashed(text: str) -> str:
     """Only the letters, digits and vowel signs of ``text``, in lower case, without markup: spacing, punctuation and broken words leave no mark."""
-    t = re.sub(r"<[^<>]{0,300}>", "", text)
+    t = re.sub(r"<[^<>]{0,300}>", "", text if text.isascii() else mended(text))
     if "&" in t:
         t = html.unescape(t)
     if t.isascii():
@@ -274,12 +299,26 @@ def shard_hits(texts: list[str | None], p: Passages) -> dict[int, dict[int, list
     return out
 
 
+def _shards(batches: Iterator[pd.DataFrame], most: int = 1 << 25) -> Iterator[tuple[list, list[str]]]:
+    """Ids and whole texts of each shard: an Arrow batch, cut where its texts exceed ``most`` characters; a longer text is a shard of its own."""
+    for b in batches:
+        ids, texts = b["doc_id"].tolist(), b["text"].tolist()
+        start = size = 0
+        for i, t in enumerate(texts):
+            if i > start and size + len(t) > most:
+                yield ids[start:i], texts[start:i]
+                start, size = i, 0
+            size += len(t)
+        if start < len(ids):
+            yield ids[start:], texts[start:]
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, *, run: int = 12, part: float = 0.75, block: int = 5000) -> DataFrame:
     """doc_id, item_id: each document whose text holds an item's passage, wholly or in part.
 
     Held is a passage of which at least ``run`` consecutive words stand in the text, or at least ``part`` of its words in
     their order in one place with a few changed, dropped or put between; case, punctuation, spacing, markup, and how words
-    and lines are broken do not count. Each Arrow batch of documents is a shard with its own FM-index over the words that
+    and lines are broken do not count. Each Arrow batch of documents (or part of one, by size) is a shard with its own FM-index over the words that
     passages use; phrases are found by backward search through wavelet-tree ranks and located from sampled suffix positions,
     and their places, merged by document and item, decide which pairs are tested exactly. Items are the stated query set:
     they go to every shard, in blocks of ``block``. There is no shuffle but the last one, which drops repeats.
@@ -295,8 +334,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, run: int = 12, pa
 
         def search(batches: Iterator[pd.DataFrame], query: list = query) -> Iterator[pd.DataFrame]:
             p = Passages(query, run=run, part=part)
-            for batch in batches:
-                ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for ids, texts in _shards(batches):
                 found = []
                 for d, by_item in shard_hits(texts, p).items():
                     squash = squashed(texts[d])

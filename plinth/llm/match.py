@@ -16,7 +16,7 @@ from plinth.operators.geo import haversine_km, restored_position
 from plinth.operators.units import area_graph, parsed_price, spelling_table, unit_alias
 from plinth.session import written
 
-BANDS = 24
+BANDS = 21
 _BONES = re.compile("[aeiouy]")
 _FEATURES = "listing_id long, src int, entity string, kind string, area double, price double, lat double, lon double, floor int, floors int, bathrooms int, balconies int, facing string, bhk int, society string, place string, letter string, number string, phase int, sign int, bands array<int>"
 

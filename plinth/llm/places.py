@@ -36,6 +36,34 @@ _KIND = {w: k for table in (LOCALITY_KINDS, STREET_KINDS) for k, ws in table.ite
 STOP = frozenset("near opp opposite main behind beside next to the of new distt dist district city urban rural india no number at in ke paas adjacent above facing".split())
 BLANK = frozenset(["", "nan", "none", "null", "na", "-"])
 
+def _one_off(word: str) -> set[str]:
+    """What one deletion leaves of a word, and the word."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+_NEAR_KIND: dict[str, set[str]] = {}
+for _k in LOCALITY_KINDS:
+    if len(_k) >= 5:
+        for _v in _one_off(_k):
+            _NEAR_KIND.setdefault(_v, set()).add(_k)
+_ANAGRAM = {(k[0], "".join(sorted(k))): k for k in LOCALITY_KINDS}
+
+
+@lru_cache(maxsize=200_000)
+def near_kind(word: str) -> str | None:
+    """The locality kind that a word misspells: its letters in another order, or one edit for kinds of five letters or more."""
+    if not 4 <= len(word) <= 11:
+        return None
+    if (k := _ANAGRAM.get((word[0], "".join(sorted(word))))) is not None:
+        return k
+    for v in _one_off(word):
+        for k in _NEAR_KIND.get(v, ()):
+            n, m = len(word), len(k)
+            if abs(n - m) <= 1 and word[0] == k[0] and (sum(a != b for a, b in zip(word, k)) == 1 if n == m else (word in _one_off(k) if n < m else k in _one_off(word))):
+                return k
+    return None
+
+
 #: How a kind word may end a word typed without its space, longest first: mapanekugnj, pikanaencl.
 _ENDINGS = sorted(((w, k) for k, ws in LOCALITY_KINDS.items() for w in ws.split() if w.isascii() and w.isalpha() and len(w) >= 3), key=lambda x: (-len(x[0]), x[0]))
 
@@ -162,10 +190,26 @@ def place_tokens(text: str | None) -> tuple[str, ...]:
             i += 1
             continue
         if len(w) > 1 or w in ("a",):
-            if k := kind_of(w):
+            if k := kind_of(w) or (near_kind(w) if out else None):  # a place does not begin with its kind
                 out.append(k)
             else:
                 name, *kind = split_kind(w)
                 out += [phonetic(name), *kind]
         i += 1
     return tuple(out)
+
+
+@lru_cache(maxsize=400_000)
+def plain_words(text: str | None) -> tuple[str, ...]:
+    """The words of a typed place as they stand, doubled letters once, where that differs from their phonetic form: a missing letter can bring two vowels
+    together that the phonetic form would then take for one."""
+    if text is None:
+        return ()
+    out = []
+    for w in re.findall(r"[a-z]{4,64}", text.lower()):
+        if w in STOP or kind_of(w):
+            continue
+        name = re.sub(r"(.)\1+", r"\1", split_kind(w)[0])
+        if name != phonetic(split_kind(w)[0]) and len(name) >= 4:
+            out.append(name)
+    return tuple(dict.fromkeys(out))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plinth.llm.leak import FMIndex, Passages, leaked_passages, shard_hits, squashed, suffix_array, word_bytes
+from plinth.llm.leak import FMIndex, Passages, leaked_passages, mended, shard_hits, squashed, suffix_array, word_bytes
 from plinth.llm.spam import curve_features, spectra, stuffed_pages, stuffed_share
 
 PASSAGE = "The register records a deposit of 29.9 lakh, followed by 28 instalments paid every second month. As Prithvik Group delayed the second block, 27 allottees withdrew and recovered 9.5 percent of what they paid."
@@ -72,6 +72,13 @@ def test_leaks(spark, rows):
     assert leaked_passages(d.where("false"), i).count() == 0 and leaked_passages(d, i.where("false")).count() == 0
 
 
+def test_broken_encoding():
+    for t in ("₹1.89 Cr. गए", "सेक्टर 15B के तालाब", "it’s “quoted” – café"):
+        cp1252 = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in t.encode())
+        assert mended(cp1252) == t and squashed(t.encode().decode("latin-1")) == squashed(t)
+    assert mended("plain Â text à") == "plain Â text à"
+
+
 def test_squashing():
     assert squashed("Rs. 1,710 <b>sq</b> ft &amp; गए।") == "rs1710sqftगए" and squashed("wa-\nter") == squashed("wa ter") == "water"
 
