@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plinth.operators.fill import fill_property_master
 from plinth.operators.geo import listing_targets
