@@ -216,7 +216,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, *, blocks: int = 20) -> list[tupl
     return [(u, s / n) for u, s, n in pools]
 
 
-def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5, sample: int = 40_000, bands: int = BANDS) -> DataFrame:
+def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5, sample: int = 10_000, bands: int = BANDS) -> DataFrame:
     """listing_id_a, listing_id_b, confidence: a row of ``one`` and a row of ``two`` that offer the same dwelling, the smaller id first.
 
     Rows of one source with the same property_id are deliveries of one dwelling: what decides for one of them decides for all. Candidates share a MinHash band; those that differ in what they both state and cannot differ in (kind, floor,
