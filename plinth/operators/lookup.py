@@ -74,7 +74,11 @@ def ladder_lookup(pairs: DataFrame, rates: DataFrame, *, fuzzy_from: float | Non
     words = left.withColumn("w", F.explode(F.array_distinct(F.split("f", " ")))).where("length(w) > 2")
     theirs = r.withColumn("w", F.explode(F.array_distinct(F.split("rk", " ")))).where("length(w) > 2")
     near = words.join(theirs, (scalar.collapsed(F.col("city")) == F.col("rc")) & (words.w == theirs.w)).select("city", "locality", "f", "rk", "rate").distinct()
-    near = near.withColumn("score", fuzzy.token_sort_ratio(F.col("f"), F.col("rk"))).where(F.col("score") >= fuzzy_from)
+    # every edit distance is at most the distance by insertions and deletions, so this exact bound spares most pairs the costly one
+    p_, q_ = fuzzy.sorted_tokens(F.col("f")), fuzzy.sorted_tokens(F.col("rk"))
+    bound = (F.length("p") + F.length("q")) * F.lit(1 - fuzzy_from / 100) + 1e-9
+    near = near.select("*", p_.alias("p"), q_.alias("q")).where(F.levenshtein("p", "q") <= bound)
+    near = near.withColumn("score", fuzzy.indel_ratio(F.col("p"), F.col("q"))).where(F.col("score") >= fuzzy_from)
     best = near.groupBy("city", "locality").agg(F.max_by("rate", F.struct(F.col("score"), F.transform(F.split("rk", ""), lambda ch: -F.ascii(ch)))).alias("fuzzy_rate"))
     return out.join(best, ["city", "locality"], "left").select("city", "locality", F.coalesce("rate", "fuzzy_rate").alias("rate"), F.coalesce("level", F.when(F.col("fuzzy_rate").isNotNull(), 100)).alias("level"))
 
