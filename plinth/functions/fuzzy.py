@@ -1,11 +1,11 @@
-"""String similarity in column expressions; Python only for the matching-blocks ratio, on distinct values."""
+"""String similarity in column expressions; Python only for many pairs of distinct values."""
 
 from __future__ import annotations
 
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,45 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.size(words(b)))
 
 
+def letters(c: Column) -> Column:
+    """A bigint with a bit for each of 64 classes of characters that occur in a text."""
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.when(x == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x).bitwiseAND(63)))))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float, on: Column | None = None, salts: int = 16) -> DataFrame:
+    """The rows of both sides (within ``on``) whose texts ``a`` and ``b`` may have a similarity of ``cutoff`` (0 to 1) or more; no such pair is lost.
+
+    A ratio of twice the common characters over both lengths leaves at most ``(1 - cutoff)`` of the lengths' sum uncommon. The difference of
+    lengths, the classes of characters that one side alone has, and the edit distance are each at most the number of uncommon characters.
+    The right side meets each of ``salts`` parts of the left, so that one hot key spreads over tasks.
+    """
+    x = left.withColumns({"__m": letters(F.col(a)), "__s": F.pmod(F.xxhash64(a), F.lit(salts)).cast("int")})
+    y = right.withColumns({"__n": letters(F.col(b)), "__t": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+    most = f"cast(floor((length({a}) + length({b})) * {1 - cutoff!r}D + 1e-9D) as int)"
+    close = F.expr(f"abs(length({a}) - length({b})) <= {most} and bit_count(__m ^ __n) <= {most} and levenshtein({a}, {b}, {most}) >= 0")
+    same = F.col("__s") == F.col("__t")
+    return x.join(y, same if on is None else on & same).where(close).drop("__m", "__n", "__s", "__t")
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio, 0 to 1. Call it on distinct pairs."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a word of bits at a time."""
+    full, mask = (1 << len(a)) - 1, {}
+    for i, x in enumerate(a):
+        mask[x] = mask.get(x, 0) | 1 << i
+    v = full
+    for x in b:
+        u = v & mask.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def indel_ratio_of_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``indel_ratio`` of many pairs, without a row of the dynamic programme for each character. Call it on distinct pairs."""
+    return pd.Series([200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -59,8 +59,8 @@ def ladder_lookup(pairs: DataFrame, rates: DataFrame, *, fuzzy_from: float | Non
     """city, locality, rate, level of each distinct pair: the rate found under its best key; level 100 is a fuzzy match, NULL none.
 
     ``rates``: city, locality, rate. Each distinct pair explodes into its keys, which are equi-joined, so no level rescans the rates. Pairs
-    that no key finds, bare sectors apart, are compared by ``token_sort_ratio`` with the localities of their city that share a word with
-    them; the best from ``fuzzy_from`` on wins, the first by name among equals.
+    that no key finds, bare sectors apart, are compared by ``token_sort_ratio`` with all localities of their city: each distinct pair once,
+    behind ``near_pairs``' bounds, which lose none. The best from ``fuzzy_from`` on wins, the first by name among equals.
     """
     p = pairs.select("city", "locality").where("city is not null and locality is not null").distinct()
     r = rates.select(scalar.collapsed(F.col("city")).alias("rc"), scalar.locality_form(F.col("locality")).alias("rk"), "rate").where("rate > 0").groupBy("rc", "rk").agg(F.max("rate").alias("rate"))
@@ -71,15 +71,12 @@ def ladder_lookup(pairs: DataFrame, rates: DataFrame, *, fuzzy_from: float | Non
         return out
     form = scalar.locality_form(F.col("locality"))
     left = out.where("rate is null").select("city", "locality", form.alias("f")).where(~F.col("f").rlike(r"^sector \d+[a-z]?$"))
-    words = left.withColumn("w", F.explode(F.array_distinct(F.split("f", " ")))).where("length(w) > 2")
-    theirs = r.withColumn("w", F.explode(F.array_distinct(F.split("rk", " ")))).where("length(w) > 2")
-    near = words.join(theirs, (scalar.collapsed(F.col("city")) == F.col("rc")) & (words.w == theirs.w)).select("city", "locality", "f", "rk", "rate").distinct()
-    # every edit distance is at most the distance by insertions and deletions, so this exact bound spares most pairs the costly one
-    p_, q_ = fuzzy.sorted_tokens(F.col("f")), fuzzy.sorted_tokens(F.col("rk"))
-    bound = (F.length("p") + F.length("q")) * F.lit(1 - fuzzy_from / 100) + 1e-9
-    near = near.select("*", p_.alias("p"), q_.alias("q")).where(F.levenshtein("p", "q") <= bound)
-    near = near.withColumn("score", fuzzy.indel_ratio(F.col("p"), F.col("q"))).where(F.col("score") >= fuzzy_from)
-    best = near.groupBy("city", "locality").agg(F.max_by("rate", F.struct(F.col("score"), F.transform(F.split("rk", ""), lambda ch: -F.ascii(ch)))).alias("fuzzy_rate"))
+    mine = left.where("f <> ''").select(scalar.collapsed(F.col("city")).alias("fc"), "f").distinct().withColumn("p", fuzzy.sorted_tokens(F.col("f")))
+    theirs = r.withColumn("q", fuzzy.sorted_tokens(F.col("rk")))
+    near = fuzzy.near_pairs(mine, theirs, "p", "q", fuzzy_from / 100, (F.col("fc") == F.col("rc")))
+    near = near.withColumn("score", fuzzy.indel_ratio_of_pairs("p", "q")).where(F.col("score") >= fuzzy_from)
+    best = near.groupBy("fc", "f").agg(F.max_by("rate", F.struct(F.col("score"), F.transform(F.split("rk", ""), lambda ch: -F.ascii(ch)))).alias("fuzzy_rate"))
+    best = left.join(best, (scalar.collapsed(F.col("city")) == F.col("fc")) & (left.f == best.f)).select("city", "locality", "fuzzy_rate")
     return out.join(best, ["city", "locality"], "left").select("city", "locality", F.coalesce("rate", "fuzzy_rate").alias("rate"), F.coalesce("level", F.when(F.col("fuzzy_rate").isNotNull(), 100)).alias("level"))
 
 

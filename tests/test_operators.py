@@ -43,6 +43,13 @@ def test_rate_lookup(spark):
     assert got == want
 
 
+def test_fuzzy_rate_without_a_common_word(spark):
+    rates = spark.createDataFrame([("delhi", "mapaneku ganj", 1.0), ("delhi", "dhatiha enclave", 2.0), ("delhi", "shobhashova ganj", 3.0), ("agra", "mapanekku gunj", 9.0)], "city string, locality string, rate double")
+    p = spark.createDataFrame([("Delhi", k) for k in ("mapanekku gunj", "dhaatihaenclv", "shobhasshova gnj", "ganj", "")], "city string, locality string")
+    got = {r.locality: (r.rate, r.level) for r in lookup.ladder_lookup(p, rates).collect()}
+    assert got == {"mapanekku gunj": (1.0, 100), "dhaatihaenclv": (2.0, 100), "shobhasshova gnj": (3.0, 100), "ganj": (None, None), "": (None, None)}
+
+
 def test_typed_rates(spark, rows):
     x = spark.createDataFrame([("c", "l", "Commercial", 9.0, 1), ("c", "l", "Residential", 5.0, 2), ("c", "l", "Residential", 4.0, 3), ("c", "m", "Plot", 7.0, 1), ("c", "m", "Plot", 0.0, 2)], "city string, locality string, kind string, rate double, seq int")
     assert rows(lookup.typed_rates(x, ["city", "locality"], "kind", "rate", "seq")) == [("c", "l", "Commercial", 9.0, 4.0), ("c", "l", "Residential", 5.0, 4.0), ("c", "m", "Plot", 7.0, 7.0)]
