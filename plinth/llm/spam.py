@@ -1,4 +1,4 @@
-"""Keyword-stuffed and link-list pages: rank-frequency curves in SQL windows, then the share of a page that is such text."""
+"""Keyword-stuffed and link-list pages: the share of a page that is such text, and the pages' rank-frequency curves in SQL windows."""
 
 from __future__ import annotations
 
@@ -15,10 +15,16 @@ from plinth.session import written
 _LINK = re.compile(r"<a\s[^<>]{0,400}>.{0,300}?</a>|\[[^\]\n]{1,160}\]\(\s*(?:https?:)?//[^)\s]*\)|(?:https?://|www\.)[^\s|,;<>\"]+", re.I | re.S)
 #: A link's title with the site it leads to, on a line of its own.
 _SITE = re.compile(r"^(.{2,90}?)\s*[-–|(]\s*(?:[\w-]+\.)+(?:example|test|invalid|com|in|org|net|info|biz)\)?\s*$", re.I)
+#: What every match of ``_LABEL`` holds.
+_LABELLED = re.compile(r"[:»–-]")
+#: What every match of ``_SITE`` holds.
+_DASH = re.compile(r"[-–|(]")
 _TAG = re.compile(r"(?<![\w&])#\w[\w-]*")
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&(?:[a-z]{2,8}|#\d{1,6});", re.I)
 _WORD = re.compile(r"[\wऀ-ॿ]+")
 _PART = re.compile(r"\s*[|;,★•»·►→~/]\s*|\s{2,}|\s[-–*]\s")
+#: What every match of ``_PART`` holds.
+_PARTED = re.compile(r"[|;,★•»·►→~/]|\s[\s*–-]")
 _END = re.compile(r"[.!?।][\"')\]]*\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?।])\s+")
 _LABEL = re.compile(r"^\W*(?:tags?|labels?|keywords?|searches|related searches|popular searches|see also|also read|see)\s*[:»\-–]\s*", re.I)
@@ -70,16 +76,18 @@ def stuffed_share(text: str, *, density: float = 0.02, cover: float = 0.3) -> fl
         rest = _LABEL.sub("", rest.strip(), count=1)
         if not rest:
             continue
-        if m := _SITE.match(rest):
+        if _DASH.search(rest) is not None and _SITE.match(rest):
             bad += _ink(rest)
             continue
         block: list[tuple[str, int]] = []
         for s in _SENTENCES.split(rest):
-            s = _LABEL.sub("", s.strip(), count=1)
+            s = s.strip()
+            if _LABELLED.search(s) is not None:
+                s = _LABEL.sub("", s, count=1)
             words = _plain(s).split()
             if not words:
                 continue
-            parts = [x for x in _PART.split(s) if x and _WORD.search(x)]
+            parts = [x for x in _PART.split(s) if x and _WORD.search(x)] if _PARTED.search(s) is not None else [s]
             if _END.search(s) and len(words) >= 3 * max(1, len(parts)) or len(parts) <= 2 and len(words) >= 10:
                 pieces.append((words, _ink(s)))
             else:
@@ -100,9 +108,9 @@ def stuffed_share(text: str, *, density: float = 0.02, cover: float = 0.3) -> fl
         for w, _ in pieces:
             pairs.update(zip(w, w[1:]))
         often = max(3, density * total)
+        frequent = {p for p, times in pairs.items() if times >= often}
         for w, n in pieces:
-            hit = sum(pairs[p] >= often for p in zip(w, w[1:]))
-            if len(w) >= 5 and hit >= cover * (len(w) - 1):
+            if len(w) >= 5 and sum(p in frequent for p in zip(w, w[1:])) >= cover * (len(w) - 1):
                 bad += n
             else:
                 good += n
@@ -152,12 +160,13 @@ def spectra(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(count, f"doc_id {kind}, script string, n int, f int, v int, mark boolean")
 
 
-def curve_features(spectrum: DataFrame) -> DataFrame:
+def curve_features(spectrum: DataFrame, without: DataFrame | None = None) -> DataFrame:
     """doc_id, script, size, slope, residual, divergence of each page's rank-frequency curve.
 
     Slope and residual are of the least-squares line through log frequency over log rank, each word one point at the middle of the ranks
     of its frequency. Divergence is from the mean share of words in each frequency class, and of marks, among pages of the same script and
-    size (``size``: the power of two of the page's length), most of which are prose.
+    size (``size``: the power of two of the page's length) whose ``doc_id`` is not in ``without``; where no page is left, every share counts
+    as far from it.
     """
     spectrum.createOrReplaceTempView("__plinth_spectrum")
     spark = spectrum.sparkSession
@@ -173,37 +182,31 @@ def curve_features(spectrum: DataFrame) -> DataFrame:
     slope = F.when(vxx > 1e-9, vxy / vxx).otherwise(0.0)
     fit = fit.withColumns({"slope": slope, "residual": F.sqrt(F.greatest(F.lit(0.0), (vyy - slope * vxy) / F.col("w")))})
     fit = written(fit.select("doc_id", "script", "size", "slope", "residual", *[f"c{c}" for c in range(10)]), "curves")  # read twice below
-    like = fit.groupBy("script", "size").agg(*[F.avg(f"c{c}").alias(f"m{c}") for c in range(10)])
+    rule = fit if without is None else fit.join(without.distinct(), "doc_id", "left_anti")
+    like = rule.groupBy("script", "size").agg(*[F.avg(f"c{c}").alias(f"m{c}") for c in range(10)])
     total = F.lit(0.0)
     for c in range(10):
         total = total + F.when(F.col(f"c{c}") > 0, F.col(f"c{c}") * F.log(F.col(f"c{c}") / F.greatest(F.col(f"m{c}"), F.lit(1e-6)))).otherwise(0.0)
-    return fit.join(F.broadcast(like), ["script", "size"]).select("doc_id", "script", "size", "slope", "residual", total.alias("divergence"))
+    return fit.join(F.broadcast(like), ["script", "size"], "left").select("doc_id", "script", "size", "slope", "residual", total.alias("divergence"))
 
 
-def stuffed_pages(documents: DataFrame, *, most: float = 0.5, spread: float = 0.5, few: int = 20) -> DataFrame:
+def stuffed_pages(documents: DataFrame, *, most: float = 0.5) -> DataFrame:
     """doc_id, share, slope, residual, divergence of the pages of which more than ``most`` is search phrases, links or tags.
 
-    A page is taken up when its slope, residual or divergence lies more than ``spread`` of a quartile range outside the quartiles of its
-    script and size, or fewer than ``few`` pages share these, too few to say what prose looks like there. The curve alone cannot tell a table of units from a list of tags, so of these pages ``stuffed_share`` then decides.
+    ``stuffed_share`` judges every page, so which pages are found depends on no other page. The curve cannot tell a table of units from a
+    list of tags, and where such pages are many they are the rule that a curve is held against; it describes the pages found, its
+    divergence from the pages that are not.
     Null and empty texts, and texts without a word or mark, are in no row. Repeated rows of one id with one text are one page. Empty input
     gives an empty result. Runs jobs.
     """
-    x = curve_features(spectra(documents))
-    names = ["slope", "residual", "divergence"]
-    q = x.groupBy("script", "size").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(f"q_{c}") for c in names], F.count("*").alias("pages"))
-    out = F.col("pages") < few
-    for c in names:
-        lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
-        far = F.col(c) > hi + spread * (hi - lo)
-        out = out | (far if c == "divergence" else far | (F.col(c) < lo - spread * (hi - lo)))
-    flagged = x.join(F.broadcast(q), ["script", "size"]).where(out).select("doc_id", *names)  # a row for each script and power of two on the right
     texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             share = b["text"].map(stuffed_share).astype("float64")
-            yield b.assign(share=share)[share > most][["doc_id", "share", *names]]
+            yield b.assign(share=share)[share > most][["doc_id", "share"]]
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    # a map keeps the judging behind the join, where an expression would be moved in front of it
-    return texts.join(flagged, "doc_id").mapInPandas(judge, f"doc_id {kind}, share double, slope double, residual double, divergence double").distinct()
+    found = written(texts.mapInPandas(judge, f"doc_id {kind}, share double").distinct(), "stuffed")  # read twice below
+    curves = curve_features(spectra(documents), found.select("doc_id"))
+    return found.join(curves, "doc_id", "left").select("doc_id", "share", "slope", "residual", "divergence").distinct()

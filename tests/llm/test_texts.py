@@ -121,6 +121,12 @@ def test_stuffed_pages(spark):
     assert stuffed_pages(d.where("false")).count() == 0
 
 
+def test_many_copies_of_one_stuffed_page(spark):
+    prose = [(i, " ".join(PROSE[i % 3 :])) for i in range(60)]
+    d = spark.createDataFrame(prose + [(1000 + i, SPAM["links"]) for i in range(30)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stuffed_pages(d).collect()) == list(range(1000, 1030))
+
+
 def test_curve_of_a_zipf_page(spark):
     words = " ".join(w for r in range(1, 60) for w in [f"w{r}"] * max(1, round(600 / r)))
     r = curve_features(spectra(spark.createDataFrame([(1, words), (2, "a b c d e f g h")], "doc_id long, text string"))).collect()
