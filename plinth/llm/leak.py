@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -56,6 +57,18 @@ def word_bytes(text: str) -> bytes:
     return b.translate(_KEEP)
 
 
+class _Marks(dict):
+    """For ``str.translate``: letters, digits and vowel signs stay, the rest goes."""
+
+    def __missing__(self, c: int) -> int | None:
+        x = chr(c)
+        self[c] = out = c if x.isalnum() or unicodedata.category(x)[0] == "M" else None
+        return out
+
+
+_MARKS = _Marks()
+
+
 def squashed(text: str) -> str:
     """Only the letters, digits and vowel signs of ``text``, in lower case, without markup: spacing, punctuation and broken words leave no mark."""
     t = re.sub(r"<[^<>]{0,300}>", "", text if text.isascii() else mended(text))
@@ -63,8 +76,28 @@ def squashed(text: str) -> str:
         t = html.unescape(t)
     if t.isascii():
         return re.sub(r"[^a-z0-9]+", "", t.lower())
-    t = unicodedata.normalize("NFKC", t).lower()
-    return "".join(c for c in t if c.isalnum() or unicodedata.category(c)[0] == "M")
+    return unicodedata.normalize("NFKC", t).lower().translate(_MARKS)
+
+
+#: ASCII letters in lower case and digits; the separators that ``str.split`` knows part words, the rest goes.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 28 <= b <= 31 else b for b in range(256))
+_DROPPED = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or 9 <= b <= 13 or 28 <= b <= 32))
+_TAGS = re.compile(r"<[^<>]{0,300}>")
+
+
+def squashed_words(text: str, known: dict[str, str]) -> list[str]:
+    """The words of ``text``, each ``squashed``; ``known`` keeps those of other than plain letters from text to text."""
+    t = _TAGS.sub(" ", text) if "<" in text else text
+    if t.isascii() and "&" not in t:
+        return t.encode().translate(_LOWER, _DROPPED).decode().split()
+    out = []
+    for x in t.split():
+        w = known.get(x)
+        if w is None:
+            w = known[x] = squashed(x)
+        if w:
+            out.append(w)
+    return out
 
 
 # ---------------------------------------------------------------- FM-index
@@ -242,30 +275,109 @@ class Passages:
                 m[w] |= 1 << i
             self.masks.append(m)
 
-    def ordered(self, k: int, doc: list[str], starts: list[int]) -> bool:
-        """Whether three quarters (``part``) of item ``k``'s words occur in their order within a stretch of ``doc`` little longer than the passage, around one of ``starts``."""
+        self.word = {w: i + 1 for i, w in enumerate(sorted({w for _, words, _ in self.items for w in words}))}
+        self.ids = [np.array([self.word[w] for w in words], dtype=np.int64) for _, words, _ in self.items]
+        self._stretches()
+
+    def _stretches(self, most: int = 24) -> None:
+        """Hashes of all stretches of ``wide`` bytes of the passages' runs. A text that holds a run has one of them at a multiple of ``step``."""
+        runs = [(k, r.encode()) for k, (_, _, rs) in enumerate(self.items) for r in rs]
+        least = min((len(r) for _, r in runs), default=1)
+        self.wide = min(most, least)
+        self.step = least - self.wide + 1
+        self.factors = np.random.default_rng(7).integers(1, 1 << 63, self.wide, dtype=np.uint64) | np.uint64(1)
+        owners: dict[int, set[int]] = defaultdict(set)
+        for k, r in runs:
+            for h in self._hashes(r, 1)[0].tolist():
+                owners[h].add(k)
+        self.stretches = np.array(sorted(owners), dtype=np.uint64)
+        self.stretch_owners = [sorted(owners[h]) for h in self.stretches.tolist()]
+
+    def _hashes(self, b: bytes, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of the stretches at the multiples of ``step``."""
+        at = np.arange(0, max(0, len(b) - self.wide + 1), step)
+        raw, h = np.frombuffer(b, dtype=np.uint8), np.zeros(len(at), dtype=np.uint64)
+        for j in range(self.wide):
+            h += raw[at + j] * self.factors[j]
+        return h, at
+
+    def run_hits(self, squash: list[str]) -> dict[int, set[int]]:
+        """Text number -> items of which a run may stand in the text, given without spaces; none is left out."""
+        out: dict[int, set[int]] = defaultdict(set)
+        if not len(self.stretches):
+            return out
+        raw = [s.encode() for s in squash]
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        whole = b"\0".join([*raw, b""])  # no stretch holds a 0
+        part = self.step << 20
+        for lo in range(0, len(whole), part):
+            h, at = self._hashes(whole[lo : lo + part + self.wide - 1], self.step)
+            i = np.minimum(np.searchsorted(self.stretches, h), len(self.stretches) - 1)
+            hit = np.flatnonzero(self.stretches[i] == h)
+            for d, x in zip(np.searchsorted(ends, lo + at[hit], side="right").tolist(), i[hit].tolist(), strict=True):
+                out[d].update(self.stretch_owners[x])
+        return out
+
+    def _span(self, m: int) -> int:
+        return m + max(6, m // 3)
+
+    def _need(self, m: int) -> int:
+        return max(1, math.ceil(round(m * self.part, 6)))
+
+    def place_hits(self, docs: list[list[str]]) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """Text number -> item number -> places, first and last, between which ``part`` of the item's words may begin; none is left out.
+
+        A text that keeps all but ``lost`` words of an item keeps all but ``lost`` of any of its words, so the words that are rarest in the
+        shard are counted: ``lost`` of them more than may be missing, within the stretch that the rule allows.
+        """
+        out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        get = self.word.get
+        t = np.array([i for d in docs for i in [get(w, 0) for w in d]], dtype=np.int64)
+        ends = np.cumsum([len(d) for d in docs])
+        times = np.bincount(t, minlength=len(self.word) + 1)
+        order = np.argsort(t, kind="stable")
+        first = np.concatenate([[0], np.cumsum(times)])
+        for k, ids in enumerate(self.ids):
+            m = len(ids)
+            if m < 4:
+                continue
+            need, span = self._need(m), self._span(m)
+            lost = m - need
+            rare = ids[np.argsort(times[ids], kind="stable")[: min(m, 2 * lost + 1)]]
+            least = len(rare) - lost
+            at = np.sort(np.concatenate([order[first[w] : first[w + 1]] for w in np.unique(rare).tolist()]))
+            if len(at) < least:
+                continue
+            a, b = at[: len(at) - least + 1], at[least - 1 :]
+            near = np.flatnonzero(b - a < span)
+            a, b = a[near], b[near]
+            d = np.searchsorted(ends, a, side="right")
+            one = b < ends[d]
+            start = ends[d] - np.array([len(docs[i]) for i in d.tolist()], dtype=np.int64)
+            for i, x, y in zip(d[one].tolist(), (b - span + 1 - start)[one].tolist(), (a - start)[one].tolist(), strict=True):
+                have = out[i][k]
+                if have and x <= have[-1][1] + 1:
+                    have[-1] = (have[-1][0], max(y, have[-1][1]))
+                else:
+                    have.append((max(0, x), y))
+        return out
+
+    def within(self, k: int, doc: list[str], lo: int, hi: int) -> bool:
+        """Whether ``part`` of item ``k``'s words occur in their order in a stretch of ``doc`` that begins between ``lo`` and ``hi``."""
         words, mask = self.items[k][1], self.masks[k]
         m = len(words)
-        need, full = -(-int(m * self.part * 1000) // 1000), (1 << m) - 1
-        need = max(1, need if need >= m * self.part else need + 1)
-        span = m + max(6, m // 3)
-        done = -1
-        for s in sorted(starts):
-            if s <= done:
-                continue
-            done = s + max(3, m // 8)
-            for b in (max(0, s - span // 2), max(0, s - m // 8), max(0, s - m)):
-                v = full
-                for w in doc[b : b + span]:
-                    u = v & mask.get(w, 0)
+        need, span, full = self._need(m), self._span(m), (1 << m) - 1
+
+        def kept(b: int, e: int) -> int:
+            v = full
+            for w in doc[b:e]:
+                if u := v & mask.get(w, 0):
                     v = ((v + u) | (v - u)) & full
-                if m - v.bit_count() >= need:
-                    return True
-        return False
+            return m - v.bit_count()
 
-    def holds(self, k: int, squash: str, doc: list[str], starts: list[int]) -> bool:
-        """The rule: ``run`` consecutive words, however they are spaced or broken, or ``part`` of all words in order in one place."""
-        return any(w in squash for w in self.items[k][2]) or bool(self.items[k][1]) and self.ordered(k, doc, starts)
+        if kept(lo, hi + span) < need:
+            return False
+        return any(doc[b] in mask and kept(b, b + span) >= need for b in range(lo, min(hi + 1, len(doc))))
 
 
 def shard_hits(texts: list[str | None], p: Passages) -> dict[int, dict[int, list[int]]]:
@@ -319,8 +431,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, run: int = 12, pa
     Held is a passage of which at least ``run`` consecutive words stand in the text, or at least ``part`` of its words in
     their order in one place with a few changed, dropped or put between; case, punctuation, spacing, markup, and how words
     and lines are broken do not count. Each Arrow batch of documents (or part of one, by size) is a shard with its own FM-index over the words that
-    passages use; phrases are found by backward search through wavelet-tree ranks and located from sampled suffix positions,
-    and their places, merged by document and item, decide which pairs are tested exactly. Items are the stated query set:
+    passages use; phrases are found by backward search through wavelet-tree ranks and located from sampled suffix positions. Beside them
+    stand two searches that leave out no case of a rule: stretches of the squashed text for the first, the passage's words that are rarest
+    in the shard, counted within one place, for the second. Every pair that any of the three meets is tested exactly. Items are the stated query set:
     they go to every shard, in blocks of ``block``. There is no shuffle but the last one, which drops repeats.
 
     Null and empty texts and passages are in no row; a passage of fewer than ``run`` words is found by the second rule only;
@@ -334,20 +447,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, run: int = 12, pa
 
         def search(batches: Iterator[pd.DataFrame], query: list = query) -> Iterator[pd.DataFrame]:
             p = Passages(query, run=run, part=part)
+            known: dict[str, str] = {}
             for ids, texts in _shards(batches):
-                found = []
-                for d, by_item in shard_hits(texts, p).items():
-                    squash = squashed(texts[d])
-                    doc = None
-                    for k, places in by_item.items():
-                        if any(w in squash for w in p.items[k][2]):
+                found, squash, docs = [], [squashed(t) for t in texts], [squashed_words(t, known) for t in texts]
+                by_phrase, by_run, by_place = shard_hits(texts, p), p.run_hits(squash), p.place_hits(docs)
+                for d in by_phrase.keys() | by_run.keys() | by_place.keys():
+                    places = by_place.get(d, {})
+                    for k in set(by_phrase.get(d, ())) | by_run.get(d, set()) | places.keys():
+                        if any(w in squash[d] for w in p.items[k][2]) or any(p.within(k, docs[d], lo, hi) for lo, hi in places.get(k, ())):
                             found.append((ids[d], p.items[k][0]))
-                        elif len(places) > 1:
-                            if doc is None:
-                                doc = [w for w in (squashed(x) for x in re.sub(r"<[^<>]{0,300}>", " ", texts[d]).split()) if w]
-                                scale = len(doc) / max(1, len(word_bytes(texts[d]).split()))
-                            if p.ordered(k, doc, [int(a * scale) for a in places]):
-                                found.append((ids[d], p.items[k][0]))
+                if len(known) > 1 << 18:
+                    known.clear()
                 yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
         x = documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(search, kinds)

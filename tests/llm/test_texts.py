@@ -72,6 +72,17 @@ def test_leaks(spark, rows):
     assert leaked_passages(d.where("false"), i).count() == 0 and leaked_passages(d, i.where("false")).count() == 0
 
 
+def test_leaks_without_an_intact_phrase(spark, rows):
+    w = PASSAGE.split()
+    every_fourth = " ".join(x if i % 4 != 3 else "certain" for i, x in enumerate(w))
+    parted = " ".join(" ".join(x if len(x) < 3 else x[:2] + " " + x[2:] for x in w[3 + i * 3 : 6 + i * 3]) for i in range(4))
+    far = "29.9 a.b.c " * 400
+    docs = [(1, every_fourth), (2, far + every_fourth + " " + far), (3, far + parted + " " + far), (4, " ".join(x if i % 3 else "certain" for i, x in enumerate(w)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(100, PASSAGE), (200, OTHER)], "item_id long, passage string")
+    assert rows(leaked_passages(d, i)) == [(1, 100), (2, 100), (3, 100)]
+
+
 def test_broken_encoding():
     for t in ("₹1.89 Cr. गए", "सेक्टर 15B के तालाब", "it’s “quoted” – café"):
         cp1252 = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in t.encode())
