@@ -16,7 +16,7 @@ from plinth.operators.geo import haversine_km, restored_position
 from plinth.operators.units import area_graph, parsed_price, spelling_table, unit_alias
 from plinth.session import written
 
-BANDS = 21
+BANDS = 24
 _BONES = re.compile("[aeiouy]")
 _FEATURES = "listing_id long, src int, entity string, kind string, area double, price double, lat double, lon double, floor int, floors int, bathrooms int, balconies int, facing string, bhk int, society string, place string, letter string, number string, phase int, sign int, bands array<int>"
 
@@ -79,7 +79,7 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
     ``listings``: the columns of a listing table and ``src``. Areas come from the declared value and unit (or price over rate where
     no unit fits), prices from the number or its text. The set of a row holds its attributes in combinations that few dwellings share:
     place (position cell, building or locality) with area, price or floor; numbers are in buckets with two offsets, so near values
-    share one. Unknown attributes add nothing.
+    share one. Unknown attributes add nothing. After the bands come the combinations that hold a door number, as they are.
     """
     spark = listings.sparkSession
     pos = lambda c: F.when((c > 0) & ~F.isnan(c), c)
@@ -134,10 +134,12 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
             whole_ = lambda z, o: np.floor(np.nan_to_num(z) + o).astype(np.int64)
             floors = whole_(fl, 0) * 1000 + whole_(fls, 0)
             slots: list[tuple[np.ndarray, np.ndarray]] = []
+            doors: list[np.ndarray] = []
             tag = lambda k: np.full(n, k, dtype=np.int64)
             for o in (0.0, 0.5):
                 cell = _join(tag(7), whole_(lat / 0.005, o), whole_(lon / 0.0055, o), tag(int(o * 2)))
                 slots += [(_join(tag(10), kind, cell, floors), has_c & has_f), (_join(tag(9), cell, unit), has_c & has_unit), (_join(tag(8), kind, cell, bone), has_c & has_bone)]
+                doors.append(slots[-2][0])
                 for i, p in enumerate((0.0, 0.5)):
                     slots += [(_join(tag(11 + i), kind, cell, whole_(la, p)), has_c & has_a), (_join(tag(13 + i), kind, cell, whole_(lp, p)), has_c & has_p)]
                     slots += [(_join(tag(15 + i), kind, loc, whole_(la, o), whole_(lp, p), tag(int(2 * o))), has_loc & has_a & has_p)]
@@ -147,9 +149,14 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
                     (_join(tag(24 + k), kind, loc, whole_(la, o), whole_(ba, 0)), has_loc & has_a & has_b), (_join(tag(26 + k), kind, loc, whole_(la, o), floors), has_loc & has_a & has_f),
                 ]
             slots += [(_join(tag(30), kind, soc, floors), has_soc & has_f), (_join(tag(31), soc, unit), has_soc & has_unit), (_join(tag(32), bone, unit), has_bone & has_unit), (_join(tag(33), loc, unit), has_loc & has_unit), (_join(tag(34), pin, unit), has_pin & has_unit)]
+            doors += [t for t, _ in slots[-4:]]
             slots += [(_join(tag(35), kind, loc, bone, floors), has_loc & has_bone & has_f), (_join(tag(36), kind, bone, floors), has_bone & has_f)]
             tokens, present = np.stack([s for s, _ in slots], axis=1), np.stack([h for _, h in slots], axis=1)
-            hashes = minhash(tokens, present, bands)
+            decisive = [i for i, (t, _) in enumerate(slots) if any(t is u for u in doors)]
+            # a door in a building, place, postcode or cell is met by itself: beside the slots that differ, a band would find it by chance only
+            exact = present.copy()
+            exact[:, -6] &= ~has_bone  # one building has one skeleton, whose door stands there as well
+            hashes = np.concatenate([minhash(tokens, present, bands), np.where(exact, _mix(tokens), np.uint64(0))[:, decisive]], axis=1)
             out = b.drop(columns=["address_full", "project_society_name", "locality"]).assign(society=society, place=place, letter=letter, number=number, phase=phase)
             out["sign"] = _sign(num("area"), num("price"), fl, fls, ba, num("balconies"))
             yield out.assign(bands=list((hashes >> np.uint64(33)).astype(np.int32)))  # 31 bits: two sets that meet by chance are told apart by their attributes
@@ -219,7 +226,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, *, blocks: int = 20) -> list[tupl
 def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5, sample: int = 10_000, bands: int = BANDS) -> DataFrame:
     """listing_id_a, listing_id_b, confidence: a row of ``one`` and a row of ``two`` that offer the same dwelling, the smaller id first.
 
-    Rows of one source with the same property_id are deliveries of one dwelling: what decides for one of them decides for all. Candidates share a MinHash band; those that differ in what they both state and cannot differ in (kind, floor,
+    Rows of one source with the same property_id are deliveries of one dwelling: what decides for one of them decides for all. Candidates share a MinHash band or a door number with its building, place, postcode or position cell; those that differ in what they both state and cannot differ in (kind, floor,
     bathrooms, balconies, direction, area beyond 6 %, price beyond 17 %, 2.5 km) are dropped. Where both addresses reach the door number
     these decide: equal ones with similar building names are matches, others are not. Such pairs are also the weak labels on which a
     logistic classifier of the other attributes is fitted, on at most ``sample`` pairs, half of them kept to calibrate its scores
@@ -233,10 +240,10 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
     x = one.select(*columns, F.lit(1).alias("src")).unionByName(two.select(*columns, F.lit(2).alias("src")))
     rows = listing_features(x, bands=bands)
     each = written(rows, "listing-features")
-    keyed = each.select("listing_id", "src", "sign", F.explode("bands").alias("band")).where("band <> 0")
-    left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.col("sign").alias("sa"), "band")
+    keyed = each.select("listing_id", "src", "sign", F.posexplode("bands").alias("at", "band")).where("band <> 0")
+    left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.col("sign").alias("sa"), "band", (F.col("at") < bands).alias("chance"))
     right = keyed.where("src = 2").select(F.col("listing_id").alias("eb"), F.col("sign").alias("sb"), "band")
-    pair = left.join(right, "band").where(_signs_agree(F.col("sa"), F.col("sb"))).select("ea", "eb").distinct()
+    pair = left.join(right, "band").where(_signs_agree(F.col("sa"), F.col("sb"))).groupBy("ea", "eb").agg(F.max("chance").alias("chance"))
     side = [c for c in rows.columns if c not in ("listing_id", "src", "entity", "sign", "bands")]
     whole = lambda src, name: each.where(F.col("src") == src).select(F.col("listing_id").alias(f"e{name}"), F.struct(*side).alias(name))
     f = pair.join(whole(1, "a"), "ea").join(whole(2, "b"), "eb").where(_possible())
@@ -245,8 +252,8 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
     alike = 1 - F.levenshtein("a.society", "b.society") / F.greatest(F.length("a.society"), F.length("b.society"))
     half = F.col("a.number").isNotNull() & F.col("b.number").isNotNull()
     told = F.when(full, (unit & (alike >= 0.6) & (F.col("a.phase") == F.col("b.phase"))).cast("int")).when(half & ~unit, F.lit(0))
-    f = written(f.select("ea", "eb", told.alias("told"), *[v.alias(f"x_{k}") for k, v in _pair_features().items()]), "pair-features")
-    labelled = f.where("told is not null")
+    f = written(f.select("ea", "eb", "chance", told.alias("told"), *[v.alias(f"x_{k}") for k, v in _pair_features().items()]), "pair-features")
+    labelled = f.where("told is not null and chance")  # drawn as the pairs are that the score has to tell
     total = labelled.groupBy("told").count().collect()  # two rows
     counts = {r[0]: r[1] for r in total}
     score = F.lit(None).cast("double")

@@ -63,3 +63,11 @@ def test_blocking_finds_most_pairs_by_attributes(spark):
     got = {tuple(r)[:2] for r in matched_listings(_rows(spark, one), _rows(spark, two)).collect()}
     want = {(k, 1000 + k) for k in range(300) if k % 2}
     assert len(got & want) / len(want) > 0.95 and len(got - {(k, 1000 + k) for k in range(300)}) <= 3
+
+
+def test_rows_that_share_only_their_door(spark):
+    """Full rows against rows that have only the address: no band is left to chance."""
+    full = [_flat(k, f"a{k}", address_full=f"Flat {k + 100}, T-A, Rutalu Homes") for k in range(300)]
+    bare = [dict.fromkeys(full[0]) | dict(listing_id=1000 + k, property_id=f"b{k}", address_full=f"A-{k + 100}, Rutalu Homes") for k in range(300)]
+    got = {tuple(r)[:2] for r in matched_listings(_rows(spark, full), _rows(spark, bare)).collect()}
+    assert got == {(k, 1000 + k) for k in range(300)}
