@@ -81,12 +81,14 @@ def ladder_lookup(pairs: DataFrame, rates: DataFrame, *, fuzzy_from: float | Non
 
 
 def nearest_names(names: DataFrame, choices: DataFrame, cutoff: float = 0.7) -> DataFrame:
-    """name, choice, score: for each distinct name the choice with the best matching-blocks ratio from ``cutoff`` on, among those that share a word or a first letter pair."""
-    key = lambda c: F.array_distinct(F.concat(F.filter(F.split(F.lower(c), r"[\s_]+"), lambda w: F.length(w) > 2), F.array(F.concat(F.lit("^"), F.substring(F.lower(c), 1, 2)))))
+    """name, choice, score: for each distinct name the choice with the best matching-blocks ratio from ``cutoff`` on, the last by name among equals.
+
+    Every choice counts: the matching blocks hold no more characters than the two have in common, so ``near_pairs`` loses none. The ratio
+    is taken from the choice to the name, as ``difflib.get_close_matches`` does.
+    """
     a = names.select(F.col(names.columns[0]).alias("name")).where("name is not null").distinct()
     b = choices.select(F.col(choices.columns[0]).alias("choice")).where("choice is not null").distinct()
-    pair = a.withColumn("k", F.explode(key(F.col("name")))).join(b.withColumn("k", F.explode(key(F.col("choice")))), "k").select("name", "choice").distinct()
-    scored = pair.withColumn("score", fuzzy.matching_blocks_ratio("name", "choice")).where(F.col("score") >= cutoff)
+    scored = fuzzy.near_pairs(a, b, "name", "choice", cutoff).withColumn("score", fuzzy.matching_blocks_ratio("choice", "name")).where(F.col("score") >= cutoff)
     return scored.groupBy("name").agg(F.max(F.struct("score", "choice")).alias("m")).select("name", "m.choice", "m.score")
 
 

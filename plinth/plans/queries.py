@@ -332,7 +332,7 @@ def gazetteer_extract(spark, d):
 
 @query()
 def fuzzy_match(spark, d):
-    x = _listings(spark, d).select(F.col("locality").alias("name")).where(F.length("name") < 40).distinct()
+    x = _listings(spark, d).select(F.col("locality").alias("name")).distinct()
     return lookup.nearest_names(x, table(spark, d, "gazetteer").select("locality"), 0.8)
 
 

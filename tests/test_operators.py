@@ -50,6 +50,16 @@ def test_fuzzy_rate_without_a_common_word(spark):
     assert got == {"mapanekku gunj": (1.0, 100), "dhaatihaenclv": (2.0, 100), "shobhasshova gnj": (3.0, 100), "ganj": (None, None), "": (None, None)}
 
 
+def test_nearest_names_without_a_common_key(spark):
+    import difflib
+
+    choices = ["Sector 52", "Rokarocha Bagh", "Mapaneku Ganj", "Shorehiya Enclave Phase 2, Jorayagarh Old Town", ""]
+    names = ["Sctor 52", " Rokaarocha-Bagh ", "Mpaneku Gnj", "Shorehiya Enclave Phase 2 Jorayagarh Old Towm", "zzz", None]
+    got = {r.name: r.choice for r in lookup.nearest_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(c,) for c in choices], "choice string"), 0.75).collect()}
+    assert got == {n: m[0] for n in names if n and (m := difflib.get_close_matches(n, choices, 1, 0.75))}
+    assert len(got) == 4
+
+
 def test_typed_rates(spark, rows):
     x = spark.createDataFrame([("c", "l", "Commercial", 9.0, 1), ("c", "l", "Residential", 5.0, 2), ("c", "l", "Residential", 4.0, 3), ("c", "m", "Plot", 7.0, 1), ("c", "m", "Plot", 0.0, 2)], "city string, locality string, kind string, rate double, seq int")
     assert rows(lookup.typed_rates(x, ["city", "locality"], "kind", "rate", "seq")) == [("c", "l", "Commercial", 9.0, 4.0), ("c", "l", "Residential", 5.0, 4.0), ("c", "m", "Plot", 7.0, 7.0)]
