@@ -109,13 +109,15 @@ def resolved_locality(requests: DataFrame, localities: DataFrame, least_overlap:
 def gazetteer_hit(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """id, locality: the longest gazetteer name of its city that stands in a text as whole words. ``texts``: id, city, text.
 
-    Runs of one to five words of the text are equi-joined to the names, so a text is not compared with every name.
+    Runs of words of the text, up to the length of the longest name, are equi-joined to the names, so a text is not compared with every name.
+    Runs a job.
     """
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     t = texts.select("id", "city", words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    t = t.select("id", "city", F.explode(F.array_distinct(runs)).alias("run"))
     g = gazetteer.select("city", "locality", F.trim(F.regexp_replace(F.lower("locality"), r"[^\p{L}\p{N}]+", " ")).alias("run")).distinct()
+    longest = g.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    t = t.select("id", "city", F.explode(F.array_distinct(runs)).alias("run"))
     return t.join(g, ["city", "run"]).groupBy("id").agg(F.max_by("locality", F.struct(F.length("run"), "locality")).alias("locality"))
 
 

@@ -50,6 +50,13 @@ def test_fuzzy_rate_without_a_common_word(spark):
     assert got == {"mapanekku gunj": (1.0, 100), "dhaatihaenclv": (2.0, 100), "shobhasshova gnj": (3.0, 100), "ganj": (None, None), "": (None, None)}
 
 
+def test_gazetteer_name_of_many_words(spark):
+    l = spark.createDataFrame([("c", "Old Mill Road Near The Third Gate"), ("c", "Mill Road")], "city string, locality string")
+    t = spark.createDataFrame([(1, "c", "a flat at old mill road, near the third gate"), (2, "c", "by mill road")], "id int, city string, text string")
+    assert sorted(tuple(x) for x in lookup.gazetteer_hit(t, l).collect()) == [(1, "Old Mill Road Near The Third Gate"), (2, "Mill Road")]
+    assert lookup.gazetteer_hit(t, l.where("false")).count() == 0
+
+
 def test_nearest_names_without_a_common_key(spark):
     import difflib
 
