@@ -52,11 +52,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "passage"))
 
 
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+    return p10_pages(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p4_found, p4_matched, p5_found, p8_packed, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p4_found, p4_matched, p5_found, p8_packed, p9_found, p10_found, p10_pages)}
 
 #: The same buckets, counted and cut at the same ranks without windows over partitions.
 _P3 = """

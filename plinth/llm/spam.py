@@ -1,4 +1,4 @@
-"""Keyword-stuffed and link-list pages: the share of a page that is such text, and the pages' rank-frequency curves in SQL windows."""
+"""Keyword-stuffed and link-list pages by their rank-frequency curves, fitted in SQL windows; an exact share settles close calls."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm import spam_model
+from plinth.llm.match import fit_logistic
 from plinth.session import written
 
 _LINK = re.compile(r"<a\s[^<>]{0,400}>.{0,300}?</a>|\[[^\]\n]{1,160}\]\(\s*(?:https?:)?//[^)\s]*\)|(?:https?://|www\.)[^\s|,;<>\"]+", re.I | re.S)
@@ -131,82 +134,165 @@ def stuffed_share(text: str, *, density: float = 0.02, cover: float = 0.3) -> fl
 
 #: Words, and every other mark as a word of its own: the marks between links, tags and phrases shape the curve as well.
 _TOKEN = re.compile(r"[\wऀ-ॿ]+|[^\w\sऀ-ॿ]")
+#: Marks that have a share of their own; all others share one.
+MARKS = (".", ",", "#", "-", "/", "|")
+CLASSES = 9
 
 
 def spectra(documents: DataFrame) -> DataFrame:
-    """doc_id, script, n, f, v, mark: for each document the number ``v`` of distinct words (or marks) that occur ``f`` times among its ``n``.
+    """doc_id, page, script, n, unit, f, v: for each text the number ``v`` of distinct entries that occur ``f`` times among its ``n`` words and marks.
 
-    The spectrum holds the whole rank-frequency curve in a handful of rows. ``script`` tells prose of one language from another's by its
-    letters, as ``lang`` is often missing.
+    The spectrum holds a page's rank-frequency curves in a handful of rows: of its words (unit ``w``), of the pairs of neighbouring words and
+    marks (``b``), and of its marks, one row each (``.`` and so on, ``*`` for the rest). ``page`` tells texts of one doc_id apart. ``script``
+    tells prose of one language from another's by its letters, as ``lang`` is often missing.
     """
+    named = set(MARKS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
-                words = _TOKEN.findall(t.lower())
-                if not words:
+            for i, p, t in zip(b["doc_id"].tolist(), b["page"].tolist(), b["text"].tolist(), strict=True):
+                tokens = _TOKEN.findall(t.lower())
+                if not tokens:
                     continue
-                n, times = len(words), Counter(words)
+                n, times = len(tokens), Counter(tokens)
                 own = 0 if t.isascii() else sum(f for w, f in times.items() if "ऀ" <= w[0] <= "ॿ")
                 script = "deva" if 2 * own > n else "latn"
-                marks = Counter(f for w, f in times.items() if len(w) == 1 and not w.isalnum())
-                every = Counter(times.values())
-                every.subtract(marks)
-                out += [(i, script, n, f, v, False) for f, v in every.items() if v] + [(i, script, n, f, v, True) for f, v in marks.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "script", "n", "f", "v", "mark"])
+                marks: Counter = Counter()
+                for w in [w for w in times if len(w) == 1 and not w.isalnum()]:
+                    marks[w if w in named else "*"] += times.pop(w)
+                for unit, c in (("w", Counter(times.values())), ("b", Counter(Counter(zip(tokens, tokens[1:])).values()))):
+                    out += [(i, p, script, n, unit, f, v) for f, v in c.items()]
+                out += [(i, p, script, n, m, f, 1) for m, f in marks.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "page", "script", "n", "unit", "f", "v"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(count, f"doc_id {kind}, script string, n int, f int, v int, mark boolean")
+    return _pages(documents).mapInPandas(count, f"doc_id {kind}, page long, script string, n int, unit string, f int, v int")
 
 
-def curve_features(spectrum: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    """doc_id, script, size, slope, residual, divergence of each page's rank-frequency curve.
+def _pages(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").where("text is not null and text <> ''").withColumn("page", F.xxhash64("text"))
 
-    Slope and residual are of the least-squares line through log frequency over log rank, each word one point at the middle of the ranks
-    of its frequency. Divergence is from the mean share of words in each frequency class, and of marks, among pages of the same script and
-    size (``size``: the power of two of the page's length) whose ``doc_id`` is not in ``without``; where no page is left, every share counts
-    as far from it.
+
+def curve_features(spectrum: DataFrame) -> DataFrame:
+    """One row for each page: doc_id, page, script, n, and the shape of its curves.
+
+    Slope and residual (``w_slope``, ``b_residual``) are of the least-squares line through log frequency over log rank, each entry one point,
+    those of one frequency at the middle of their ranks. ``w_c0`` to ``w_c8`` are the shares of the page's entries that occur once, two to
+    three times, four to seven times and so on; ``w_types`` is the distinct share, ``w_top`` the commonest entry's. ``w_divergence`` is the
+    Kullback-Leibler divergence of these shares from those of prose of the same script and length (``spam_model.PROSE``). ``m_0`` to ``m_6``
+    are the marks' shares. No row depends on any other page.
     """
-    spectrum.createOrReplaceTempView("__plinth_spectrum")
-    spark = spectrum.sparkSession
-    ranked = spark.sql("""
-        SELECT *, ln(f) AS y, ln(sum(v) OVER (PARTITION BY doc_id ORDER BY f DESC, mark ROWS UNBOUNDED PRECEDING) - v / 2.0D + 0.5D) AS x,
-               cast(floor(log2(n)) AS int) AS size, if(mark, 9, least(cast(floor(log2(f)) AS int), 8)) AS class
+    x = spectrum.repartition("doc_id", "page")  # the window and the sums below both work on this one partitioning
+    x.createOrReplaceTempView("__plinth_spectrum")
+    ranked = spectrum.sparkSession.sql("""
+        SELECT *, ln(f) AS y, ln(sum(v) OVER (PARTITION BY doc_id, page, unit ORDER BY f DESC ROWS UNBOUNDED PRECEDING) - v / 2.0D + 0.5D) AS x,
+               least(cast(floor(log2(f)) AS int), 8) AS class
         FROM __plinth_spectrum""")
-    fit = ranked.groupBy("doc_id", "script", "size").agg(
-        F.sum("v").alias("w"), F.sum(F.expr("v * x")).alias("sx"), F.sum(F.expr("v * y")).alias("sy"), F.sum(F.expr("v * x * x")).alias("sxx"), F.sum(F.expr("v * x * y")).alias("sxy"), F.sum(F.expr("v * y * y")).alias("syy"),
-        *[(F.sum(F.when(F.col("class") == c, F.col("f") * F.col("v")).otherwise(0)) / F.sum(F.expr("f * v"))).alias(f"c{c}") for c in range(10)],
-    )
-    vxx, vxy, vyy = F.expr("sxx - sx * sx / w"), F.expr("sxy - sx * sy / w"), F.expr("syy - sy * sy / w")
-    slope = F.when(vxx > 1e-9, vxy / vxx).otherwise(0.0)
-    fit = fit.withColumns({"slope": slope, "residual": F.sqrt(F.greatest(F.lit(0.0), (vyy - slope * vxy) / F.col("w")))})
-    fit = written(fit.select("doc_id", "script", "size", "slope", "residual", *[f"c{c}" for c in range(10)]), "curves")  # read twice below
-    rule = fit if without is None else fit.join(without.distinct(), "doc_id", "left_anti")
-    like = rule.groupBy("script", "size").agg(*[F.avg(f"c{c}").alias(f"m{c}") for c in range(10)])
-    total = F.lit(0.0)
-    for c in range(10):
-        total = total + F.when(F.col(f"c{c}") > 0, F.col(f"c{c}") * F.log(F.col(f"c{c}") / F.greatest(F.col(f"m{c}"), F.lit(1e-6)))).otherwise(0.0)
-    return fit.join(F.broadcast(like), ["script", "size"], "left").select("doc_id", "script", "size", "slope", "residual", total.alias("divergence"))
-
-
-def stuffed_pages(documents: DataFrame, *, most: float = 0.5) -> DataFrame:
-    """doc_id, share, slope, residual, divergence of the pages of which more than ``most`` is search phrases, links or tags.
-
-    ``stuffed_share`` judges every page, so which pages are found depends on no other page. The curve cannot tell a table of units from a
-    list of tags, and where such pages are many they are the rule that a curve is held against; it describes the pages found, its
-    divergence from the pages that are not.
-    Null and empty texts, and texts without a word or mark, are in no row. Repeated rows of one id with one text are one page. Empty input
-    gives an empty result. Runs jobs.
+    sums = [F.first("script").alias("script"), F.first("n").alias("n")]
+    for u in ("w", "b"):
+        of = lambda e, u=u: F.coalesce(F.sum(F.when(F.col("unit") == u, F.expr(e))), F.lit(0.0))
+        sums += [of(e).alias(f"{u}_{k}") for k, e in {"t": "v", "k": "f * v", "sx": "v * x", "sy": "v * y", "sxx": "v * x * x", "sxy": "v * x * y", "syy": "v * y * y"}.items()]
+        sums += [of(f"if(class = {c}, f * v, 0)").alias(f"{u}_n{c}") for c in range(CLASSES)]
+        sums += [F.coalesce(F.max(F.when(F.col("unit") == u, F.col("f"))), F.lit(0)).alias(f"{u}_most")]
+    sums += [F.coalesce(F.sum(F.when(F.col("unit") == m, F.col("f"))), F.lit(0)).alias(f"m{i}") for i, m in enumerate((*MARKS, "*"))]
+    x = ranked.groupBy("doc_id", "page").agg(*sums)
+    one, two = {}, {}  # in steps, each on the columns of the one before, so that no expression is written out more than once
+    for u in ("w", "b"):
+        k, t = F.greatest(F.col(f"{u}_k"), F.lit(1.0)), F.greatest(F.col(f"{u}_t"), F.lit(1.0))
+        c = lambda a, b, p, u=u, t=t: F.col(f"{u}_{p}") - F.col(f"{u}_{a}") * F.col(f"{u}_{b}") / t
+        one |= {f"{u}_vxx": c("sx", "sx", "sxx"), f"{u}_vxy": c("sx", "sy", "sxy"), f"{u}_vyy": c("sy", "sy", "syy")}
+        one |= {f"{u}_types": F.col(f"{u}_t") / k, f"{u}_top": F.col(f"{u}_most") / k} | {f"{u}_c{i}": F.col(f"{u}_n{i}") / k for i in range(CLASSES)}
+        vxx, vxy, vyy = (F.col(f"{u}_{v}") for v in ("vxx", "vxy", "vyy"))
+        two |= {f"{u}_slope": F.when(vxx > 1e-9, vxy / vxx).otherwise(0.0), f"{u}_residual": F.sqrt(F.greatest(F.lit(0.0), (vyy - F.when(vxx > 1e-9, vxy * vxy / vxx).otherwise(0.0)) / t)), f"{u}_divergence": _divergence(u)}
+    one |= {f"m_{i}": F.col(f"m{i}") / F.col("n") for i in range(len(MARKS) + 1)} | {"length": _length()}
+    return x.withColumns(one).withColumns(two).select("doc_id", "page", "script", "n", *FEATURES)
+
+
+def _length() -> Column:
+    return F.log(F.col("n").cast("double"))
+
+
+def _divergence(unit: str) -> Column:
+    """Of the shares ``<unit>_c<i>`` from those of prose of the page's script at its length, which are quadratics in the length's logarithm."""
+    coefficients = F.when(F.col("script") == "deva", _rows(spam_model.PROSE[unit]["deva"])).otherwise(_rows(spam_model.PROSE[unit]["latn"]))
+    want = F.transform(coefficients, lambda q: F.greatest(F.lit(0.002), q[0] + q[1] * F.col("length") + q[2] * F.col("length") * F.col("length")))
+    each = F.zip_with(F.array(*[F.col(f"{unit}_c{i}") for i in range(CLASSES)]), want, lambda p, q: F.struct(F.when(p > 0, p * F.log(p / q)).otherwise(0.0).alias("kl"), q.alias("q")))
+    both = F.aggregate(each, F.struct(F.lit(0.0).alias("kl"), F.lit(0.0).alias("q")), lambda s, e: F.struct((s["kl"] + e["kl"]).alias("kl"), (s["q"] + e["q"]).alias("q")), lambda s: s["kl"] + F.log(s["q"]))
+    return F.when(F.col(f"{unit}_k") > 0, both).otherwise(0.0)
+
+
+def _rows(table: list) -> Column:
+    return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in table])
+
+
+FEATURES = [f"{u}_{k}" for u in ("w", "b") for k in ("slope", "residual", "divergence", "types", "top", *[f"c{i}" for i in range(CLASSES)])] + [f"m_{i}" for i in range(len(MARKS) + 1)]
+
+
+def curve_score() -> Column:
+    """The log odds, from its curves alone, that more than half of a page is stuffed: ``spam_model.WEIGHTS`` over ``FEATURES``, each weighing differently with length."""
+    z = F.lit(spam_model.INTERCEPT[0]) + F.lit(spam_model.INTERCEPT[1]) * _length() + F.lit(spam_model.INTERCEPT[2]) * _length() * _length() + F.when(F.col("script") == "deva", F.lit(spam_model.INTERCEPT[3])).otherwise(0.0)
+    for k in FEATURES:
+        a, b = spam_model.WEIGHTS[k]
+        z = z + F.col(k) * (F.lit(a) + F.lit(b) * _length())
+    return z
+
+
+def fit_prose(features: pd.DataFrame, stuffed: pd.Series) -> dict:
+    """``PROSE``: for each unit, script and class the quadratic in log length that fits the shares of the pages that are not stuffed."""
+    out: dict = {}
+    for u in ("w", "b"):
+        out[u] = {}
+        for script in ("latn", "deva"):
+            rows = features[(features["script"] == script) & ~stuffed]
+            length = np.log(rows["n"].to_numpy(dtype=float))
+            x = np.stack([np.ones_like(length), length, length**2], axis=1)
+            w = np.linalg.solve(x.T @ x + np.diag([1e-6, 1e-4, 1e-4]), x.T @ rows[[f"{u}_c{i}" for i in range(CLASSES)]].to_numpy(dtype=float))
+            out[u][script] = [tuple(round(float(v), 5) for v in w[:, i]) for i in range(CLASSES)]
+    return out
+
+
+def fit_weights(features: pd.DataFrame, stuffed: pd.Series, ridge: float = 1.0) -> tuple[dict, tuple]:
+    """``WEIGHTS`` and ``INTERCEPT`` by ridge logistic regression on standardised features, brought back to the features' own scale."""
+    length = np.log(features["n"].to_numpy(dtype=float))
+    base = features[FEATURES].to_numpy(dtype=float)
+    x = np.concatenate([base, base * length[:, None], length[:, None], (length**2)[:, None], (features["script"] == "deva").to_numpy(dtype=float)[:, None]], axis=1)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    w = fit_logistic((x - mean) / scale, stuffed.to_numpy(dtype=float), ridge=ridge)
+    own = w[:-1] / scale
+    k = len(FEATURES)
+    weights = {f: (round(float(own[i]), 4), round(float(own[k + i]), 4)) for i, f in enumerate(FEATURES)}
+    return weights, tuple(round(float(v), 4) for v in (w[-1] - (own * mean).sum(), own[2 * k], own[2 * k + 1], own[2 * k + 2]))
+
+
+def training_rows(documents: DataFrame, most: int = 20_000) -> pd.DataFrame:
+    """Features and weak label (``share``, by ``stuffed_share``) of at most ``most`` distinct texts, those of the least hashes: what the model is fitted on."""
+    texts = _pages(documents).groupBy("page").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")).orderBy("page").limit(most)
+    rows = curve_features(spectra(texts)).toPandas()
+    share = texts.select("page", "text").toPandas().set_index("page")["text"].map(stuffed_share)
+    return rows.assign(share=share.reindex(rows["page"]).to_numpy())
+
+
+def stuffed_pages(documents: DataFrame, *, least: float = -3.0) -> DataFrame:
+    """doc_id, score, slope, residual, divergence of the pages of which more than half is search phrases, links or tags.
+
+    A page's rank-frequency curves flag it: ``curve_score`` weighs slope, residual, divergence from prose of its script and length, and the
+    curves' ends, and a page whose log odds are under ``least`` is none. The exact share of each flagged page (``stuffed_share``) follows, as
+    a table of rates in pipes has the curve of a list of tags. No page's result depends on another page, so neither the corpus' size nor
+    copies change it.
+
+    Null and empty texts, and texts without a word or mark, are in no row. Rows of one id with one text are one page; an id with several
+    texts has a row for each that is found. Empty input gives an empty result; further columns are ignored. Runs a job.
     """
-    texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
+    shown = [F.col(f"w_{k}").alias(k) for k in ("slope", "residual", "divergence")]
+    scored = curve_features(spectra(documents)).withColumn("score", curve_score())
+    flagged = written(scored.where(F.col("score") >= least).select("doc_id", "page", "score", *shown), "flagged")
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            share = b["text"].map(stuffed_share).astype("float64")
-            yield b.assign(share=share)[share > most][["doc_id", "share"]]
+            yield b[b["text"].map(stuffed_share).astype("float64") > 0.5].drop(columns=["text", "page"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    found = written(texts.mapInPandas(judge, f"doc_id {kind}, share double").distinct(), "stuffed")  # read twice below
-    curves = curve_features(spectra(documents), found.select("doc_id"))
-    return found.join(curves, "doc_id", "left").select("doc_id", "share", "slope", "residual", "divergence").distinct()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flagged.schema if f.name != "page")
+    own = _pages(documents).withColumnRenamed("page", "__page").withColumnRenamed("doc_id", "__doc")
+    texts = own.join(flagged, (F.col("__page") == F.col("page")) & F.col("__doc").eqNullSafe(F.col("doc_id"))).select(*flagged.columns, "text")  # broadcast by Spark only while the written table is small
+    return texts.mapInPandas(check, kinds).distinct()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plinth.llm.leak import FMIndex, Passages, leaked_passages, mended, shard_hits, squashed, suffix_array, word_bytes
-from plinth.llm.spam import curve_features, spectra, stuffed_pages, stuffed_share
+from plinth.llm.spam import FEATURES, curve_features, curve_score, fit_weights, spectra, stuffed_pages, stuffed_share, training_rows
 
 PASSAGE = "The register records a deposit of 29.9 lakh, followed by 28 instalments paid every second month. As Prithvik Group delayed the second block, 27 allottees withdrew and recovered 9.5 percent of what they paid."
 OTHER = "A third of the orchard behind Menoluro Kunj was leased to a school until 2025. Elders recalled that the arch at Kolugi Manor tilted in January 2015, well before the sale."
@@ -140,6 +140,31 @@ def test_many_copies_of_one_stuffed_page(spark):
 
 def test_curve_of_a_zipf_page(spark):
     words = " ".join(w for r in range(1, 60) for w in [f"w{r}"] * max(1, round(600 / r)))
-    r = curve_features(spectra(spark.createDataFrame([(1, words), (2, "a b c d e f g h")], "doc_id long, text string"))).collect()
+    r = curve_features(spectra(spark.createDataFrame([(1, words), (2, "a b c d e f g h"), (3, "!!!"), (4, None)], "doc_id long, text string"))).collect()
     by = {x.doc_id: x for x in r}
-    assert by[1].slope == pytest.approx(-1.0, abs=0.1) and by[1].residual < 0.2 and by[2].slope == 0.0
+    assert by[1].w_slope == pytest.approx(-1.0, abs=0.1) and by[1].w_residual < 0.2 and by[2].w_slope == 0.0 and set(by) == {1, 2, 3}
+    assert by[2].w_c0 == 1.0 and by[1].w_divergence > by[2].w_divergence and by[3].w_divergence == 0.0
+
+
+def test_curves_alone_tell_stuffed_pages(spark):
+    rng = random.Random(4)
+    names = ["Ralino", "Salipa", "Mobiluja", "Hajolu", "Regi", "Gija", "Nimabi", "Tisolu"]
+    ads = ["flats in", "2 bhk flats in", "cheap plots", "resale flat", "kothi", "new launch", "office space"]
+    ham = [(i, " ".join(rng.sample(PROSE, rng.randint(3, 8)))) for i in range(60)]
+    bad = [(1000 + i, rng.choice([" | ", ", ", "; ", " / "]).join(f"{rng.choice(ads)} {rng.choice(names[:3])}" for _ in range(rng.randint(10, 40)))) for i in range(60)]
+    scored = curve_features(spectra(spark.createDataFrame(ham + bad, "doc_id long, text string"))).select("doc_id", curve_score().alias("z")).collect()
+    assert sum((r.z > 0) == (r.doc_id >= 1000) for r in scored) >= 114
+
+
+def test_a_page_is_judged_alike_in_any_corpus(spark):
+    d = spark.createDataFrame([(1, SPAM["tags"]), (2, HAM["prose"])], "doc_id long, text string")
+    alone = {r.doc_id: r.z for x in (d.where("doc_id = 1"), d.where("doc_id = 2")) for r in curve_features(spectra(x)).select("doc_id", curve_score().alias("z")).collect()}
+    assert {r.doc_id: r.z for r in curve_features(spectra(d.union(d))).select("doc_id", curve_score().alias("z")).collect()} == pytest.approx(alone)
+
+
+def test_the_model_is_fitted_on_distinct_texts(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*SPAM.values(), *HAM.values()] * 3)], "doc_id long, text string")
+    rows = training_rows(d, most=100)
+    assert len(rows) == len({*SPAM.values(), *HAM.values()} - {""})
+    weights, intercept = fit_weights(rows, rows["share"] > 0.5)
+    assert set(weights) == set(FEATURES) and len(intercept) == 4
