@@ -183,7 +183,7 @@ def curve_features(spectrum: DataFrame) -> DataFrame:
     Kullback-Leibler divergence of these shares from those of prose of the same script and length (``spam_model.PROSE``). ``m_0`` to ``m_6``
     are the marks' shares. No row depends on any other page.
     """
-    x = spectrum.repartition("doc_id", "page")  # the window and the sums below both work on this one partitioning
+    x = spectrum.repartition("doc_id", "page").distinct()  # repeated rows are one page; this, the window and the sums below work on one partitioning
     x.createOrReplaceTempView("__plinth_spectrum")
     ranked = spectrum.sparkSession.sql("""
         SELECT *, ln(f) AS y, ln(sum(v) OVER (PARTITION BY doc_id, page, unit ORDER BY f DESC ROWS UNBOUNDED PRECEDING) - v / 2.0D + 0.5D) AS x,
