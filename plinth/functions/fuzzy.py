@@ -106,3 +106,34 @@ def _common(a: str, b: str) -> int:
 def indel_ratio_of_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
     """``indel_ratio`` of many pairs, without a row of the dynamic programme for each character. Call it on distinct pairs."""
     return pd.Series([200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _window_ratio(a: str, b: str) -> float:
+    """The best ``indel_ratio`` of the shorter text with a window of its length in the longer, those that begin or end with it included."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0
+    n = len(a)
+    return max(200.0 * _common(a, w) / (n + len(w)) for i in range(1 - n, len(b)) if (w := b[max(0, i) : i + n]))
+
+
+def _set_ratio(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    both = " ".join(sorted(x & y))
+    p, q = f"{both} {' '.join(sorted(x - y))}".strip(), f"{both} {' '.join(sorted(y - x))}".strip()
+    if both and (x <= y or y <= x):
+        return 100.0
+    ratio = lambda s, t: 200.0 * _common(s, t) / (len(s) + len(t)) if s or t else 100.0
+    return max(ratio(p, q), ratio(both, p) if both else 0.0, ratio(both, q) if both else 0.0)
+
+
+@F.pandas_udf(T.DoubleType())
+def best_of_three(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The best of the token-set, token-sort and window similarities of many pairs. Call it on distinct pairs of lower-case texts."""
+
+    def one(x: str, y: str) -> float:
+        s, t = " ".join(sorted(x.split())), " ".join(sorted(y.split()))
+        return max(_set_ratio(x, y), 200.0 * _common(s, t) / (len(s) + len(t)) if s or t else 100.0, _window_ratio(x, y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
