@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.address import parse_address, place_key
+from plinth.llm.places import STREET_KINDS, latin, phonetic, place_tokens
 from plinth.operators.fill import compass
 from plinth.operators.geo import haversine_km, restored_position
 from plinth.operators.units import area_graph, parsed_price, spelling_table, unit_alias
 from plinth.session import written
 
 BANDS = 24
+#: The log odds at most of a pair with two different doors.
+NO_MATCH = -8.0
 _BONES = re.compile("[aeiouy]")
 _FEATURES = "listing_id long, src int, entity string, kind string, area double, price double, lat double, lon double, floor int, floors int, bathrooms int, balconies int, facing string, bhk int, society string, place string, letter string, number string, phase int, sign int, bands array<int>"
 
@@ -73,11 +76,27 @@ def society_key(name: str | None) -> tuple[str, int]:
     return (a[3], a[5]) if a else ("", 0)
 
 
+_TITLE = re.compile(r"[^\W\d_]+|\d+")
+#: Words that stand before a street's kind without naming it, and kinds that are written for a property's own.
+_NO_NAME = frozenset("ring main wide front facing good gated builder service link high independent premium spacious residential this".split())
+_OWN_KIND = frozenset(["apartment", "floor", "home"])
+
+
+def titled_society(title: str | None) -> tuple[str, int]:
+    """The phonetic name and phase of the building or street that a listing's first sentence names before its kind ('for sale in Neka Homes'), ('', 0) if none."""
+    words = _TITLE.findall(title.lower()) if title else []
+    for a, b, c, d in zip(words, words[1:], [*words[2:], "", ""], [*words[3:], "", "", ""]):
+        kind = place_tokens(b)
+        if len(kind) == 1 and kind[0] in STREET_KINDS and b not in _OWN_KIND and len(a) >= 4 and a.isalpha() and a not in _NO_NAME:
+            return phonetic(latin(a)), int(d) if c == "phase" and d.isdigit() else 0
+    return "", 0
+
+
 def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
     """One row for each listing with what identifies its dwelling, and the MinHash bands of its attributes.
 
     ``listings``: the columns of a listing table and ``src``. Areas come from the declared value and unit (or price over rate where
-    no unit fits), prices from the number or its text. The set of a row holds its attributes in combinations that few dwellings share:
+    no unit fits), prices from the number or its text, the building's name from the address, its own field or the description's first sentence. The set of a row holds its attributes in combinations that few dwellings share:
     place (position cell, building or locality) with area, price or floor; numbers are in buckets with two offsets, so near values
     share one. Unknown attributes add nothing. After the bands come the combinations that hold a door number, as they are.
     """
@@ -97,6 +116,7 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
         q["lat"].alias("lat"), q["lon"].alias("lon"), floor.alias("floor"), F.nullif(F.regexp_extract("floors", r"of (\d+)", 1), F.lit("")).cast("int").alias("floors"),
         whole("bathrooms", 1, 12).alias("bathrooms"), whole("balconies", 0, 12).alias("balconies"), compass(F.col("facing_direction")).alias("facing"), whole("bhk", 1, 10).alias("bhk"),
         "address_full", "project_society_name", "locality",
+        F.when(F.coalesce(F.length(F.trim("project_society_name")), F.lit(0)) < 4, F.substring_index(F.regexp_replace("description", r"<[^<>]{0,200}>", " "), ".", 1)).alias("title"),
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +135,7 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
                 continue
             a = [parse_address(s, need_number=False) for s in b["address_full"]]
             named = [once(society_key, s) for s in b["project_society_name"]]
+            named = [s if s[0] or y and y[3] else titled_society(t) for y, s, t in zip(a, named, b["title"], strict=True)]
             society = [y[3] if y and y[3] else s[0] for y, s in zip(a, named, strict=True)]
             phase = [y[5] if y and y[3] else s[1] for y, s in zip(a, named, strict=True)]
             place = [once(place_key, s) or (y and place_key(y[6])) or "" for y, s in zip(a, b["locality"], strict=True)]
@@ -157,7 +178,7 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
             exact = present.copy()
             exact[:, -6] &= ~has_bone  # one building has one skeleton, whose door stands there as well
             hashes = np.concatenate([minhash(tokens, present, bands), np.where(exact, _mix(tokens), np.uint64(0))[:, decisive]], axis=1)
-            out = b.drop(columns=["address_full", "project_society_name", "locality"]).assign(society=society, place=place, letter=letter, number=number, phase=phase)
+            out = b.drop(columns=["address_full", "project_society_name", "locality", "title"]).assign(society=society, place=place, letter=letter, number=number, phase=phase)
             out["sign"] = _sign(num("area"), num("price"), fl, fls, ba, num("balconies"))
             yield out.assign(bands=list((hashes >> np.uint64(33)).astype(np.int32)))  # 31 bits: two sets that meet by chance are told apart by their attributes
 
@@ -165,7 +186,14 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
 
 
 VETO_AREA, VETO_PRICE, VETO_KM = 0.06, 0.16, 2.5
-NAMES = ["area", "no_area", "price", "no_price", "km", "no_km", "floor", "bathrooms", "balconies", "facing", "bhk", "other_bhk", "society", "no_society", "place"]
+NAMES = ["area", "no_area", "price", "no_price", "km", "no_km", "floor", "bathrooms", "balconies", "facing", "bhk", "other_bhk", "society", "no_society", "phase", "place", "unit", "other_unit", "no_unit"]
+#: What a masked copy of a labelled pair does not show: its door numbers, and with the second its building's name as well.
+MASKS: list[dict[str, float]] = [{}, {"unit": 0.0, "other_unit": 0.0, "no_unit": 1.0}, {"unit": 0.0, "other_unit": 0.0, "no_unit": 1.0, "society": 0.0, "no_society": 1.0, "phase": 0.0}]
+#: Weights that few labels are drawn to, intercept last: those fitted on the listings at sf0.1.
+PRIOR = {
+    "area": -3.262, "no_area": -1.912, "price": -4.444, "no_price": -1.751, "km": -1.377, "no_km": -1.252, "floor": 1.746, "bathrooms": 0.611, "balconies": 0.383, "facing": 1.139, "bhk": -0.018, "other_bhk": -2.136,
+    "society": 6.774, "no_society": 5.835, "phase": -0.67, "place": 0.067, "unit": 1.731, "other_unit": -4.617, "no_unit": 0.325, "intercept": -2.561,
+}
 
 
 def _pair_features() -> dict[str, Column]:
@@ -175,6 +203,9 @@ def _pair_features() -> dict[str, Column]:
     gap = lambda c: F.coalesce(F.abs(F.log(a(c) / b(c))), F.lit(0.0))
     km = haversine_km(a("lat"), a("lon"), b("lat"), b("lon"))
     named = (a("society") != "") & (b("society") != "")
+    doors = a("number").isNotNull() & b("number").isNotNull()
+    same_door = (a("number") == b("number")) & (F.coalesce(a("letter"), F.lit("")) == F.coalesce(b("letter"), F.lit("")))
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     like = 1 - F.levenshtein(a("society"), b("society")) / F.greatest(F.length(a("society")), F.length(b("society")))
     return {
         "area": gap("area") * 20, "no_area": F.when(both("area"), 0.0).otherwise(1.0), "price": gap("price") * 8, "no_price": F.when(both("price"), 0.0).otherwise(1.0),
@@ -182,6 +213,7 @@ def _pair_features() -> dict[str, Column]:
         "floor": F.when(both("floor") & both("floors") & (a("floor") == b("floor")) & (a("floors") == b("floors")), 1.0).otherwise(0.0),
         "bathrooms": same("bathrooms"), "balconies": same("balconies"), "facing": same("facing"), "bhk": same("bhk"), "other_bhk": F.when(both("bhk") & (a("bhk") != b("bhk")), 1.0).otherwise(0.0),
         "society": F.when(named, like).otherwise(0.0), "no_society": F.when(named, 0.0).otherwise(1.0), "place": F.when((a("place") != "") & (a("place") == b("place")), 1.0).otherwise(0.0),
+        "phase": flag(named & (a("phase") != b("phase"))), "unit": flag(doors & same_door), "other_unit": flag(doors & ~same_door), "no_unit": flag(~doors),
     }
 
 
@@ -195,87 +227,103 @@ def _possible() -> Column:
     return ok & F.coalesce(haversine_km(a("lat"), a("lon"), b("lat"), b("lon")) <= VETO_KM, F.lit(True))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Weights, the last one the intercept, by Newton's method with a ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1.0, steps: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the last one the intercept, by Newton's method with a ridge that draws them to ``prior`` (zeros if not given, and then not the intercept)."""
     x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if prior is None else np.array(prior, dtype=float)
+    centre = w.copy()
     pen = np.full(x.shape[1], ridge)
-    pen[-1] = 1e-6
+    pen[-1] = 1e-6 if prior is None else ridge
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (y - p) - pen * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (y - p) - pen * (w - centre))
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def isotonic(score: np.ndarray, y: np.ndarray, *, blocks: int = 20) -> list[tuple[float, float]]:
-    """(upper score, probability) steps that never fall: the share of matches in up to ``blocks`` ranges of the score, pooled until they rise."""
-    o = np.argsort(score, kind="stable")
+def isotonic(score: np.ndarray, y: np.ndarray, *, edges: np.ndarray | None = None, weight: float = 4.0) -> list[tuple[float, float]]:
+    """(upper score, probability) steps that never fall: the share of matches in ranges of the score, pooled until they rise.
+
+    Each range begins with ``weight`` observations of what its score says as log odds, so few labels, or none, leave the scores' own
+    probabilities.
+    """
+    edges = np.arange(-6.0, 6.5, 0.5) if edges is None else edges
+    at = np.searchsorted(edges, score, side="left")
+    middle = np.concatenate([[edges[0] - 1], (edges[:-1] + edges[1:]) / 2, [edges[-1] + 1]])
     pools: list[list[float]] = []
-    for part in np.array_split(o, min(blocks, max(1, len(o) // 25))):
-        if len(part):
-            pools.append([float(score[part].max()), float(y[part].sum()) + 0.5, len(part) + 1.0])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                top = pools.pop()
-                pools[-1] = [top[0], pools[-1][1] + top[1], pools[-1][2] + top[2]]
-    return [(u, s / n) for u, s, n in pools]
+    for i, m in enumerate(middle):
+        mine = y[at == i]
+        pools.append([float(edges[i]) if i < len(edges) else float("inf"), float(mine.sum()) + weight / (1 + np.exp(-m)), len(mine) + weight])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            top = pools.pop()
+            pools[-1] = [top[0], pools[-1][1] + top[1], pools[-1][2] + top[2]]
+    return [(u, float(s / n)) for u, s, n in pools]
+
+
+def with_masks(data: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled pairs (columns ``NAMES``) as they are, without their door numbers, and without their building's name as well: what other pairs lack, the classifier learns to do without."""
+    out = []
+    for mask in MASKS:
+        x = data.copy()
+        for k, v in mask.items():
+            x[:, NAMES.index(k)] = v
+        out.append(x)
+    return np.concatenate(out), np.tile(y, len(MASKS))
 
 
 def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5, sample: int = 10_000, bands: int = BANDS) -> DataFrame:
     """listing_id_a, listing_id_b, confidence: a row of ``one`` and a row of ``two`` that offer the same dwelling, the smaller id first.
 
-    Rows of one source with the same property_id are deliveries of one dwelling: what decides for one of them decides for all. Candidates share a MinHash band or a door number with its building, place, postcode or position cell; those that differ in what they both state and cannot differ in (kind, floor,
-    bathrooms, balconies, direction, area beyond 6 %, price beyond 17 %, 2.5 km) are dropped. Where both addresses reach the door number
-    these decide: equal ones with similar building names are matches, others are not. Such pairs are also the weak labels on which a
-    logistic classifier of the other attributes is fitted, on at most ``sample`` pairs, half of them kept to calibrate its scores
-    (isotonic); for all other pairs its calibrated probability is the confidence, and those under ``confidence`` are left out.
-
-    Nulls in any column are unknown attributes; a row with no usable combination of attributes is in no pair. Too few labels (under 50 of
-    either kind) leave only pairs decided by address. Repeated rows are rows of their own. Empty input gives no pairs. Further columns
-    are ignored. Runs jobs.
+    Candidates share a MinHash band or a door number with its building, place, postcode or position cell; those that differ in what they
+    both state and cannot differ in (kind, floor, bathrooms, balconies, direction, area beyond 6 %, price beyond 17 %, 2.5 km) are dropped. A
+    logistic classifier over ``NAMES`` (gaps of area, price and position, agreement of the counts, names, phase and door number, and what is
+    missing) decides every pair; two different door numbers are one more thing that cannot be. Its weak labels are pairs whose addresses both reach the door: equal doors in buildings of similar name are
+    matches, other doors or names are not. It is fitted on at most ``sample`` of them, half kept back, each also with its door and its name
+    hidden (``with_masks``), and drawn to ``PRIOR``, so that few labels or none need no other rule; the half kept back calibrates the scores
+    (``isotonic``). Pairs under ``confidence`` are left out. Rows of one source with the same property_id are deliveries of one dwelling: the
+    best pair of two such dwellings, those with both doors first, decides for all of them.
+
+    Nulls in any column are unknown attributes; a row with no usable combination of attributes is in no pair. Repeated rows are rows of their
+    own. Empty input gives no pairs. Further columns are ignored. Runs jobs.
     """
     columns = ["listing_id", "property_id", "property_type", "locality", "address_full", "covered_area_value", "covered_area_unit", "covered_area_sqft", "price", "price_raw", "price_per_sqft", "bhk", "bathrooms", "balconies", "floors", "facing_direction", "latitude", "longitude", "project_society_name"]
-    x = one.select(*columns, F.lit(1).alias("src")).unionByName(two.select(*columns, F.lit(2).alias("src")))
+    said = lambda df: F.col("description") if "description" in df.columns else F.lit(None).cast("string").alias("description")
+    x = one.select(*columns, said(one), F.lit(1).alias("src")).unionByName(two.select(*columns, said(two), F.lit(2).alias("src")))
     rows = listing_features(x, bands=bands)
     each = written(rows, "listing-features")
     keyed = each.select("listing_id", "src", "sign", F.posexplode("bands").alias("at", "band")).where("band <> 0")
     left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.col("sign").alias("sa"), "band", (F.col("at") < bands).alias("chance"))
     right = keyed.where("src = 2").select(F.col("listing_id").alias("eb"), F.col("sign").alias("sb"), "band")
     pair = left.join(right, "band").where(_signs_agree(F.col("sa"), F.col("sb"))).groupBy("ea", "eb").agg(F.max("chance").alias("chance"))
-    side = [c for c in rows.columns if c not in ("listing_id", "src", "entity", "sign", "bands")]
+    side = [c for c in rows.columns if c not in ("listing_id", "src", "sign", "bands")]
     whole = lambda src, name: each.where(F.col("src") == src).select(F.col("listing_id").alias(f"e{name}"), F.struct(*side).alias(name))
     f = pair.join(whole(1, "a"), "ea").join(whole(2, "b"), "eb").where(_possible())
-    full = F.col("a.number").isNotNull() & F.col("b.number").isNotNull() & (F.col("a.society") != "") & (F.col("b.society") != "")
-    unit = (F.col("a.number") == F.col("b.number")) & (F.coalesce("a.letter", F.lit("")) == F.coalesce("b.letter", F.lit("")))
-    alike = 1 - F.levenshtein("a.society", "b.society") / F.greatest(F.length("a.society"), F.length("b.society"))
-    half = F.col("a.number").isNotNull() & F.col("b.number").isNotNull()
-    told = F.when(full, (unit & (alike >= 0.6) & (F.col("a.phase") == F.col("b.phase"))).cast("int")).when(half & ~unit, F.lit(0))
-    f = written(f.select("ea", "eb", "chance", told.alias("told"), *[v.alias(f"x_{k}") for k, v in _pair_features().items()]), "pair-features")
-    labelled = f.where("told is not null and chance")  # drawn as the pairs are that the score has to tell
-    total = labelled.groupBy("told").count().collect()  # two rows
-    counts = {r[0]: r[1] for r in total}
-    score = F.lit(None).cast("double")
-    if min(counts.get(0, 0), counts.get(1, 0)) >= 50:
-        share = min(1.0, sample / sum(counts.values()))
-        got = labelled.where(F.pmod(F.xxhash64("ea", "eb"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("ea", "eb").limit(sample).toPandas()  # a bounded sample to fit on
-        data, y = got[[f"x_{k}" for k in NAMES]].to_numpy(dtype=float), got["told"].to_numpy(dtype=float)
-        fit = np.arange(len(y)) % 2 == 0
-        w = fit_logistic(data[fit], y[fit])
-        z = np.c_[data, np.ones(len(data))] @ w
-        steps = isotonic(z[~fit], y[~fit])
-        linear = F.lit(float(w[-1]))
-        for k, c in zip(NAMES, w[:-1], strict=True):
-            linear = linear + F.lit(float(c)) * F.col(f"x_{k}")
-        score = F.lit(steps[-1][1])
-        for upper, p in reversed(steps[:-1]):
-            score = F.when(linear <= upper, F.lit(p)).otherwise(score)
-    # deliveries of one dwelling stand together: an address decides for all of them, else their best score does
+    f = f.select("chance", F.col("a.entity").alias("na"), F.col("b.entity").alias("nb"), F.xxhash64("ea", "eb").alias("draw"), (F.col("a.number").isNotNull() & F.col("b.number").isNotNull() & (F.col("a.society") != "") & (F.col("b.society") != "")).alias("full"), *[v.alias(f"x_{k}") for k, v in _pair_features().items()])
+    f = written(f, "pair-features")
+    match = (F.col("x_unit") == 1) & (F.col("x_society") >= 0.6) & (F.col("x_phase") == 0)
+    told = F.when(F.col("full"), match.cast("int")).when(F.col("x_other_unit") == 1, F.lit(0))
+    labelled = f.where("chance").withColumn("told", told).where("told is not null")  # drawn as the pairs are that the score has to tell
+    got = labelled.orderBy("draw").select("told", *[f"x_{k}" for k in NAMES]).limit(sample).toPandas()  # a bounded sample to fit on
+    linear, steps = _classifier(got[[f"x_{k}" for k in NAMES]].to_numpy(dtype=float), got["told"].to_numpy(dtype=float))
+    score = F.lit(linear[-1])
+    for k, c in zip(NAMES, linear[:-1], strict=True):
+        score = score + F.lit(c) * F.col(f"x_{k}")
+    score = F.when(F.col("x_other_unit") == 1, F.least(score, F.lit(NO_MATCH))).otherwise(score)  # no likeness makes one dwelling of two doors
+    best = f.groupBy("na", "nb").agg(F.max(F.struct((F.col("x_no_unit") == 0).alias("doors"), score.alias("z"))).alias("m")).select("na", "nb", F.col("m.z").alias("z"))
+    sure = F.lit(steps[-1][1])
+    for upper, p in reversed(steps[:-1]):
+        sure = F.when(F.col("z") <= upper, F.lit(p)).otherwise(sure)
+    hits = best.select("na", "nb", sure.alias("confidence")).where(F.col("confidence") >= confidence)
     owner = lambda src, e, n: each.where(F.col("src") == src).select(F.col("listing_id").alias(e), F.col("entity").alias(n))
-    both = f.select("ea", "eb", "told", score.alias("score")).join(owner(1, "ea", "na"), "ea").join(owner(2, "eb", "nb"), "eb")
-    both = both.groupBy("na", "nb").agg(F.max("told").alias("yes"), F.min("told").alias("no"), F.max("score").alias("score"))
-    sure = F.when(F.col("yes") == 1, F.lit(0.999)).when(F.col("no") == 0, F.lit(0.0)).otherwise(F.col("score"))
-    hits = both.select("na", "nb", sure.alias("confidence")).where(F.col("confidence") >= confidence)
     out = hits.join(owner(1, "p", "na"), "na").join(owner(2, "q", "nb"), "nb")
     return out.select(F.least("p", "q").alias("listing_id_a"), F.greatest("p", "q").alias("listing_id_b"), "confidence").distinct()
+
+
+def _classifier(data: np.ndarray, y: np.ndarray) -> tuple[list[float], list[tuple[float, float]]]:
+    """Weights over ``NAMES`` (intercept last) fitted on every other labelled pair, and calibration steps from the rest."""
+    fit = np.arange(len(y)) % 2 == 0
+    w = fit_logistic(*with_masks(data[fit], y[fit]), prior=np.array(list(PRIOR.values())))
+    x, held = with_masks(data[~fit], y[~fit])
+    return [float(v) for v in w], isotonic(np.c_[x, np.ones(len(x))] @ w, held)

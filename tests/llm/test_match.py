@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from plinth.llm.match import fit_logistic, isotonic, matched_listings, minhash
+from plinth.llm.match import MASKS, NAMES, PRIOR, _classifier, fit_logistic, isotonic, matched_listings, minhash, titled_society, with_masks
 
 SCHEMA = "listing_id long, property_id string, property_type string, locality string, address_full string, covered_area_value double, covered_area_unit string, covered_area_sqft double, price double, price_raw string, price_per_sqft double, bhk double, bathrooms double, balconies double, floors string, facing_direction string, latitude double, longitude double, project_society_name string"
 
@@ -71,3 +71,33 @@ def test_rows_that_share_only_their_door(spark):
     bare = [dict.fromkeys(full[0]) | dict(listing_id=1000 + k, property_id=f"b{k}", address_full=f"A-{k + 100}, Rutalu Homes") for k in range(300)]
     got = {tuple(r)[:2] for r in matched_listings(_rows(spark, full), _rows(spark, bare)).collect()}
     assert got == {(k, 1000 + k) for k in range(300)}
+
+
+def test_pairs_without_any_label_are_scored(spark):
+    """No address reaches a door, so there are no labels: the prior decides on attributes, and does not match what differs."""
+    one = _rows(spark, [_flat(k, f"a{k}", latitude=20.7 + k * 0.01, price=9e6 + k * 3e5, floors=f"{5 + k} of 20") for k in range(5)])
+    two = _rows(spark, [_flat(100 + k, f"b{k}", latitude=20.7 + k * 0.01, price=9.05e6 + k * 3e5, floors=f"{5 + k} of 20") for k in range(5)] + [_flat(200, "c", latitude=20.71, price=9.3e6, floors="6 of 20", facing_direction="South")])
+    got = {tuple(r)[:2]: r.confidence for r in matched_listings(one, two).collect()}
+    assert set(got) == {(k, 100 + k) for k in range(5)} and all(0.5 <= c < 1 for c in got.values())
+
+
+def test_few_labels_stay_near_the_prior():
+    w, steps = _classifier(np.zeros((0, len(NAMES))), np.zeros(0))
+    assert w == pytest.approx(list(PRIOR.values())) and [p for _, p in steps] == sorted(p for _, p in steps) and steps[0][1] < 0.01 and steps[-1][1] > 0.99
+    one, _ = _classifier(np.zeros((2, len(NAMES))), np.array([1.0, 0.0]))
+    assert np.abs(np.array(one) - np.array(list(PRIOR.values()))).max() < 2.0
+
+
+def test_masks_hide_doors_and_names():
+    data = np.ones((3, len(NAMES)))
+    x, y = with_masks(data, np.array([1.0, 0.0, 1.0]))
+    assert x.shape == (9, len(NAMES)) and y.tolist() == [1.0, 0.0, 1.0] * len(MASKS)
+    assert (x[:3] == 1).all() and (x[3:, NAMES.index("unit")] == 0).all() and (x[6:, NAMES.index("society")] == 0).all() and (x[3:6, NAMES.index("society")] == 1).all()
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("2 BHK builder floor available for sale in Misusu Greens", ("misusu", 0)), ("Spacious 3BHK Residential Plot, Rarosho Avenue Phase 2, Jhinivetu Ganj Phase 2", ("rarosho", 2)), ("Ready to move apartment in a gated society", ("", 0)),
+    ("2 BHK apartment available", ("", 0)), ("3 km from the ring road", ("", 0)), (None, ("", 0)), ("", ("", 0)),
+])
+def test_names_in_titles(text, want):
+    assert titled_society(text) == want
