@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.index import deletions
+from plinth.llm.components import connected
+from plinth.llm.index import LONG, near_keys
 from plinth.llm.places import BLANK, LOCALITY_KINDS, STREET_KINDS, place_tokens
 from plinth.session import cut, written
 
@@ -173,13 +173,40 @@ def _similar(a: str, b: str) -> float:
     return 1.0 - row[m] / max(n, m)
 
 
+def best_assignment(gain: list[list[float]]) -> float:
+    """The largest sum of one entry of each row (no more rows than columns), no two in one column: shortest augmenting paths, in time rows^2 x columns."""
+    rows, columns = len(gain), len(gain[0]) if gain else 0
+    u, v, owner = [0.0] * (rows + 1), [0.0] * (columns + 1), [0] * (columns + 1)
+    for i in range(1, rows + 1):
+        owner[0], at = i, 0
+        least, before, seen = [float("inf")] * (columns + 1), [0] * (columns + 1), [False] * (columns + 1)
+        while owner[at]:
+            seen[at] = True
+            row, step, nearest = owner[at], float("inf"), 0
+            for j in range(1, columns + 1):
+                if not seen[j]:
+                    slack = -gain[row - 1][j - 1] - u[row] - v[j]
+                    if slack < least[j]:
+                        least[j], before[j] = slack, at
+                    if least[j] < step:
+                        step, nearest = least[j], j
+            for j in range(columns + 1):
+                if seen[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nearest
+        while at:
+            owner[at] = owner[before[at]]
+            at = before[at]
+    return sum(gain[owner[j] - 1][j - 1] for j in range(1, columns + 1) if owner[j])
+
+
 def assigned_score(a: list[str], b: list[str]) -> float:
-    """The best mean similarity over one-to-one assignments of the shorter list's components to the longer's. At most five components count, as many as an address has."""
-    a, b = sorted((a[:5], b[:5]), key=len)
-    if not a:
-        return 0.0
-    table = [[_similar(x, y) for y in b] for x in a]
-    return max(sum(table[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b)), len(a))) / len(a)
+    """The best mean similarity over one-to-one assignments of the shorter list's components to the longer's; all components count."""
+    a, b = sorted((a, b), key=len)
+    return best_assignment([[_similar(x, y) for y in b] for x in a]) / len(a) if a else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -196,9 +223,7 @@ def _street_score(a: Column, b: Column) -> Column:
 
 
 def deleted(word: str, most: int) -> set[str]:
-    """``word`` and what is left of it after deleting up to ``most`` characters; of a word of more than 64 letters, only itself."""
-    if len(word) > 64:
-        return {word}
+    """``word`` and what is left of it after deleting up to ``most`` characters."""
     out, last = {word}, {word}
     for _ in range(most):
         last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
@@ -215,6 +240,7 @@ class Places:
         self.by_key: dict[tuple[str, str], int] = {}
         self.pins: dict[str, int | None] = {}
         self.owners: dict[str, set[str]] = {}
+        self.district_of: dict[int, str] = {}
         near_city: dict[str, set[str]] = {}
         near_key: dict[tuple[str, str], set[str]] = {}
         for i, city, locality, pin in sorted(rows, key=lambda r: r[0]):
@@ -224,18 +250,31 @@ class Places:
                 self.city_of_district.setdefault(pin[:3], c)
                 self.pins[pin] = None if pin in self.pins else i
             self.by_key.setdefault((c, k), i)
+            if pin:
+                self.district_of[i] = pin[:3]
             self.owners.setdefault(k, set()).add(c)
         for c in self.district:
-            for v in deleted(c, 2):
+            for v in deleted(c, 2) if len(c) <= LONG + 2 else {c}:
                 near_city.setdefault(v, set()).add(c)
         for c, k in self.by_key:
             if not k.startswith("sector "):
-                for v in deleted(k.split()[0], 2):
+                for v in deleted(k.split()[0], 2) if len(k.split()[0]) <= LONG + 2 else {k.split()[0]}:
                     near_key.setdefault((c, v), set()).add(k)
         self.near_city, self.near_key = near_city, near_key
+        #: long names have too many deletions; a long word is held against each of them
+        self.long_cities = [c for c in self.district if len(c) > LONG - 2]
+        self.long_keys = [(c, k) for c, k in self.by_key if len(k.split()[0]) > LONG - 2]
         self._city: dict[str | None, str | None] = {}
         self._loc: dict[tuple[str, str], int | None] = {}
 
+    def _cities_like(self, word: str) -> set[str]:
+        near = {c for v in deleted(word, 2) for c in self.near_city.get(v, ())} if len(word) <= LONG + 2 else set()
+        return near | {c for c in self.long_cities if abs(len(c) - len(word)) <= 2}
+
+    def _keys_like(self, city: str, name: str) -> set[str]:
+        near = {k for v in deleted(name, 2 if len(name) >= 6 else 1) for k in self.near_key.get((city, v), ())} if len(name) <= LONG + 2 else set()
+        return near | {k for c, k in self.long_keys if c == city and abs(len(k.split()[0]) - len(name)) <= 2}
+
     def city(self, text: str | None) -> str | None:
         """The city a text names, as the gazetteer writes it in normal form."""
         if text not in self._city:
@@ -245,7 +284,7 @@ class Places:
             words = ["".join(t), *(a + b for a, b in zip(t, t[1:], strict=False)), *t]
             hit = next((w for w in words if w in self.district), None)
             if hit is None:
-                close = {(1 - _similar(w, c), c) for w in words if len(w) >= 5 for v in deleted(w, 2) for c in self.near_city.get(v, ())}
+                close = {(1 - _similar(w, c), c) for w in words if len(w) >= 5 for c in self._cities_like(w)}
                 hit = min((x for x in close if x[0] <= 0.3), default=(0, None))[1]
             self._city[text] = hit
         return self._city[text]
@@ -264,7 +303,7 @@ class Places:
             hit = self.by_key.get(at)
             if hit is None and not key.startswith("sector "):
                 name, *rest = key.split(" ", 1)
-                close = {(1 - _similar(name, k.split()[0]), k) for v in deleted(name, 2 if len(name) >= 6 else 1) for k in self.near_key.get((city, v), ()) if k.split(" ", 1)[1:] == rest}
+                close = {(1 - _similar(name, k.split()[0]), k) for k in self._keys_like(city, name) if k.split(" ", 1)[1:] == rest}
                 good = sorted(x for x in close if x[0] <= 0.34)
                 if good and (len(good) == 1 or good[1][0] > good[0][0]):
                     hit = self.by_key[city, good[0][1]]
@@ -289,7 +328,7 @@ def address_rows(listings: DataFrame, gazetteer: DataFrame, *, most_places: int
 
     ``loc`` is the gazetteer entry the address lies in, by its postcode where that is one entry's, else by the typed locality, else by the
     address's own words; NULL if none can be told. ``block`` is the postcode's district (its first three digits), of the city that the row
-    names, else of its postcode; NULL where neither can be told. The gazetteer goes to every task; one of more than ``most_places`` entries
+    names, else of its postcode, else of ``loc``; NULL where none can be told. The gazetteer goes to every task; one of more than ``most_places`` entries
     is refused.
     """
     places = [tuple(r) for r in gazetteer.select("locality_id", "city", "locality", "pincode").limit(most_places + 1).collect()]
@@ -313,7 +352,7 @@ def address_rows(listings: DataFrame, gazetteer: DataFrame, *, most_places: int
                     loc = known.locality(c, place_key(locality))
                 if loc is None:
                     loc = known.locality(c, place_key(rest))
-                block = known.district.get(c) if c else pin[:3] if pin else None
+                block = known.district.get(c) if c else pin[:3] if pin else known.district_of.get(loc)
                 out.append((i, block, letter, number, street, kind, phase, loc, rest))
             yield pd.DataFrame(out, columns=_ROW).astype({"loc": "Int64"})
 
@@ -332,46 +371,46 @@ def neighbouring(gazetteer: DataFrame, km: float) -> DataFrame:
     return points_within(g, g, km).select(F.col("point_id").alias("loc"), F.col("other_id").alias("near"))
 
 
-def address_classes(rows: DataFrame, gazetteer: DataFrame, *, street_similarity: float = 0.66, neighbour_km: float = 3.0, rounds: int = 12) -> DataFrame:
+def address_classes(rows: DataFrame, gazetteer: DataFrame, *, street_similarity: float = 0.66, neighbour_km: float = 3.0) -> DataFrame:
     """listing_id, address_class: rows of ``address_rows`` with one class for each flat, house or plot.
 
     Nodes are the distinct parsed addresses of a block, so repeats cost one node. Unit letter and number must be
-    equal, as must known kinds and phases (vetoes); the street names meet in a deletion-neighbourhood index (equal
-    after deleting up to two characters of each; names of more than 64 letters must be equal) of their block and unit, and places must be the same, neighbours
-    within ``neighbour_km``, or unknown. Pairs are then judged by the optimal assignment of their components.
-    Classes are the connected components, found by passing on the least label until nothing changes; a class that
-    takes more than ``rounds`` rounds raises an error and is never cut short.
+    equal, as must known kinds, and phases, of which none is one of its own: a name without a phase is another building than that name with one (vetoes); the street names meet in a
+    deletion-neighbourhood index (``near_keys``) of their block and unit, and places must be the same, neighbours
+    within ``neighbour_km``, or unknown. A node near a border is also in the index of the blocks that its neighbouring localities lie in, and
+    one without a block meets all blocks' nodes of its unit. Pairs are then judged by the optimal assignment of their components.
+    Classes are the connected components (``connected``).
     """
     keys = ["block", "letter", "number", "street", "kind", "phase", "loc"]
     rows = written(rows, "addresses")
-    x = rows.where("block is not null").withColumn("node", F.xxhash64(*keys))
+    x = rows.withColumn("node", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys]))
     nodes = written(x.groupBy("node", *keys).agg(F.min("rest").alias("rest")), "address-nodes")
-    v = nodes.select("node", "letter", "number", "block", F.explode(F.when(F.length("street") > 64, F.array("street")).when(F.length("street") >= 6, deletions(F.col("street"), 2)).when(F.length("street") >= 4, deletions(F.col("street"), 1)).otherwise(F.array("street"))).alias("v"))
-    v = v.select("node", F.xxhash64("block", "letter", "number", "v").alias("k"))
-    pair = v.alias("a").join(v.alias("b"), F.col("a.k") == F.col("b.k")).where("a.node < b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    near = neighbouring(gazetteer, neighbour_km)
+    place = gazetteer.where("pincode is not null").select(F.col("locality_id").alias("near"), F.left("pincode", F.lit(3)).alias("other"))
+    beside = near.join(place, "near").groupBy("loc").agg(F.collect_set("other").alias("beside"))  # the few districts around a locality
+    most = F.when(F.length("street") >= 6, 2).when(F.length("street") >= 4, 1).otherwise(0)
+    here = nodes.where("block is not null").join(beside, "loc", "left").withColumn("in", F.explode(F.array_union(F.array("block"), F.coalesce("beside", F.array().cast("array<string>")))))
+    key = lambda df, probe, block: df.select("node", F.explode(near_keys(F.col("street"), most, probe)).alias("v"), "letter", "number", *block).select("node", F.xxhash64(*block, "letter", "number", "v").alias("k"))
+    ends = lambda p: p.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    pair = ends(key(here, True, ["in"]).alias("a").join(key(here, False, ["in"]).alias("b"), F.col("a.k") == F.col("b.k")).where("a.node < b.node"))
+    lost = nodes.where("block is null")
+    same_unit = nodes.join(lost.select("letter", "number").distinct(), ["letter", "number"], "left_semi")
+    homeless = ends(key(lost, True, []).alias("a").join(key(same_unit, False, []).alias("b"), F.col("a.k") == F.col("b.k")).where("a.node <> b.node"))
+    pair = pair.unionByName(homeless.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("street", "kind", "phase", "loc", "rest", "letter", "number", "block")])
     pair = pair.join(side("a"), "a").join(side("b"), "b")
     agree = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
     kinds = agree("kind") | (F.col("a_kind") == "") | (F.col("b_kind") == "")
-    pair = pair.where(agree("letter") & agree("number") & agree("block") & kinds & agree("phase"))
-    near = neighbouring(gazetteer, neighbour_km)
-    pair = pair.join(near, (F.col("a_loc") == F.col("loc")) & (F.col("b_loc") == F.col("near")), "left").where(F.col("a_loc").isNull() | F.col("b_loc").isNull() | F.col("near").isNotNull()).drop("loc", "near")
+    pair = pair.where(agree("letter") & agree("number") & kinds & agree("phase"))
+    one_block = F.coalesce(agree("block"), F.lit(True))  # a missing block is unknown
+    pair = pair.join(near, (F.col("a_loc") == F.col("loc")) & (F.col("b_loc") == F.col("near")), "left").where(F.col("near").isNotNull() | agree("loc") | ((F.col("a_loc").isNull() | F.col("b_loc").isNull()) & one_block)).drop("loc", "near")
     pair = written(pair.withColumn("street_score", _street_score(F.col("a_street"), F.col("b_street"))).where(F.col("street_score") >= street_similarity), "address-pairs")
     # close street names in known places need no second look; the rest are judged by all their components
     sure = F.col("a_loc").isNotNull() & F.col("b_loc").isNotNull() & (F.col("street_score") > 0.8)
     parts = lambda s: F.concat(F.array(f"{s}_street"), F.filter(F.split(f"{s}_rest", " "), lambda w: F.length(w) > 2))
     judged = pair.where(~sure).select("a", "b", _assigned(parts("a"), parts("b")).alias("score")).where(F.col("score") >= 0.62).select("a", "b")
-    linked = pair.where(sure).select("a", "b").unionByName(judged)
-    edges = written(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))), "address-edges")
-    label = cut(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        least = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("label").alias("least"))
-        new = cut(label.join(least, label.node == least.a, "left").select("node", F.least("label", F.coalesce("least", "label")).alias("label"), (F.coalesce("least", "label") < F.col("label")).alias("moved")))
-        still = new.where("moved").limit(1).count()
-        label = new.drop("moved")
-        if not still:
-            return x.select("listing_id", "node").join(label, "node").select("listing_id", F.col("label").alias("address_class"))
-    raise RuntimeError("address classes did not settle; raise rounds")
+    label = connected(nodes, pair.where(sure).select("a", "b").unionByName(judged))
+    return x.select("listing_id", "node").join(label, "node").select("listing_id", F.col("label").alias("address_class"))
 
 
 def same_address_pairs(listings: DataFrame, gazetteer: DataFrame, **options) -> DataFrame:

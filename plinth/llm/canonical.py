@@ -62,8 +62,10 @@ def match_places(pairs: DataFrame, reference: DataFrame, *, threshold: float = 0
     weight = ref.select(F.explode(F.array_distinct("locality_tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     entries = ref.select("locality_id", "ref_city", F.posexplode("locality_tokens").alias("at", "token")).join(weight, "token").withColumn("idf", F.log(F.lit(float(max(total, 1))) / F.col("df") + 1.0))
     entries = entries.groupBy("locality_id", "ref_city").agg(F.array_sort(F.collect_list(F.struct("at", "token", "idf", "df"))).alias("words"))
-    # words that many entries share, such as kinds and phases, rank entries but do not propose them
-    proposed = written(entries.withColumn("lead", F.explode(F.array_distinct(F.transform(F.filter("words", lambda w: (w["df"] <= max(3.0, total / 40)) & ~w["token"].startswith("phase ")), lambda w: w["token"])))), "entries")
+    # words that many entries share, such as kinds and phases, rank entries but propose only those that have no other
+    telling = F.transform(F.filter("words", lambda w: (w["df"] <= max(3.0, total / 40)) & ~w["token"].startswith("phase ")), lambda w: w["token"])
+    rarest = F.array(F.array_min(F.transform("words", lambda w: F.struct(w["df"].alias("df"), w["token"].alias("token"))))["token"])  # an entry of nothing but such words
+    proposed = written(entries.withColumn("lead", F.explode(F.array_distinct(F.when(F.size(telling) > 0, telling).otherwise(rarest)))), "entries")
 
     both = lambda c: F.when(F.size(c) > 1, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat(F.get(F.col(c), i - 1), F.get(F.col(c), i)))).otherwise(empty)
     where = lambda words, field: F.transform(words, lambda t: F.struct(t.alias("word"), F.lit(field).alias("field")))

@@ -22,18 +22,53 @@ def deletions(c: Column, most: int = 1) -> Column:
     return F.array_distinct(F.concat(F.array(c), one, two))
 
 
-def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6, most_letters: int = 64) -> DataFrame:
+#: Words of more letters have too many deletions and are met by their parts; a few lengths take both ways, so that no pair falls between them.
+LONG = 64
+
+
+def part_keys(c: Column, most: int = 2) -> Column:
+    """The ``most`` + 1 equal parts of a string, each with its number and the string's length: ``probe_keys`` of any string within ``most`` edits has one of them."""
+    n, k = F.length(c), most + 1
+    cut_ = lambda i: F.floor(i * n / F.lit(k)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.concat_ws("|", n, i, F.substring(c, cut_(i) + 1, cut_(i + 1) - cut_(i))))
+
+
+def probe_keys(c: Column, most: int = 2) -> Column:
+    """What the parts of strings within ``most`` edits may be: one part at least is intact and has moved by ``most`` at most."""
+    n, k = F.length(c), most + 1
+    cut_ = lambda i, m: F.floor(i * m / F.lit(k)).cast("int")
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+
+    def of(m: Column, i: Column) -> Column:
+        size = cut_(i + 1, m) - cut_(i, m)
+        at = F.filter(F.transform(shifts, lambda d: cut_(i, m) + d), lambda p: (p >= 0) & (p + size <= n))
+        return F.transform(at, lambda p: F.concat_ws("|", m, i, F.substring(c, p + 1, size)))
+
+    return F.flatten(F.transform(F.sequence(n - most, n + most), lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: of(m, i)))))
+
+
+def near_keys(c: Column, most: Column | int, probe: bool) -> Column:
+    """The keys under which strings within ``most`` (0 to 2) edits meet: deletions, and for long ones their parts. One side of a join takes them with ``probe``, the other without."""
+    n = F.length(c)
+    m = F.lit(most) if isinstance(most, int) else most
+    few = F.when(m <= 0, deletions(c, 0)).when(m == 1, deletions(c, 1)).otherwise(deletions(c, 2))
+    none = F.array().cast("array<string>")
+    short = F.when(n <= LONG + 2, few).otherwise(none)
+    long = F.when(n > LONG - 2, probe_keys(c) if probe else part_keys(c)).otherwise(none)
+    return F.concat(short, long)
+
+
+def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6) -> DataFrame:
     """word, entry, distance: words and vocabulary entries at most 0, 1 or 2 edits apart, by the word's length.
 
     Both sides are one column of distinct strings (``word``, ``entry``). Words under ``short`` characters must be
-    equal, and so must those of more than ``most_letters``, of which there would be too many parts; those under ``long`` may have one edit. Two strings at distance d share a string left by deleting at most
-    d characters of each, so the join is an equi-join on these, never of all pairs; the distance itself follows.
-    Two letters in exchanged places count as one edit of the result, and as two against the limit.
+    equal; those under ``long`` may have one edit. Two strings at distance d share a string left by deleting at most
+    d characters of each, or, if they are long, an intact part (``near_keys``), so the join is an equi-join on these, never of all
+    pairs; the distance itself follows. Two letters in exchanged places count as one edit of the result, and as two against the limit.
     """
-    n = F.when(F.length("word") > most_letters, 0).otherwise(F.length("word"))
-    w = words.where("word is not null and word <> ''").select("word", F.explode(F.when(n < short, deletions(F.col("word"), 0)).when(n < long, deletions(F.col("word"), 1)).otherwise(deletions(F.col("word"), 2))).alias("v"))
-    e = vocabulary.where("entry is not null and entry <> ''").select("entry", F.explode(F.when(F.length("entry") > most_letters, deletions(F.col("entry"), 0)).otherwise(deletions(F.col("entry"), 2))).alias("v"))
-    most = F.when(n < short, 0).when(n < long, 1).otherwise(2)
+    most = F.when(F.length("word") < short, 0).when(F.length("word") < long, 1).otherwise(2)
+    w = words.where("word is not null and word <> ''").select("word", F.explode(near_keys(F.col("word"), most, True)).alias("v"))
+    e = vocabulary.where("entry is not null and entry <> ''").select("entry", F.explode(near_keys(F.col("entry"), 2, False)).alias("v"))
     hits = w.join(e, "v").select("word", "entry").distinct()
     d = F.levenshtein("word", "entry")
     letters = lambda c: F.array_sort(F.split(c, ""))

@@ -4,8 +4,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plinth.llm.address import Places, assigned_score, parse_address, place_key, same_address_pairs
+from plinth.llm.address import Places, assigned_score, best_assignment, parse_address, place_key, same_address_pairs
 from plinth.llm.canonical import canonical_localities, match_places
+from plinth.llm.components import connected
 from plinth.llm.index import edit_join
 from plinth.llm.places import latin, phonetic, place_tokens
 
@@ -97,3 +98,59 @@ def test_places_index():
     p = Places([(r[0], r[2], r[3], r[4]) for r in GAZ])
     assert p.city("Nonabad City") == "nonabad" and p.city("Nonbad") == "nonabad" and p.city("zzz") is None
     assert p.locality("pulaso", place_key("Mapanku Ganj")) == 1 and p.locality(None, "sector 77a") is None and p.locality("nonabad", "sector 77a") == 5
+
+
+def test_assignment_against_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 4)
+        m = rng.randint(n, 6)
+        g = [[rng.choice([0.0, rng.random()]) for _ in range(m)] for _ in range(n)]
+        assert best_assignment(g) == pytest.approx(max(sum(g[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n)))
+    assert best_assignment([]) == 0.0 and assigned_score(list("abcdefgh"), list("hgfedcba")) == 1.0
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 90)
+    chain, star = ids[:60], ids[60:80]
+    edges = [(chain[i], chain[i + 1]) for i in range(59)] + [(star[0], x) for x in star[1:]] + [(ids[80], ids[80]), (ids[81], ids[82]), (ids[82], ids[81])]
+    got = {r.node: r.label for r in connected(spark.createDataFrame([(i,) for i in ids], "node long"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: min(c) for c in (chain, star, ids[81:83], *[[i] for i in [ids[80], *ids[83:]]]) for i in c}
+    assert got == want
+    assert connected(spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([], "a long, b long")).collect() == [(1, 1)]
+
+
+def test_long_words_meet_by_their_parts(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (61, 62, 63, 64, 65, 66, 67, 90, 300)]
+    off = [w[:20] + w[21:] for w in base] + [w[:5] + "z" + w[5:40] + "z" + w[40:] for w in base] + [w[:-1] for w in base]
+    far = [w[:10] + w[13:] for w in base]
+    got = edit_join(spark.createDataFrame([(w,) for w in base], "word string"), spark.createDataFrame([(v,) for v in off + far], "entry string"))
+    want = {(w, v) for i, w in enumerate(base) for v in (off[i], off[i + 9], off[i + 18])}
+    assert {(r.word, r.entry) for r in got.collect()} == want
+
+
+def test_entries_of_common_words_only(spark):
+    g = [(i, "Pulaso", f"Bagh {k}") for i, k in enumerate(["Nagar"] * 1 + ["Vihar"])] + [(10 + i, "Pulaso", f"Name{chr(97 + i)}lo {k}") for i in range(12) for k in ("Bagh", "Nagar", "Vihar")]
+    ref = spark.createDataFrame([(j, c, n) for j, (_, c, n) in enumerate(g)], "locality_id long, city string, locality string")
+    got = match_places(spark.createDataFrame([("Pulaso", "bag nagar")], "city string, locality string"), ref).collect()
+    assert [r.locality_id for r in got] == [0]
+
+
+def test_addresses_without_a_block_and_across_borders(spark, rows):
+    g = [*GAZ, (6, "tuba", "Tuba", "Zalo Kunj", "911000", 20.701, 74.661)]
+    gaz = spark.createDataFrame(g, "locality_id long, city_key string, city string, locality string, pincode string, latitude double, longitude double")
+    a = [(1, "Pulaso", "Mapaneku Ganj", "Flat 503, T-H, Rutalu Homes, 900000"), (2, None, None, "Tower H, Flat 503, Rutalu Homes"), (3, "Tuba", "Zalo Kunj", "H503, Rutalu Homes, Zalo Kunj"), (4, "Nonabad", "Sector 77A", "H503, Rutalu Homes"), (5, None, "Zalo Kunj", "H 503 Rutalu Hms"), (6, None, None, "H-777, Rutalu Homes")]
+    x = spark.createDataFrame(a, "listing_id long, city string, locality string, address_full string")
+    got = rows(same_address_pairs(x, gaz))
+    assert {(1, 3), (1, 5), (3, 5), (1, 2)} <= set(got) and not any(6 in p for p in got)
+
+
+def test_streets_of_more_than_64_letters(spark, rows):
+    long = "b" + "anabelu" * 12
+    a = [(1, "Pulaso", "Mapaneku Ganj", f"Flat 503, T-H, {long} Homes, 900000"), (2, "Pulaso", "Mapaneku Ganj", f"H503, {long[:30] + long[31:]} Homes, 900000"), (3, "Pulaso", "Mapaneku Ganj", f"H504, {long} Homes, 900000")]
+    x = spark.createDataFrame(a, "listing_id long, city string, locality string, address_full string")
+    assert rows(same_address_pairs(x, gazetteer(spark))) == [(1, 2)]
