@@ -53,6 +53,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df``, read from storage, consists of."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    return sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in df.inputFiles())
+
+
+def small_side(df: DataFrame, most: int = 4 << 20) -> DataFrame | None:
+    """``df``, read from storage, with a broadcast hint if its files hold at most ``most`` bytes, else None."""
+    return F.broadcast(df) if stored_bytes(df) <= most else None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unhinted. Counts at most ``max_rows + 1`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
