@@ -40,16 +40,27 @@ def _join(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def minhash(tokens: np.ndarray, present: np.ndarray, bands: int) -> np.ndarray:
-    """``bands`` MinHash values of each row's set of tokens (rows x slots), only slots ``present``; 0 for an empty set."""
-    out = np.zeros((len(tokens), bands), dtype=np.uint64)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    some = present.any(axis=1)
+def _hashed(tokens: np.ndarray, present: np.ndarray, bands: int) -> Iterator[np.ndarray]:
+    """For each band the hashes of each row's tokens (rows x slots), the largest value in slots that are not ``present``."""
     for b in range(bands):
         with np.errstate(over="ignore"):
             h = _mix(tokens + np.uint64((b + 1) * 0x632BE59BD9B4E019 % 2**64))
-        out[:, b] = np.where(some, np.where(present, h, top).min(axis=1), 0)
-    return out
+        yield np.where(present, h, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+
+def minhash(tokens: np.ndarray, present: np.ndarray, bands: int) -> np.ndarray:
+    """``bands`` MinHash values of each row's set of tokens (rows x slots), only slots ``present``; 0 for an empty set."""
+    some = present.any(axis=1)
+    return np.stack([np.where(some, h.min(axis=1), 0) for h in _hashed(tokens, present, bands)], axis=1).astype(np.uint64)
+
+
+def winners(tokens: np.ndarray, present: np.ndarray, bands: int) -> np.ndarray:
+    """Which slots hold the least hash of some band. Rows whose MinHash values agree in a band have a winning token in common; a token that wins several bands needs one key."""
+    out = np.zeros(tokens.shape, dtype=bool)
+    at = np.arange(len(tokens))
+    for h in _hashed(tokens, present, bands):
+        out[at, h.argmin(axis=1)] = True
+    return out & present
 
 
 def _sign(area: np.ndarray, price: np.ndarray, floor: np.ndarray, floors: np.ndarray, bathrooms: np.ndarray, balconies: np.ndarray) -> np.ndarray:
@@ -98,7 +109,8 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
     ``listings``: the columns of a listing table and ``src``. Areas come from the declared value and unit (or price over rate where
     no unit fits), prices from the number or its text, the building's name from the address, its own field or the description's first sentence. The set of a row holds its attributes in combinations that few dwellings share:
     place (position cell, building or locality) with area, price or floor; numbers are in buckets with two offsets, so near values
-    share one. Unknown attributes add nothing. After the bands come the combinations that hold a door number, as they are.
+    share one. Unknown attributes add nothing. ``bands`` has the tokens that
+    win a MinHash band and, negative where they do not, those that hold a door number.
     """
     spark = listings.sparkSession
     pos = lambda c: F.when((c > 0) & ~F.isnan(c), c)
@@ -177,10 +189,15 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
             # a door in a building, place, postcode or cell is met by itself: beside the slots that differ, a band would find it by chance only
             exact = present.copy()
             exact[:, -6] &= ~has_bone  # one building has one skeleton, whose door stands there as well
-            hashes = np.concatenate([minhash(tokens, present, bands), np.where(exact, _mix(tokens), np.uint64(0))[:, decisive]], axis=1)
+            doors_at = np.zeros(len(slots), dtype=bool)
+            doors_at[decisive] = True
+            won = winners(tokens, present, bands)
+            keys = np.maximum((_mix(tokens) >> np.uint64(33)).astype(np.int32), 1)  # 31 bits: two sets that meet by chance are told apart by their attributes
+            use = won | (exact & doors_at)
+            signed = np.where(won, keys, -keys)
             out = b.drop(columns=["address_full", "project_society_name", "locality", "title"]).assign(society=society, place=place, letter=letter, number=number, phase=phase)
             out["sign"] = _sign(num("area"), num("price"), fl, fls, ba, num("balconies"))
-            yield out.assign(bands=list((hashes >> np.uint64(33)).astype(np.int32)))  # 31 bits: two sets that meet by chance are told apart by their attributes
+            yield out.assign(bands=[np.unique(row[u]) for row, u in zip(signed, use, strict=True)])
 
     return x.mapInPandas(run, _FEATURES)
 
@@ -293,10 +310,11 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
     x = one.select(*columns, said(one), F.lit(1).alias("src")).unionByName(two.select(*columns, said(two), F.lit(2).alias("src")))
     rows = listing_features(x, bands=bands)
     each = written(rows, "listing-features")
-    keyed = each.select("listing_id", "src", "sign", F.posexplode("bands").alias("at", "band")).where("band <> 0")
-    left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.col("sign").alias("sa"), "band", (F.col("at") < bands).alias("chance"))
-    right = keyed.where("src = 2").select(F.col("listing_id").alias("eb"), F.col("sign").alias("sb"), "band")
-    pair = left.join(right, "band").where(_signs_agree(F.col("sa"), F.col("sb"))).groupBy("ea", "eb").agg(F.max("chance").alias("chance"))
+    keyed = each.select("listing_id", "src", "sign", F.explode("bands").alias("band")).where("band <> 0")
+    met = F.abs("band").alias("key")
+    left = keyed.where("src = 1").select(F.col("listing_id").alias("ea"), F.when(F.col("band") > 0, F.col("sign")).otherwise(F.col("sign").bitwiseOR(F.lit(-(1 << 31)).cast("int"))).alias("sa"), met)  # the spare bit: not by chance
+    right = keyed.where("src = 2").select(F.col("listing_id").alias("eb"), F.col("sign").alias("sb"), met)
+    pair = left.join(right, "key").where(_signs_agree(F.col("sa"), F.col("sb"))).groupBy("ea", "eb").agg(F.max(F.col("sa") >= 0).alias("chance"))
     side = [c for c in rows.columns if c not in ("listing_id", "src", "sign", "bands")]
     whole = lambda src, name: each.where(F.col("src") == src).select(F.col("listing_id").alias(f"e{name}"), F.struct(*side).alias(name))
     f = pair.join(whole(1, "a"), "ea").join(whole(2, "b"), "eb").where(_possible())
@@ -305,7 +323,8 @@ def matched_listings(one: DataFrame, two: DataFrame, *, confidence: float = 0.5,
     match = (F.col("x_unit") == 1) & (F.col("x_society") >= 0.6) & (F.col("x_phase") == 0)
     told = F.when(F.col("full"), match.cast("int")).when(F.col("x_other_unit") == 1, F.lit(0))
     labelled = f.where("chance").withColumn("told", told).where("told is not null")  # drawn as the pairs are that the score has to tell
-    got = labelled.orderBy("draw").select("told", *[f"x_{k}" for k in NAMES]).limit(sample).toPandas()  # a bounded sample to fit on
+    drawn = written(labelled.select("draw", "told", *[f"x_{k}" for k in NAMES]).orderBy("draw").limit(sample), "labels")  # written first: no more than the sample goes to the driver
+    got = drawn.toPandas().sort_values("draw")
     linear, steps = _classifier(got[[f"x_{k}" for k in NAMES]].to_numpy(dtype=float), got["told"].to_numpy(dtype=float))
     score = F.lit(linear[-1])
     for k, c in zip(NAMES, linear[:-1], strict=True):

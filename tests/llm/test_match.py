@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from plinth.llm.match import MASKS, NAMES, PRIOR, _classifier, fit_logistic, isotonic, matched_listings, minhash, titled_society, with_masks
+from plinth.llm.match import MASKS, NAMES, PRIOR, _classifier, fit_logistic, isotonic, matched_listings, minhash, titled_society, winners, with_masks
 
 SCHEMA = "listing_id long, property_id string, property_type string, locality string, address_full string, covered_area_value double, covered_area_unit string, covered_area_sqft double, price double, price_raw string, price_per_sqft double, bhk double, bathrooms double, balconies double, floors string, facing_direction string, latitude double, longitude double, project_society_name string"
 
@@ -101,3 +101,16 @@ def test_masks_hide_doors_and_names():
 ])
 def test_names_in_titles(text, want):
     assert titled_society(text) == want
+
+
+def test_winning_tokens_meet_wherever_bands_do():
+    rng = np.random.default_rng(4)
+    t = rng.integers(1, 2**62, size=(200, 12), dtype=np.uint64)
+    t[100:, :6] = t[:100, :6]
+    present = rng.random(t.shape) < 0.8
+    h, w = minhash(t, present, 16), winners(t, present, 16)
+    for i in range(100):
+        bands = (h[i] == h[100 + i]) & (h[i] > 0)
+        common = set(t[i][w[i]].tolist()) & set(t[100 + i][w[100 + i]].tolist())
+        assert not bands.any() or common
+    assert not (w & ~present).any() and w.sum(axis=1).max() <= 12 and not winners(t, np.zeros_like(present), 4).any()
