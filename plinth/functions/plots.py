@@ -23,7 +23,7 @@ def _said(c: Column, pattern: str) -> Column:
 
 
 def _direction(c: Column) -> Column:
-    return F.nullif(F.initcap(F.regexp_replace(F.regexp_replace(c, r"[\s-]+", "- "), r"- $", "")), F.lit(""))
+    return F.regexp_replace(F.initcap(F.regexp_replace(F.trim(c), r"[\s-]+", " ")), " ", "-")
 
 
 def plot_fields(c: Column) -> Column:

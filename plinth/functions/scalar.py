@@ -69,7 +69,7 @@ def at_least(c: Column, least: float) -> Column:
 
 def mapped(c: Column, values: dict[str, object], default: Column | None = None) -> Column:
     """``values[c]``; unmatched values give ``default``, NULL if that is not given."""
-    hit = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[c]
+    hit = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[c] if values else F.lit(None).cast("string")
     return hit if default is None else F.coalesce(hit, default)
 
 

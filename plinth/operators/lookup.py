@@ -27,10 +27,11 @@ def unwrapped_rate(typed: Column, residential: Column, default: Column, *more: C
     return F.coalesce(*[F.nullif(c, F.lit(0.0)) for c in (typed, residential, default, *more)])
 
 
-def expanded_sectors(df: DataFrame, column: str, most: int = 200) -> DataFrame:
+def expanded_sectors(df: DataFrame, column: str, most: int | None = None, span: int = 200) -> DataFrame:
     """A row for each sector named in ranges and lists: '99 TO 110', '33,34,37A', '16-17', '23-23A', '17 (P)'. Text without a sector gives no row.
 
-    Adds ``sector`` ('Sector 37A'); numbers above ``most`` are dropped, and so are ranges that run backwards.
+    Adds ``sector`` ('Sector 37A'); numbers above ``most``, if given, are dropped, and so are ranges that run
+    backwards; one of more than ``span`` numbers is no range, and gives its two ends.
     """
     t = F.regexp_replace(F.regexp_replace(F.upper(F.col(column)), r"\([^)]*\)", " "), r"\bSEC(?:TOR)?S?\b\.?", " ")
     parts = F.filter(F.split(F.regexp_replace(t, r"\s+(?:TO|&|AND)\s+|\s*-\s*", "-"), r"[,/;]|\s{1,}"), lambda p: p.rlike(r"^\d{1,3}[A-Z]?(-\d{1,3}[A-Z]?)?$"))
@@ -38,10 +39,10 @@ def expanded_sectors(df: DataFrame, column: str, most: int = 200) -> DataFrame:
     def one(p: Column) -> Column:
         lo, hi = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"), F.regexp_extract(p, r"-(\d+)", 1).try_cast("int")
         plain = p.rlike(r"^\d+-\d+$")
-        span = F.transform(F.sequence(lo, F.greatest(lo, F.coalesce(hi, lo))), lambda n: n.cast("string"))
-        return F.when(plain & (hi > lo) & (hi - lo <= most), span).when(plain & (hi < lo), F.array().cast("array<string>")).otherwise(F.split(p, "-"))
+        numbers = F.transform(F.sequence(lo, F.greatest(lo, F.coalesce(hi, lo))), lambda n: n.cast("string"))
+        return F.when(plain & (hi > lo) & (hi - lo <= F.lit(span)), numbers).when(plain & (hi < lo), F.array().cast("array<string>")).otherwise(F.split(p, "-"))
 
-    names = F.array_distinct(F.filter(F.flatten(F.transform(parts, one)), lambda s: F.regexp_extract(s, r"^(\d+)", 1).try_cast("int").between(1, most)))
+    names = F.array_distinct(F.filter(F.flatten(F.transform(parts, one)), lambda s: F.regexp_extract(s, r"^(\d+)", 1).try_cast("int").between(1, most if most is not None else 2**31 - 1)))
     return df.withColumn("sector", F.explode(F.transform(names, lambda s: F.concat(F.lit("Sector "), s))))
 
 
@@ -97,8 +98,8 @@ def resolved_locality(requests: DataFrame, localities: DataFrame, least_overlap:
 
     ``requests``: city, wanted. ``localities``: city, locality.
     """
-    r = requests.select("city", "wanted").distinct()
-    x = r.join(localities.select("city", "locality").distinct(), "city")
+    wanted = requests.select(F.col("city").alias("scope"), F.col("wanted").alias("q")).distinct()
+    x = _scored(wanted, localities.select(F.col("city").alias("scope"), "locality").distinct()).select(F.col("scope").alias("city"), F.col("q").alias("wanted"), "locality")
     a, b = scalar.collapsed(F.col("wanted")), scalar.collapsed(F.col("locality"))
     overlap = fuzzy.token_overlap(a, b)
     tier = F.when(a == b, 0).when(F.contains(b, a) | F.contains(a, b), 1).when(overlap > least_overlap, 2)

@@ -47,6 +47,28 @@ def tiered_fill(rows: DataFrame, pools: list[list[str]], km: float) -> DataFrame
     return out.groupBy("id").agg(F.min_by(F.struct("value", "km", "tier"), "tier").alias("m")).select("id", "m.*")
 
 
+def nearest_any(rows: DataFrame, km: float = 5.0, farthest: float = 320.0, salts: int = 64) -> DataFrame:
+    """id, value, km: rows without a value take that of the nearest row that has one, however far it is.
+
+    ``rows``: id, lat, lon, value. The radius of the grid search doubles from ``km`` to ``farthest`` and each round takes up only the rows that
+    are still without a donor; rows with no donor within ``farthest`` are the few that lie apart, and these, as the stated query set, meet
+    all donors in ``salts`` blocks. Rows without a position are left out. Runs jobs.
+    """
+    from plinth.session import written
+
+    have, need = rows.where("value is not null and lat is not null and lon is not null"), rows.where("value is null and lat is not null and lon is not null")
+    out = None
+    while km <= farthest and need.limit(1).count():
+        hit = written(nearest_within(need, have, km).select(F.col("target_id").alias("id"), "value", "km"), "nearest")
+        out = hit if out is None else out.unionByName(hit)
+        need, km = written(need.join(hit.select("id"), "id", "left_anti"), "apart"), km * 2
+    a = need.select("id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("block"))
+    b = have.select(F.col("id").alias("donor"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("block"))
+    x = a.join(b, "block").withColumn("km", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    rest = x.groupBy("id").agg(F.min_by(F.struct("value", "km"), F.struct("km", "donor")).alias("m")).select("id", "m.*")
+    return rest if out is None else out.unionByName(rest)
+
+
 def to_segment_km(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance from a point to a segment in km on the plane that touches the earth at the point."""
     kx = F.lit(KM_LON) * F.cos(F.radians(lat))

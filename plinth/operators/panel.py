@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from plinth.functions.scalar import clamp, ladder, present, share
 
 KEYS = ["segment", "city", "canonical_locality"]
-LABELS = [(75.0, "Very hot"), (60.0, "Hot"), (45.0, "Balanced"), (30.0, "Cool")]
+# What a market is called from a score on, and below all of them.
+LABELS = [(75.0, "Hot demand-led market"), (60.0, "Positive market"), (45.0, "Balanced market"), (30.0, "Supply-heavy market")]
+LOWEST = "Weak / stale market"
 
 
 def _num(c: str) -> Column:
@@ -102,7 +104,7 @@ def average_rank_pct(c: str, by: list[str], ascending: bool = True) -> Column:
     return r if ascending else 100 - r
 
 
-def market_indices(panel: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def market_indices(panel: DataFrame, rates: DataFrame | None = None, *, rolling_digits: int = 1) -> DataFrame:
     """The panel with supply, liquidity, momentum, premium, demand and heat indices, ``heat_rolling4`` and ``market_label``.
 
     Percentiles pool all dates of a city within its segment. ``rates``: city, canonical_locality, rate; without a rate the premium is against
@@ -122,8 +124,8 @@ def market_indices(panel: DataFrame, rates: DataFrame | None = None) -> DataFram
     x = x.withColumn("premium", clamp(50.0 + 50.0 * (F.col("median_ppsf") / F.col("base") - 1.0), 0.0, 100.0))
     x = x.withColumn("demand", clamp(0.35 * F.col("s_absorb") + 0.25 * F.col("liquidity") + 0.20 * F.col("momentum") + 0.20 * F.col("premium"), 0.0, 100.0))
     x = x.withColumn("heat", F.round(clamp(50.0 + 0.5 * F.col("demand") - 0.5 * F.col("supply"), 0.0, 100.0), 1))
-    x = x.withColumn("market_label", ladder(F.col("heat"), LABELS, "Cold"))
-    roll = F.round(F.avg("heat").over(W.partitionBy(*KEYS).orderBy("scrape_date").rowsBetween(-3, 0)), 1)
+    x = x.withColumn("market_label", ladder(F.col("heat"), LABELS, LOWEST))
+    roll = F.round(F.avg("heat").over(W.partitionBy(*KEYS).orderBy("scrape_date").rowsBetween(-3, 0)), rolling_digits)
     shown = {c: F.round(c, 1) for c in ("supply", "liquidity", "momentum", "premium", "demand")}
     return x.withColumn("heat_rolling4", roll).withColumns(shown).drop(*names, "base")
 
@@ -145,7 +147,7 @@ def market_context(panel: DataFrame, requests: DataFrame) -> DataFrame:
     series = panel.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("scrape_date", "heat"))).alias("series"), F.max_by(F.struct("active_supply", "median_ppsf", "heat", "market_label"), "scrape_date").alias("last"))
     x = requests.join(series, (requests.segment == series.segment) & (requests.city == series.city) & (requests.locality == series.canonical_locality), "left").select(requests.segment, requests.city, requests.locality, "series", "last")
     why = F.when(F.col("last").isNull(), "no data for this locality")
-    return x.select("segment", "city", "locality", F.coalesce("last.heat", F.lit(50.0)).alias("heat"), F.coalesce("last.market_label", F.lit("Balanced")).alias("market_label"), F.col("last.active_supply").alias("active_supply"), F.coalesce(F.size("series"), F.lit(0)).alias("points"), why.alias("reason"))
+    return x.select("segment", "city", "locality", F.coalesce("last.heat", F.lit(50.0)).alias("heat"), F.coalesce("last.market_label", F.lit("Balanced market")).alias("market_label"), F.col("last.active_supply").alias("active_supply"), F.coalesce(F.size("series"), F.lit(0)).alias("points"), why.alias("reason"))
 
 
 def signals(panel: DataFrame) -> DataFrame:

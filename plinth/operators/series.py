@@ -53,7 +53,7 @@ def volatility(series: DataFrame, keys: list[str], population: bool = False) ->
 def exponential_smoothing(series: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """keys..., smoothed: the level after the last value, folded in order of the quarters."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("quarter", "value"))), lambda s: s["value"])
-    fold = F.aggregate(F.slice("o", 2, 1_000_000), F.col("o")[0], lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a)
+    fold = F.aggregate(F.slice("o", F.lit(2), F.greatest(F.size("o") - 1, F.lit(0))), F.col("o")[0], lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a)
     return series.groupBy(*keys).agg(ordered.alias("o")).select(*keys, fold.alias("smoothed"))
 
 
@@ -155,3 +155,10 @@ def cash_flow(price: Column, exit_price: Column, years: int, buy_pct: float, hol
     return F.struct(invested.alias("invested"), profit.alias("profit"), (F.try_divide(profit, invested) * 100).alias("roi_pct"), ((F.pow(payoff, F.lit(1.0 / years)) - 1) * 100).alias("cagr_pct"))
 
 
+
+
+def zone_features(series: DataFrame, keys: list[str], zone: list[str]) -> DataFrame:
+    """``series`` with log_lag1, growth_lag1, to_city and city_rank: the logarithm and growth of the quarter before, and a place's value against its zone's mean and in its order that quarter."""
+    w, z = W.partitionBy(*keys).orderBy("quarter"), W.partitionBy(*zone, "quarter")
+    lag = lambda n: F.lag("value", n).over(w)
+    return series.withColumns({"log_lag1": F.log(lag(1)), "growth_lag1": F.try_divide(lag(1), lag(2)) - 1, "to_city": F.try_divide(F.col("value"), F.avg("value").over(z)), "city_rank": F.rank().over(z.orderBy(F.desc("value")))})

@@ -63,17 +63,34 @@ def mean_encoding(df: DataFrame, key: str, target: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(t).alias("mean")).crossJoin(F.broadcast(df.agg(F.median(t).alias("default_value"))))  # one row on the right
 
 
-def quartile_tiers(df: DataFrame, key: str, value: str, names: tuple[str, str, str, str] = ("budget", "mid", "premium", "luxury")) -> DataFrame:
-    """key, median, tier: keys in four tiers by the quartiles of their medians; fewer than four keys have no tier."""
+def quartile_tiers(df: DataFrame, key: str, value: str, names: tuple[str, str, str, str] = ("budget", "mid", "premium", "luxury"), upto: bool = False) -> DataFrame:
+    """key, median, tier: keys in four tiers by the quartiles of their medians; fewer than four keys have no tier. A median on a quartile belongs to the upper tier, with ``upto`` to the lower one."""
     med = df.groupBy(key).agg(F.median(value).alias("median")).where("median is not null")
     cut = med.agg(F.percentile("median", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
     m = F.col("median")
     tier = F.when(m >= F.col("q")[2], names[3]).when(m >= F.col("q")[1], names[2]).when(m >= F.col("q")[0], names[1]).otherwise(names[0])
+    if upto:
+        tier = F.when(m <= F.col("q")[0], names[0]).when(m <= F.col("q")[1], names[1]).when(m <= F.col("q")[2], names[2]).otherwise(names[3])
     return med.crossJoin(F.broadcast(cut)).select(key, "median", F.when(F.col("n") >= 4, tier).alias("tier"))  # one row on the right
 
 
+def with_tier(df: DataFrame, tiers: DataFrame, key: str, unseen: str = "budget") -> DataFrame:
+    """``df`` with ``tier`` of its key; a key that ``tiers`` (as ``quartile_tiers`` gives it) does not have is ``unseen``."""
+    t = tiers.select(F.col(key).alias("__k"), F.col("tier").alias("__t"), F.lit(True).alias("__seen"))
+    return df.join(t, F.col(key) == F.col("__k"), "left").withColumn("tier", F.when(F.col("__seen"), F.col("__t")).otherwise(F.lit(unseen))).drop("__k", "__t", "__seen")
+
+
 def quantile_bands(df: DataFrame, value: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """``df`` with ``band``: low up to the lower quantile, high from the upper one on, medium between."""
     cut = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
     v: Column = F.col(value)
     return df.crossJoin(F.broadcast(cut)).withColumn("band", F.when(v <= F.col("__q")[0], "low").when(v >= F.col("__q")[1], "high").when(v.isNotNull(), "medium")).drop("__q")  # one row on the right
+
+
+def error_percentiles(df: DataFrame, error: str, at: list[float]) -> DataFrame:
+    """q, limit_value, n: the error at each share of all rows, and how many rows lie within it."""
+    v = F.abs(F.col(error))
+    limits = df.agg(F.percentile(v, F.array(*[F.lit(q) for q in at])).alias("l"))
+    x = df.select(v.alias("e")).crossJoin(F.broadcast(limits))  # one row on the right
+    one = x.agg(F.first("l").alias("l"), *[F.count_if(F.col("e") <= F.col("l")[i]).alias(f"n{i}") for i in range(len(at))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col("l")[i].alias("limit_value"), F.col(f"n{i}").alias("n")) for i, q in enumerate(at)])))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plinth.functions import extract, fuzzy, scalar
 from plinth.operators import ingest, learn, lookup, nearest, panel, series, stats
-from plinth.operators.units import area_graph, convert_units, spelling_table, unit_alias
-from plinth.session import table
+from plinth.operators.units import SPELLINGS, area_graph, convert_units, spelling_table, unit_alias
+from plinth.session import table, written
 from plinth.schema import RENAMES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,20 +118,34 @@ def market_summary(spark, d):
     return panel.segment_summary(panel.market_panel(table(spark, d, "market_intelligence")))
 
 
-@query()
+_LABEL = "CASE WHEN heat >= 75 THEN 'Hot demand-led market' WHEN heat >= 60 THEN 'Positive market' WHEN heat >= 45 THEN 'Balanced market' WHEN heat >= 30 THEN 'Supply-heavy market' ELSE 'Weak / stale market' END"
+
+
+@query(f"""WITH {_INDEX}, h AS (SELECT segment, city, canonical_locality, scrape_date, round(heat, 1) AS heat FROM z)
+SELECT *, round(avg(heat) OVER (PARTITION BY segment, city, canonical_locality ORDER BY scrape_date ROWS 3 PRECEDING), 4) AS heat_rolling4, {_LABEL} AS market_label FROM h""")
 def market_heat_rolling(spark, d):
-    x = panel.market_indices(panel.market_panel(table(spark, d, "market_intelligence")))
+    x = panel.market_indices(panel.market_panel(table(spark, d, "market_intelligence")), rolling_digits=4)
     return x.select(*panel.KEYS, "scrape_date", "heat", "heat_rolling4", "market_label")
 
 
-@query()
+@query(f"""WITH {_INDEX}, h AS (SELECT segment, city, canonical_locality, scrape_date, active_supply, median_ppsf, round(heat, 1) AS heat FROM z),
+l AS (SELECT segment, city, canonical_locality, count(*) AS points, arg_max({{'h': heat, 's': active_supply, 'p': median_ppsf}}, scrape_date) AS m FROM h GROUP BY 1, 2, 3),
+r AS (SELECT k.segment, g.city, g.locality FROM (SELECT DISTINCT segment FROM h) k, (SELECT DISTINCT city, locality FROM gazetteer) g),
+o AS (SELECT r.*, coalesce(m.h, 50.0) AS heat, m IS NULL AS none, m.s AS active_supply, CAST(coalesce(points, 0) AS INT) AS points FROM r LEFT JOIN l ON r.segment = l.segment AND r.city = l.city AND r.locality = l.canonical_locality)
+SELECT segment, city, locality, heat, CASE WHEN none THEN 'Balanced market' ELSE {_LABEL} END AS market_label, active_supply, points, CASE WHEN none THEN 'no data for this locality' END AS reason FROM o""")
 def market_context(spark, d):
-    x = panel.market_indices(panel.market_panel(table(spark, d, "market_intelligence")))
-    g = table(spark, d, "gazetteer")
-    return panel.market_context(x, g.select(F.explode(F.array(F.lit("apt"), F.lit("plot"))).alias("segment"), "city", "locality"))
+    x = written(panel.market_indices(panel.market_panel(table(spark, d, "market_intelligence"))), "market-indices")  # read twice below
+    places = table(spark, d, "gazetteer").select("city", "locality").distinct()
+    return panel.market_context(x, x.select("segment").distinct().join(F.broadcast(places)))  # every segment with every place of the fixed gazetteer
 
 
-@query()
+_SIGNAL = "CASE WHEN t IS NULL THEN 0 WHEN t <= 0 THEN 2 WHEN t < 1.0::DOUBLE / 3 THEN 1 WHEN t <= 2.0::DOUBLE / 3 THEN 0 WHEN t < 1 THEN -1 ELSE -2 END"
+
+
+@query(f"""WITH {_PANEL}, g AS (SELECT segment, city, canonical_locality, scrape_date, unnest([{{'i': 0, 'n': 'supply', 't': (stale_share - 0.1::DOUBLE) / (0.5::DOUBLE - 0.1::DOUBLE)}}, {{'i': 1, 'n': 'absorption', 't': (absorption_rate - 0.3::DOUBLE) / (0.05::DOUBLE - 0.3::DOUBLE)}},
+  {{'i': 2, 'n': 'cuts', 't': (cut_frequency - 0.1::DOUBLE) / (0.5::DOUBLE - 0.1::DOUBLE)}}, {{'i': 3, 'n': 'hikes', 't': (hike_frequency - 0.4::DOUBLE) / (0.05::DOUBLE - 0.4::DOUBLE)}}, {{'i': 4, 'n': 'speed', 't': (median_dom - 30::DOUBLE) / 90::DOUBLE}}]) AS s FROM panel),
+c AS (SELECT segment, city, canonical_locality, scrape_date, s.i AS i, s.n AS signal, {_SIGNAL.replace('t <', 's.t <').replace('t IS', 's.t IS')} AS score FROM g)
+SELECT segment, city, canonical_locality, scrape_date, signal, score, CAST(row_number() OVER (PARTITION BY segment, city, canonical_locality, scrape_date ORDER BY abs(score) DESC, i) AS INT) AS strength_rank FROM c""")
 def market_signals(spark, d):
     return panel.signals(panel.market_panel(table(spark, d, "market_intelligence")))
 
@@ -155,16 +169,16 @@ def dedup_keep_first(spark, d):
     return ingest.first_by_key(x, ["property_id"], [F.col("source"), F.col("listing_id")])
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT property_id, source, segment, price, scrape_date, event_type FROM market_intelligence)")
+@query("SELECT segment, event_type, count(*) AS n, count(DISTINCT property_id) AS properties FROM (SELECT DISTINCT * FROM market_intelligence) GROUP BY 1, 2")
 def full_row_dedup(spark, d):
-    return table(spark, d, "market_intelligence").select("property_id", "source", "segment", "price", "scrape_date", "event_type").distinct().agg(F.count("*").alias("n"))
+    return table(spark, d, "market_intelligence").distinct().groupBy("segment", "event_type").agg(F.count("*").alias("n"), F.count_distinct("property_id").alias("properties"))
 
 
-@query("""SELECT 'covered_area_unit' AS column_name, count(*) AS rows, count(*) FILTER (covered_area_unit IS NULL) AS missing, count(*) FILTER (covered_area_unit IS NOT NULL AND try_cast(covered_area_unit AS DOUBLE) IS NULL) AS lost FROM listing_src1
-UNION ALL SELECT 'price', count(*), count(*) FILTER (price IS NULL), count(*) FILTER (price IS NOT NULL AND isnan(price)) FROM listing_src1
-UNION ALL SELECT 'floors', count(*), count(*) FILTER (floors IS NULL), count(*) FILTER (floors IS NOT NULL AND try_cast(floors AS DOUBLE) IS NULL) FROM listing_src1""")
+@query(f"""WITH {_L}, c AS (SELECT source, unnest([{{'c': 'covered_area_unit', 't': covered_area_unit}}, {{'c': 'price', 't': CAST(price AS VARCHAR)}}, {{'c': 'floors', 't': floors}}, {{'c': 'road_width', 't': road_width}}, {{'c': 'price_raw', 't': price_raw}}]) AS v FROM l)
+SELECT source, v.c AS column_name, count(*) AS rows, count(*) FILTER (v.t IS NULL) AS missing, count(*) FILTER (v.t IS NOT NULL AND (try_cast(v.t AS DOUBLE) IS NULL OR isnan(try_cast(v.t AS DOUBLE)))) AS lost FROM c GROUP BY 1, 2""")
 def numeric_coercion(spark, d):
-    return ingest.coercion_audit(table(spark, d, "listing_src1"), ["covered_area_unit", "price", "floors", "no_such_column"])
+    audit = lambda i: ingest.coercion_audit(table(spark, d, f"listing_src{i}"), ["covered_area_unit", "price", "floors", "road_width", "price_raw", "no_such_column"]).withColumn("source", F.lit(f"src{i}"))
+    return audit(1).unionByName(audit(2)).select("source", "column_name", "rows", "missing", "lost")
 
 
 @query(f"WITH {_L} SELECT listing_id FROM l WHERE coalesce(regexp_replace(trim(lower(city)), '\\s+', ' ', 'g') NOT IN (SELECT lower(city) FROM gazetteer WHERE pincode LIKE '900%' OR pincode LIKE '901%'), true)")
@@ -173,9 +187,12 @@ def anti_exclusion(spark, d):
     return ingest.excluded(_listings(spark, d), "city", gone).select("listing_id")
 
 
-@query("SELECT property_id FROM property_master WHERE city = 'Nowhere' OR NOT EXISTS (SELECT 1 FROM property_master WHERE city = 'Nowhere')")
+@query("""WITH a AS (SELECT property_id, 'none' AS scope FROM property_master WHERE city = 'Nowhere' OR NOT EXISTS (SELECT 1 FROM property_master WHERE city = 'Nowhere')),
+b AS (SELECT property_id, 'plots' AS scope FROM property_master WHERE property_type = 'Residential Plot' OR NOT EXISTS (SELECT 1 FROM property_master WHERE property_type = 'Residential Plot')) SELECT * FROM a UNION ALL SELECT * FROM b""")
 def scoped_fallback_filter(spark, d):
-    return ingest.scoped_or_all(table(spark, d, "property_master").select("property_id", "city"), F.col("city") == "Nowhere").select("property_id")
+    p = table(spark, d, "property_master").select("property_id", "city", "property_type")
+    scope = lambda name, c: ingest.scoped_or_all(p, c).select("property_id", F.lit(name).alias("scope"))
+    return scope("none", F.col("city") == "Nowhere").unionByName(scope("plots", F.col("property_type") == "Residential Plot"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -183,11 +200,21 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(f"WITH {_L} SELECT count(*) AS n FROM l")
+@query(f"""WITH {_L} SELECT listing_id, property_id, event_type, CAST(bhk AS DOUBLE) AS bhk, CAST(price AS DOUBLE) AS price, CAST(covered_area_value AS DOUBLE) AS covered_area_value, floors, developer_uuid AS developer_id, user_type AS agent_type, scrape_date, ingested_at,
+  length(concat_ws('|', city, locality, address_full, description, amenities, covered_area_unit, price_raw, age_of_property, furnishing_type, facing_direction, possession_status, road_width, project_society_name)) AS letters,
+  round(coalesce(covered_area_sqft, 0) + coalesce(price_per_sqft, 0) + coalesce(bathrooms, 0) + coalesce(balconies, 0) + coalesce(latitude, 0) + coalesce(longitude, 0) + coalesce(corner_property, 0) + coalesce(gated_plot, 0), 3) AS numbers, NULL::VARCHAR AS added
+FROM (SELECT *, 'src1' AS source FROM listing_src1 UNION ALL BY NAME SELECT *, 'src2' AS source FROM listing_src2) l""")
 def ensured_schema(spark, d):
+    from pyspark.sql import types as T
+
     from plinth.schema import LISTING
 
-    return ingest.ensure_columns(_listings(spark, d), LISTING, only=True).agg(F.count("*").alias("n"))
+    x = ingest.ensure_columns(_listings(spark, d), T.StructType([*LISTING, T.StructField("added", T.StringType())]), only=True)
+    texts = ["city", "locality", "address_full", "description", "amenities", "covered_area_unit", "price_raw", "age_of_property", "furnishing_type", "facing_direction", "possession_status", "road_width", "project_society_name"]
+    numbers = ["covered_area_sqft", "price_per_sqft", "bathrooms", "balconies", "latitude", "longitude", "corner_property", "gated_plot"]
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in numbers[1:]), F.coalesce(numbers[0], F.lit(0.0)))
+    kept = ["listing_id", "property_id", "event_type", "bhk", "price", "covered_area_value", "floors", "developer_id", "agent_type", "scrape_date", "ingested_at"]
+    return x.select(*kept, F.length(F.concat_ws("|", *texts)).cast("long").alias("letters"), F.round(total, 3).alias("numbers"), "added")
 
 
 # ------------------------------------------------------------------ text and categories
@@ -196,28 +223,52 @@ _CNT = "CASE WHEN regexp_extract({t}, '{a}', 1, 'i') <> '' THEN CASE WHEN CAST(r
 _T = f"{_L}, t AS (SELECT listing_id, concat_ws(' ', CASE WHEN trim(description) <> '' THEN description END, CASE WHEN trim(amenities) <> '' THEN amenities END) AS t FROM l)"
 
 
-@query(f"""WITH {_T} SELECT listing_id, {_CNT.format(t='t', a='(\\d{1,4})\\s*bhk', b='bedrooms?\\s*(\\d{1,4})')} AS bhk, {_CNT.format(t='t', a='(\\d{1,4})\\s*balcon', b='balcon\\w*\\s*(\\d{1,4})')} AS balconies,
-  {_CNT.format(t='t', a='bathrooms?\\s*(\\d{1,4})', b='(\\d{1,4})\\s*bathrooms?')} AS bathrooms FROM t""".replace("{1,4}", "{1,4}"))
+@query(f"""WITH {_T} SELECT listing_id, {_CNT.format(t='t', a='(\\d+)\\s*bhk', b='bedrooms?\\s*(\\d+)')} AS bhk, {_CNT.format(t='t', a='(\\d+)\\s*balcon', b='balcon\\w*\\s*(\\d+)')} AS balconies,
+  {_CNT.format(t='t', a='bathrooms?\\s*(\\d+)', b='(\\d+)\\s*bathrooms?')} AS bathrooms FROM t""")
 def text_counts(spark, d):
     t = extract.combined(F.col("description"), F.col("amenities"))
     return _listings(spark, d).select("listing_id", extract.bedrooms(t).alias("bhk"), extract.balconies(t).alias("balconies"), extract.bathrooms(t).alias("bathrooms"))
 
 
-@query(f"""WITH {_L} SELECT listing_id, round(coalesce(CASE WHEN regexp_extract(price_raw, '(\\d+\\.?\\d*)\\s*cr', 1, 'i') <> '' THEN CAST(regexp_extract(price_raw, '(\\d+\\.?\\d*)\\s*cr', 1, 'i') AS DOUBLE) * 1e7 END,
-  CASE WHEN regexp_extract(price_raw, '(\\d+\\.?\\d*)\\s*(?:lac|lakh)', 1, 'i') <> '' THEN CAST(regexp_extract(price_raw, '(\\d+\\.?\\d*)\\s*(?:lac|lakh)', 1, 'i') AS DOUBLE) * 1e5 END), 2) AS price FROM l""")
+_PRICED = "t AS (SELECT listing_id, concat_ws(' ', description, CASE WHEN price > 0 AND listing_id % 3 = 0 THEN 'Sale Price ' || CAST(CAST(price AS BIGINT) AS VARCHAR) END, price_raw) AS t FROM l)"
+
+
+@query(f"""WITH {_L}, {_PRICED}, p AS (SELECT listing_id, regexp_extract(t, 'sale\\s*price\\s*(\\d[\\d,]*)', 1, 'i') AS s, regexp_extract(t, '(\\d+\\.?\\d*)\\s*cr', 1, 'i') AS c, regexp_extract(t, '(\\d+\\.?\\d*)\\s*(?:lac|lakh)', 1, 'i') AS k FROM t)
+SELECT listing_id, round(CASE WHEN try_cast(replace(s, ',', '') AS DOUBLE) > 0 THEN try_cast(replace(s, ',', '') AS DOUBLE) WHEN c <> '' THEN CAST(c AS DOUBLE) * 1e7 WHEN k <> '' THEN CAST(k AS DOUBLE) * 1e5 END, 2) AS price FROM p""")
 def text_price(spark, d):
-    return _listings(spark, d).select("listing_id", F.round(extract.price(F.col("price_raw")), 2).alias("price"))
+    """Every third listing states its price in digits as well, which goes before crores and lakhs."""
+    digits = F.when((F.col("price") > 0) & (F.col("listing_id") % 3 == 0), F.concat(F.lit("Sale Price "), F.col("price").cast("long").cast("string")))
+    return _listings(spark, d).select("listing_id", F.round(extract.price(F.concat_ws(" ", "description", digits, "price_raw")), 2).alias("price"))
 
 
-@query()
+_NUMBER = "(\\d[\\d,]*\\.?\\d*)\\s*"
+_UNITS = [("Sq-ft", "(?:sq(?:uare)?[\\s._-]{0,4}f(?:ee|oo)?t|sft\\b)", 1.0), ("Sq-yrd", "sq(?:uare)?[\\s._-]{0,4}y(?:a?r?d)", 9.0), ("Sq-m", "sq(?:uare)?[\\s._-]{0,4}m", 10.7639), ("Acre", "acre", 43560.0), ("Bigha", "bigha", 27000.0),
+          ("Hectare", "hectare", 107639.0), ("Marla", "marla", 272.25), ("Ground", "ground", 2400.0), ("Rood", "rood", 10890.0), ("Biswa", "biswa", 1350.0)]
+_AREAS = ", ".join("{{'u': '{0}', 'n': try_cast(replace(regexp_extract(description, '{1}', 1, 'i'), ',', '') AS DOUBLE), 'f': {2}::DOUBLE}}".format(u, _NUMBER + p, f) for u, p, f in _UNITS)
+
+
+@query(f"""WITH {_L}, a AS (SELECT listing_id, list_filter([{_AREAS}], lambda x: x.n IS NOT NULL)[1] AS m FROM l)
+SELECT listing_id, CASE WHEN m.n * m.f >= 225 THEN round(m.n * m.f, 4) END AS area_sqft, m.n AS value, m.u AS unit FROM a""")
 def text_area(spark, d):
     t = F.col("description")
-    return _listings(spark, d).select("listing_id", extract.area_sqft(t).alias("area_sqft"), extract.area_and_unit(t).alias("u")).select("listing_id", "area_sqft", "u.value", "u.unit")
+    return _listings(spark, d).select("listing_id", F.round(extract.area_sqft(t), 4).alias("area_sqft"), extract.area_and_unit(t).alias("u")).select("listing_id", "area_sqft", "u.value", "u.unit")
+
 
+# what each flag means, one alternative for each wording
+_FLAG_SQL = {
+    "is_parking": ["\\bparking\\b", "\\bgarage\\b", "\\bcarport\\b", "\\bcar\\s*space\\b", "\\bcar\\s*park\\b", "\\bcovered\\s*park", "\\bcovered\\s*car\\s*park", "\\bopen\\s*park", "\\bopen\\s*car\\s*park"],
+    "is_pool": ["\\bpool\\b", "\\bswimming\\b", "\\binfinity\\s*pool\\b", "\\bsplash\\s*pool\\b", "\\bkids?\\s*pool\\b", "\\badult\\s*pool\\b", "\\bprivate\\s*pool\\b", "\\bjacuzzi\\b", "\\baqua\\s*park\\b", "\\baqua\\s*zone\\b"],
+    "is_main_road": ["\\bmain[\\s-]road\\b", "\\broad[\\s-]facing\\b", "\\broad[\\s-]front\\b", "\\bfacing\\s+(?:the\\s+)?road\\b", "\\bfront\\s+(?:of\\s+)?road\\b", "\\bon\\s+(?:the\\s+)?road\\b", "\\b\\d+\\s*(?:meter|metre|mtr|feet|ft|m)\\s*(?:wide\\s*)?road\\b",
+                     "\\broad\\s*(?:of\\s*)?\\d+\\s*(?:meter|metre|mtr|feet|ft|m)\\b", "\\bwide\\s*road\\b", "\\bexpressway\\b", "\\bnational\\s*highway\\b", "\\bnh[\\s-]\\d", "\\bsh[\\s-]\\d", "\\bring\\s*road\\b", "\\bbypass\\s*road\\b", "\\bbypass\\b", "\\bbroad\\s*road\\b", "\\barterial\\s*road\\b",
+                     "\\b(?:60|75|80|100|120|130)\\s*(?:meter|metre|mtr|feet|ft|m)?\\s*road\\b"],
+    "is_garden_park": ["\\bgarden\\b", "\\bpark\\b", "\\bgreen\\s*(?:area|zone|space|belt)\\b", "\\blandscaped?\\b", "\\bopen\\s*space\\b", "\\bjogging\\b", "\\bstrolling\\s*track\\b", "\\blawn\\b", "\\bamphitheatre\\b", "\\bchildren.?s?\\s*play\\b"],
+    "is_gated": ["\\bgated\\b", "\\bboundary\\s*wall\\b", "\\benclosed\\s*(?:colony|complex)\\b", "\\bsecured?\\s*(?:compound|complex)\\b", "\\bguarded\\s*(?:complex|colony)\\b"],
+    "is_corner": ["\\bcorner\\s*(?:plot|flat|house|floor|apartment|unit|villa|bungalow|build)\\b", "(?:3|three|two|2|4|four)\\s*side\\s*corner\\b", "\\bl[\\s-]?type\\s*corner\\b", "\\bcorner\\s*(?:facing|location|side)\\b", "\\bcorner\\s*(?:1st|2nd|3rd|first|second|third|ground)\\b", "\\b(?:plot|flat|house|floor|apartment)\\s*(?:on|at|in)?\\s*corner\\b"],
+}
+_FLAGGED = ", ".join("({})::INT AS {}".format(" OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in ps), k) for k, ps in _FLAG_SQL.items())
 
-@query(f"""WITH {_T} SELECT listing_id, regexp_matches(t, '\\b(?:car\\s*)?park(?:ing|ings)\\b|\\bgarage\\b', 'i')::INT AS is_parking, regexp_matches(t, 'swimming\\s*pool|\\bpool\\b', 'i')::INT AS is_pool,
-  regexp_matches(t, '\\bmain\\s+road\\b|\\bhighway\\b|\\bexpress\\s?way\\b|\\bring\\s+road\\b', 'i')::INT AS is_main_road, regexp_matches(t, '\\bgardens?\\b|\\bparks?\\b|\\bgreen(?:ery|\\s+belt)\\b', 'i')::INT AS is_garden_park,
-  regexp_matches(t, '\\bgated\\b|\\bgate\\s+community\\b|\\bboundary\\s+wall\\b', 'i')::INT AS is_gated, regexp_matches(t, '\\bcorner\\b', 'i')::INT AS is_corner FROM t""")
+
+@query(f"WITH {_T} SELECT listing_id, {_FLAGGED} FROM t")
 def text_flags(spark, d):
     t = extract.combined(F.col("description"), F.col("amenities"))
     return _listings(spark, d).select("listing_id", *[c.alias(k) for k, c in extract.flags(t).items()])
@@ -267,17 +318,31 @@ def amenity_tokens(spark, d):
     return _listings(spark, d).select("listing_id", F.array_join(extract.token_set(F.col("amenities")), ", ").alias("amenities"))
 
 
-@query()
+@query(f"""WITH {_L}, c AS (SELECT DISTINCT city FROM gazetteer), t AS (SELECT listing_id, lower(trim(regexp_replace(city, '\\s+', ' ', 'g'))) AS t FROM l),
+p AS (SELECT listing_id, t, trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM t)
+SELECT listing_id, coalesce((SELECT city FROM c WHERE lower(city) = t), (SELECT city FROM c WHERE lower(city) = p), (SELECT arg_min(city, {{'n': -length(city), 'c': lower(city)}}) FROM c WHERE contains(' ' || p || ' ', ' ' || lower(city) || ' '))) AS city FROM p""")
 def city_resolve(spark, d):
-    names = {r[0].lower(): r[0] for r in table(spark, d, "gazetteer").select("city").distinct().limit(1000).collect()}  # the gazetteer's cities
-    return _listings(spark, d).select("listing_id", scalar.resolved_city(F.col("city"), names).alias("city"))
+    return _listings(spark, d).select("listing_id", scalar.resolved_city(F.col("city"), _city_names(spark, d)).alias("city"))
 
 
-@query()
+def _city_names(spark, d, most: int = 10_000) -> dict[str, str]:
+    """The gazetteer's cities by their names in lower case; more than ``most`` are refused, as they become part of the plan."""
+    names = {r[0].lower(): r[0] for r in table(spark, d, "gazetteer").select("city").distinct().limit(most + 1).collect()}
+    if len(names) > most:
+        raise ValueError(f"the gazetteer has more than {most} cities")
+    return names
+
+
+_ALIASES = ", ".join(f"('{a}', '{u}')" for u, names in SPELLINGS.items() for a in names.split())
+_FACTORS = "('sqft', 1.0), ('sqyd', 9.0), ('sqm', 10.7639), ('acre', 43560.0), ('hectare', 107639.0), ('bigha', 27000.0), ('biswa', 1350.0), ('marla', 272.25), ('kanal', 5445.0), ('guntha', 1089.0), ('ground', 2400.0)"
+
+
+@query(f"""WITH {_L}, x AS (SELECT listing_id, covered_area_value AS v, nullif(regexp_replace(lower(covered_area_unit), '[^a-zऀ-ॿ]', '', 'g'), '') AS alias FROM l)
+SELECT listing_id, u.unit, round(v * f.factor, 2) AS sqft FROM x LEFT JOIN (VALUES {_ALIASES}) u(alias, unit) USING (alias) LEFT JOIN (VALUES {_FACTORS}) f(unit, factor) ON u.unit = f.unit""")
 def area_by_declared_unit(spark, d):
     x = _listings(spark, d).select("listing_id", "covered_area_value", unit_alias(F.col("covered_area_unit")).alias("alias"))
     x = x.join(F.broadcast(spelling_table(spark)), "alias", "left")
-    return convert_units(x, "covered_area_value", "unit", "sqft", area_graph(), "sqft").select("listing_id", "unit", "sqft")
+    return convert_units(x, "covered_area_value", "unit", "sqft", area_graph(), "sqft").select("listing_id", "unit", F.round("sqft", 2).alias("sqft"))
 
 
 @query()
@@ -311,20 +376,32 @@ def rate_lookup_ladder(spark, d):
     return lookup.ladder_lookup(_listings(spark, d), rates)
 
 
-@query("SELECT locality_id, unnest(list_transform(range(CAST(regexp_extract(locality, '(\\d+)', 1) AS INT), CAST(regexp_extract(locality, '(\\d+)', 1) AS INT) + 3), lambda x: 'Sector ' || x)) AS sector FROM gazetteer WHERE regexp_matches(locality, '^Sector \\d+$') AND CAST(regexp_extract(locality, '(\\d+)', 1) AS INT) <= 198")
+@query("SELECT locality_id, unnest(list_transform(range(CAST(regexp_extract(locality, '(\\d+)', 1) AS INT), CAST(regexp_extract(locality, '(\\d+)', 1) AS INT) + 3), lambda x: 'Sector ' || x)) AS sector FROM gazetteer WHERE regexp_matches(locality, '\\d')")
 def sector_expand(spark, d):
     n = F.regexp_extract("locality", r"(\d+)", 1).cast("int")
-    g = table(spark, d, "gazetteer").where(F.col("locality").rlike(r"^Sector \d+$")).where(n <= 198).select("locality_id", F.concat(n.cast("string"), F.lit(" TO "), (n + 2).cast("string")).alias("span"))
+    g = table(spark, d, "gazetteer").where(F.col("locality").rlike(r"\d")).select("locality_id", F.concat(n.cast("string"), F.lit(" TO "), (n + 2).cast("string")).alias("span"))
     return lookup.expanded_sectors(g, "span").select("locality_id", "sector")
 
 
-@query("SELECT DISTINCT p.city, p.locality AS wanted, g.locality, 0 AS tier FROM property_master p JOIN gazetteer g ON p.city = g.city AND lower(p.locality) = lower(g.locality)")
+_OVERLAP = "len(list_intersect(wa, wb)) / greatest(len(wa), len(wb))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT city, CASE WHEN hash_at = 0 THEN locality WHEN hash_at = 1 THEN locality || ' Market' WHEN hash_at = 2 THEN split_part(locality, ' ', 1) || ' Old Town' ELSE split_part(locality, ' ', 1) END AS wanted FROM (SELECT city, locality, length(locality) % 4 AS hash_at FROM property_master)),
+j AS (SELECT n.city, wanted, locality, lower(trim(wanted)) AS a, lower(trim(locality)) AS b, list_distinct(regexp_split_to_array(lower(trim(wanted)), '[\\s_]+')) AS wa, list_distinct(regexp_split_to_array(lower(trim(locality)), '[\\s_]+')) AS wb FROM n JOIN (SELECT DISTINCT city, locality FROM gazetteer) g ON n.city = g.city),
+k AS (SELECT *, CASE WHEN a = b THEN 0 WHEN contains(a, b) OR contains(b, a) THEN 1 WHEN {_OVERLAP} > 0.3 THEN 2 END AS tier, {_OVERLAP} AS o FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY city, wanted ORDER BY tier, CASE WHEN tier = 1 THEN abs(length(a) - length(b)) ELSE -o END, locality) AS place FROM k WHERE tier IS NOT NULL) SELECT city, wanted, locality, tier FROM r WHERE place = 1""")
 def locality_resolve(spark, d):
-    r = table(spark, d, "property_master").select("city", F.col("locality").alias("wanted"))
-    return lookup.resolved_locality(r, table(spark, d, "gazetteer")).where("tier = 0")
+    """Names as they stand, with a word more, with another ending, and cut to their first word, by their length."""
+    at, first = F.length("locality") % 4, F.split_part("locality", F.lit(" "), F.lit(1))
+    wanted = F.when(at == 0, F.col("locality")).when(at == 1, F.concat("locality", F.lit(" Market"))).when(at == 2, F.concat(first, F.lit(" Old Town"))).otherwise(first)
+    return lookup.resolved_locality(table(spark, d, "property_master").select("city", wanted.alias("wanted")), table(spark, d, "gazetteer"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {_L}, t AS (SELECT listing_id AS id, city, ' ' || {_PLAIN.format("concat_ws(' ', address_full, locality)")} || ' ' AS t FROM l), g AS (SELECT DISTINCT city, locality, {_PLAIN.format('locality')} AS run FROM gazetteer)
+SELECT id, arg_max(locality, {{'n': length(run), 'l': locality}}) AS locality FROM t JOIN g ON t.city = g.city AND contains(t.t, ' ' || run || ' ') GROUP BY 1""")
 def gazetteer_extract(spark, d):
     x = _listings(spark, d).select(F.col("listing_id").alias("id"), "city", F.concat_ws(" ", "address_full", "locality").alias("text"))
     return lookup.gazetteer_hit(x, table(spark, d, "gazetteer"))
@@ -336,19 +413,25 @@ def fuzzy_match(spark, d):
     return lookup.nearest_names(x, table(spark, d, "gazetteer").select("locality"), 0.8)
 
 
-@query("SELECT city, locality, token_sort, token_set FROM (SELECT city, locality, 100.0 AS token_sort, 100.0 AS token_set FROM gazetteer)")
+@query("""WITH g AS (SELECT city, locality, 'ab' AS a, chr(97 + CAST(locality_id % 3 AS INT)) || chr(97 + CAST(locality_id % 2 AS INT)) AS b FROM gazetteer)
+SELECT city, locality, b, CASE b WHEN 'ab' THEN 100.0 WHEN 'aa' THEN 50.0 WHEN 'ba' THEN 50.0 WHEN 'bb' THEN 50.0 WHEN 'ca' THEN 50.0 WHEN 'cb' THEN 50.0 ELSE 0.0 END AS sorted_ratio,
+  CASE b WHEN 'ab' THEN 100.0 WHEN 'aa' THEN 50.0 WHEN 'ba' THEN 50.0 WHEN 'bb' THEN 50.0 WHEN 'ca' THEN 50.0 WHEN 'cb' THEN 50.0 ELSE 0.0 END AS window_ratio, 100.0 AS reversed_ratio, round(200.0 * length(locality) / (2 * length(locality) + 6), 6) AS longer_ratio FROM g""")
 def token_ratios(spark, d):
-    a = F.col("locality")
-    b = F.array_join(F.reverse(F.split("locality", " ")), " ")
-    return table(spark, d, "gazetteer").select("city", "locality", fuzzy.token_sort_ratio(a, b).alias("token_sort"), fuzzy.token_set_ratio(a, F.concat(b, F.lit(" extra"))).alias("token_set"))
+    """Ratios with values that can be counted by hand: two letters against two, a name against its words reversed, and against itself with six letters more."""
+    g = table(spark, d, "gazetteer").withColumn("b", F.concat(F.char(F.lit(97) + F.col("locality_id") % 3), F.char(F.lit(97) + F.col("locality_id") % 2)))
+    turned = F.array_join(F.reverse(F.split("locality", " ")), " ")
+    return g.select(
+        "city", "locality", "b", fuzzy.token_sort_ratio(F.lit("ab"), F.col("b")).alias("sorted_ratio"), fuzzy.partial_ratio(F.lit("ab"), F.col("b")).alias("window_ratio"), fuzzy.token_sort_ratio(F.col("locality"), turned).alias("reversed_ratio"),
+        F.round(fuzzy.indel_ratio(F.col("locality"), F.concat("locality", F.lit("qzqzqz"))), 6).alias("longer_ratio"),
+    )
 
 
-@query("""WITH m AS (SELECT city, locality, count(*) AS listings FROM property_master WHERE NOT coalesce(circle_rate > 0, false) GROUP BY 1, 2), o AS (SELECT city, locality, max(circle_rate) AS rate FROM property_master WHERE circle_rate > 9000 GROUP BY 1, 2)
+@query("""WITH p AS (SELECT *, CASE WHEN circle_rate > 0 AND NOT isnan(circle_rate) THEN circle_rate END AS r FROM property_master), m AS (SELECT city, locality, count(*) AS listings FROM p WHERE r IS NULL GROUP BY 1, 2), o AS (SELECT city, locality, max(r) AS rate FROM p WHERE r > 9000 GROUP BY 1, 2)
 SELECT coalesce(m.city, o.city) AS city, coalesce(m.locality, o.locality) AS locality, rate, coalesce(listings, 0) AS listings, CASE WHEN rate IS NOT NULL THEN 'override' ELSE 'missing' END AS status FROM m FULL JOIN o ON m.city = o.city AND m.locality = o.locality""")
 def missing_rate_report(spark, d):
-    p = table(spark, d, "property_master")
-    over = p.where("circle_rate > 9000").groupBy("city", "locality").agg(F.max("circle_rate").alias("rate"))
-    return lookup.override_report(p.where(~F.coalesce(F.col("circle_rate") > 0, F.lit(False))), over)
+    p = table(spark, d, "property_master").withColumn("r", scalar.positive(F.col("circle_rate")))
+    over = p.where("r > 9000").groupBy("city", "locality").agg(F.max("r").alias("rate"))
+    return lookup.override_report(p.where("r is null"), over)
 
 
 # ------------------------------------------------------------------ places
@@ -399,9 +482,16 @@ def quarterly_median(spark, d):
     return _quarters(spark, d).withColumns({"value": F.round("value", 4), "quarter": scalar.iso_date(F.col("quarter"))})
 
 
-@query()
+_K = "PARTITION BY segment, city, canonical_locality ORDER BY quarter"
+
+
+@query(f"""WITH {_QUARTER}, s AS (SELECT segment, city, canonical_locality, CAST(unnest(generate_series(CAST(min(quarter) AS TIMESTAMP), CAST(max(quarter) AS TIMESTAMP), INTERVAL 3 MONTH)) AS DATE) AS quarter FROM q GROUP BY 1, 2, 3),
+x AS (SELECT s.*, value, row_number() OVER (PARTITION BY s.segment, s.city, s.canonical_locality ORDER BY s.quarter) AS i FROM s LEFT JOIN q ON s.segment = q.segment AND s.city = q.city AND s.canonical_locality = q.canonical_locality AND s.quarter = q.quarter),
+y AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER ({_K}) AS pi, last_value(value IGNORE NULLS) OVER ({_K}) AS pv, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER ({_K} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni,
+  first_value(value IGNORE NULLS) OVER ({_K} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM x)
+SELECT segment, city, canonical_locality, strftime(quarter, '%Y-%m-%d') AS quarter, round(coalesce(value, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0)), 3) AS value, value IS NULL AS filled FROM y""")
 def quarters_filled(spark, d):
-    return series.filled_quarters(_quarters(spark, d), panel.KEYS)
+    return series.filled_quarters(_quarters(spark, d), panel.KEYS).withColumns({"value": F.round("value", 3), "quarter": scalar.iso_date(F.col("quarter"))})
 
 
 @query(f"WITH {_QUARTER}, w AS (SELECT *, lag(value) OVER k AS lag1, lag(value, 4) OVER k AS l4, row_number() OVER k AS t, avg(value) OVER (PARTITION BY segment, city, canonical_locality ORDER BY quarter ROWS 3 PRECEDING) AS m FROM q WINDOW k AS (PARTITION BY segment, city, canonical_locality ORDER BY quarter)) SELECT segment, city, canonical_locality, strftime(quarter, '%Y-%m-%d') AS quarter, round(value / lag1 - 1, 6) AS growth, round(value / l4 - 1, 6) AS yoy, round(m, 4) AS mean4, t FROM w")
@@ -474,7 +564,7 @@ def error_coverage(spark, d):
     return stats.error_coverage(x, "e", [100.0, 300.0, 1000.0]).withColumn("share", F.round("share", 6))
 
 
-@query("SELECT bhk, coalesce(avg(abs(price_per_sqft - pi_price_per_sqft)) FILTER (property_type = 'Apartment'), 0) AS Apartment, coalesce(avg(abs(price_per_sqft - pi_price_per_sqft)) FILTER (property_type = 'Villa'), 0) AS Villa FROM property_master GROUP BY bhk".replace("avg(", "round(avg(").replace(" FILTER (property_type = 'Apartment'), 0)", " FILTER (property_type = 'Apartment'), 4), 0)").replace(" FILTER (property_type = 'Villa'), 0)", " FILTER (property_type = 'Villa'), 4), 0)").replace("coalesce(round(", "coalesce(round("))
+@query("SELECT bhk, coalesce(round(avg(e) FILTER (property_type = 'Apartment'), 4), 0) AS Apartment, coalesce(round(avg(e) FILTER (property_type = 'Villa'), 4), 0) AS Villa FROM (SELECT *, abs(price_per_sqft - pi_price_per_sqft) AS e FROM property_master) GROUP BY bhk")
 def pivot_error(spark, d):
     x = table(spark, d, "property_master").withColumn("e", F.abs(F.col("price_per_sqft") - F.col("pi_price_per_sqft")))
     x = stats.pivot_mean(x, "bhk", "property_type", "e", ["Apartment", "Villa"])
@@ -486,7 +576,7 @@ def price_histogram(spark, d):
     return stats.histogram(table(spark, d, "property_master"), "price_per_sqft", 2000.0, 26000.0, 24)
 
 
-@query("SELECT q, round(quantile_cont(price_per_sqft, q), 6) AS value FROM (SELECT price_per_sqft FROM property_master), (VALUES (0.05), (0.5), (0.95)) t(q) GROUP BY q".replace("quantile_cont(price_per_sqft, q)", "CASE q WHEN 0.05 THEN quantile_cont(price_per_sqft, 0.05) WHEN 0.5 THEN quantile_cont(price_per_sqft, 0.5) ELSE quantile_cont(price_per_sqft, 0.95) END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"))
+@query("SELECT 0.05::DOUBLE AS q, round(quantile_cont(price_per_sqft, 0.05), 6) AS value FROM property_master UNION ALL SELECT 0.5, round(quantile_cont(price_per_sqft, 0.5), 6) FROM property_master UNION ALL SELECT 0.95, round(quantile_cont(price_per_sqft, 0.95), 6) FROM property_master")
 def exact_quantiles(spark, d):
     return stats.quantiles(table(spark, d, "property_master"), "price_per_sqft", [0.05, 0.5, 0.95]).withColumn("value", F.round("value", 6))
 
