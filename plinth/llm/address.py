@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.llm.components import connected
-from plinth.llm.index import LONG, near_keys
+from plinth.llm.index import LONG, long_keys, near_keys, short_keys
 from plinth.llm.places import BLANK, LOCALITY_KINDS, STREET_KINDS, place_tokens
 from plinth.session import cut, written
 
@@ -390,12 +390,14 @@ def address_classes(rows: DataFrame, gazetteer: DataFrame, *, street_similarity:
     beside = near.join(place, "near").groupBy("loc").agg(F.collect_set("other").alias("beside"))  # the few districts around a locality
     most = F.when(F.length("street") >= 6, 2).when(F.length("street") >= 4, 1).otherwise(0)
     here = nodes.where("block is not null").join(beside, "loc", "left").withColumn("in", F.explode(F.array_union(F.array("block"), F.coalesce("beside", F.array().cast("array<string>")))))
-    key = lambda df, probe, block: df.select("node", F.explode(near_keys(F.col("street"), most, probe)).alias("v"), "letter", "number", *block).select("node", F.xxhash64(*block, "letter", "number", "v").alias("k"))
-    ends = lambda p: p.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    pair = ends(key(here, True, ["in"]).alias("a").join(key(here, False, ["in"]).alias("b"), F.col("a.k") == F.col("b.k")).where("a.node < b.node"))
+    street = F.col("street")
+    key = lambda df, keys, block: df.select("node", F.explode(keys).alias("v"), "letter", "number", *block).select("node", F.xxhash64(*block, "letter", "number", "v").alias("k"))
+    ends = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.k") == F.col("b.k")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    short, long = key(here, short_keys(street, most), ["in"]), here.where(F.length("street") > LONG - 2)
+    pair = ends(short, short).where("a < b").unionByName(ends(key(long, long_keys(street, True), ["in"]), key(long, long_keys(street, False), ["in"])).where("a < b"))
     lost = nodes.where("block is null")
     same_unit = nodes.join(lost.select("letter", "number").distinct(), ["letter", "number"], "left_semi")
-    homeless = ends(key(lost, True, []).alias("a").join(key(same_unit, False, []).alias("b"), F.col("a.k") == F.col("b.k")).where("a.node <> b.node"))
+    homeless = ends(key(lost, near_keys(street, most, True), []), key(same_unit, near_keys(street, most, False), [])).where("a <> b")
     pair = pair.unionByName(homeless.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("street", "kind", "phase", "loc", "rest", "letter", "number", "block")])
     pair = pair.join(side("a"), "a").join(side("b"), "b")

@@ -47,15 +47,21 @@ def probe_keys(c: Column, most: int = 2) -> Column:
     return F.flatten(F.transform(F.sequence(n - most, n + most), lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: of(m, i)))))
 
 
-def near_keys(c: Column, most: Column | int, probe: bool) -> Column:
-    """The keys under which strings within ``most`` (0 to 2) edits meet: deletions, and for long ones their parts. One side of a join takes them with ``probe``, the other without."""
-    n = F.length(c)
+def short_keys(c: Column, most: Column | int) -> Column:
+    """The deletions under which strings within ``most`` (0 to 2) edits meet; none for long strings. Both sides of a join take the same."""
     m = F.lit(most) if isinstance(most, int) else most
     few = F.when(m <= 0, deletions(c, 0)).when(m == 1, deletions(c, 1)).otherwise(deletions(c, 2))
-    none = F.array().cast("array<string>")
-    short = F.when(n <= LONG + 2, few).otherwise(none)
-    long = F.when(n > LONG - 2, probe_keys(c) if probe else part_keys(c)).otherwise(none)
-    return F.concat(short, long)
+    return F.when(F.length(c) <= LONG + 2, few).otherwise(F.array().cast("array<string>"))
+
+
+def long_keys(c: Column, probe: bool) -> Column:
+    """The parts under which long strings within two edits meet; none for short strings. One side of a join takes them with ``probe``, the other without."""
+    return F.when(F.length(c) > LONG - 2, probe_keys(c) if probe else part_keys(c)).otherwise(F.array().cast("array<string>"))
+
+
+def near_keys(c: Column, most: Column | int, probe: bool) -> Column:
+    """``short_keys`` and ``long_keys`` together."""
+    return F.concat(short_keys(c, most), long_keys(c, probe))
 
 
 def edit_join(words: DataFrame, vocabulary: DataFrame, *, short: int = 4, long: int = 6) -> DataFrame:
