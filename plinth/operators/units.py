@@ -139,15 +139,36 @@ _UNIT = (
 _OTHER = r"\b(?:club(?: house)?|clubhouse|balcony|balconies|terrace|garden|lawn|park|pool|lobby|harvesting|township|campus|tiles?|kitchen|parking|gym|open space|green)\b"
 
 
-def _plain(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(c), r"<[^>]{0,200}>|&(?:nbsp|amp|#160);", " ")
-    t = F.translate(t, "०१२३४५६७८९", "0123456789")
-    # rates and other things' areas go first
-    t = F.regexp_replace(t, _NUM + r"\s*(?:/-)?\s*(?:/|per\b|प्रति|a\b)\s*-?\s*" + _UNIT, " ; ")
+def plain_text(c: Column) -> Column:
+    """Lower case, without tags and blanks written as entities, Devanagari digits as ASCII ones."""
+    return F.translate(F.regexp_replace(F.lower(c), r"<[^>]{0,200}>|&(?:nbsp|amp|#160);", " "), "०१२३४५६७८९", "0123456789")
+
+
+_RATE = _NUM + r"\s*(?:/-)?\s*(?:/|per\b|प्रति|a\b)\s*-?\s*" + _UNIT
+_TWO = _NUM + r"\s*" + _UNIT + r"(?:\s*(?:,|&|\+|-|=|/|\(|and\b|aur\b|और|व)?\s*" + _NUM + r"\s*" + _UNIT + r")?"
+_LEAD = r"(?:vastu|area is about|floor size|super area|carpet area|covered area|measures|measuring|total|built[ -]?up area(?: of)?|\barea\b|\bsize\b|क्षेत्रफल|क्षेत्र)\s*(?:of|is|about|:|-|=|approx\.?)?\s*"
+
+
+def own_areas(t: Column) -> Column:
+    """Plain text without rates and the areas of other things."""
+    t = F.regexp_replace(t, _RATE, " ; ")
     t = F.regexp_replace(t, _OTHER + r"[^.।;\d]{0,30}" + _NUM + r"\s*" + _UNIT, " ; ")
     return F.regexp_replace(t, _NUM + r"\s*" + _UNIT + r"\s*(?:of\s+)?(?:township|next door|park|campus|garden|lawn)", " ; ")
 
 
+def own_mention(t: Column) -> Column:
+    """The words that state a listing's own area in ``own_areas``: after a phrase that announces it, else the first bare mention; '' if none."""
+    announced = F.regexp_extract(t, _LEAD + _TWO, 0)
+    return F.when(announced != "", announced).otherwise(F.regexp_extract(t, r"(?:^|(?<![\d.,x]))" + _TWO, 0))
+
+
+def mention_parts(m: Column) -> Column:
+    """struct(value, alias, value2, alias2) of the few words of a mention, NULL fields where absent."""
+    g = [F.nullif(F.regexp_extract(m, _TWO + "$", i), F.lit("")) for i in (1, 2, 3, 4)]
+    number = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
+    return F.struct(number(g[0]).alias("value"), g[1].alias("alias"), number(g[2]).alias("value2"), g[3].alias("alias2"))
+
+
 def described_area(c: Column) -> Column:
     """struct(value, alias, value2, alias2) of the listing's own area in free text, NULL fields where absent.
 
@@ -155,25 +176,20 @@ def described_area(c: Column) -> Column:
     balcony, park, township) do not count. Phrases that announce the own area win over a bare mention. The second
     pair is set when the area is given in two units at once, as in '2 kanal 5 marla'.
     """
-    t = _plain(c)
-    lead = r"(?:vastu|area is about|floor size|super area|carpet area|covered area|measures|measuring|total|built[ -]?up area(?: of)?|\barea\b|\bsize\b|क्षेत्रफल|क्षेत्र)\s*(?:of|is|about|:|-|=|approx\.?)?\s*"
-    body = r"(?:^|(?<![\d.,x]))" + _NUM + r"\s*" + _UNIT + r"(?:\s*(?:,|&|\+|-|=|/|\(|and\b|aur\b|और|व)?\s*" + _NUM + r"\s*" + _UNIT + r")?"
+    return mention_parts(own_mention(own_areas(plain_text(c))))
 
-    def pick(p: str) -> Column:
-        g = [F.nullif(F.regexp_extract(t, p, i), F.lit("")) for i in (1, 2, 3, 4)]
-        return F.when(t.rlike(p), F.struct(
-            F.regexp_replace(g[0], ",", "").try_cast("double").alias("value"), g[1].alias("alias"),
-            F.regexp_replace(g[2], ",", "").try_cast("double").alias("value2"), g[3].alias("alias2"),
-        ))
 
-    return F.coalesce(pick(lead + _NUM + r"\s*" + _UNIT + r"(?:\s*(?:,|&|\+|-|=|/|\(|and\b|aur\b|और|व)?\s*" + _NUM + r"\s*" + _UNIT + r")?"), pick(body))
+_SAID = _NUM + r"\s*(?:/-)?\s*(?:/|per\b|प्रति)\s*-?\s*" + _UNIT
 
 
 def described_rate(c: Column) -> Column:
     """struct(value, alias) of a rate stated in free text ('Rs 7,813 per sq ft', '3,225 / sq yd'), NULL fields where absent."""
-    t = F.translate(F.regexp_replace(F.lower(c), r"<[^>]{0,200}>", " "), "०१२३४५६७८९", "0123456789")
-    p = _NUM + r"\s*(?:/-)?\s*(?:/|per\b|प्रति)\s*-?\s*" + _UNIT
-    return F.when(t.rlike(p), F.struct(F.regexp_replace(F.regexp_extract(t, p, 1), ",", "").try_cast("double").alias("value"), F.regexp_extract(t, p, 2).alias("alias")))
+    return rate_parts(F.regexp_extract(plain_text(c), _SAID, 0))
+
+
+def rate_parts(m: Column) -> Column:
+    g = [F.nullif(F.regexp_extract(m, _SAID + "$", i), F.lit("")) for i in (1, 2)]
+    return F.struct(F.regexp_replace(g[0], ",", "").try_cast("double").alias("value"), g[1].alias("alias"))
 
 
 def parsed_price(c: Column) -> Column:
@@ -213,9 +229,8 @@ def normalise_listing_units(
     spark = listings.sparkSession
     area, rate = area_graph(), rate_graph()
     # two equi-joins on the written unit, one on each unit in the text; the table is a constant of about a hundred rows
-    units = spelling_table(spark).join(F.broadcast(area.table(spark, "sqft")), F.col("unit") == F.col("source_unit")).where(F.col("target_unit") == "sqft").select("alias", "unit", "scale")
-    own = described_area(F.col("description"))
-    said = described_rate(F.col("description"))
+    units = spelling_table(spark).join(F.broadcast(area.table(spark, "sqft")), F.col("unit") == F.col("source_unit")).where(F.col("target_unit") == "sqft").select("alias", "unit", "scale", "offset")
+    # each step on the column before it, so that no pass over a text is written out twice
     x = listings.select(
         "listing_id",
         _positive(F.col("covered_area_value")).alias("v"),
@@ -223,16 +238,17 @@ def normalise_listing_units(
         _positive(F.col("covered_area_sqft")).alias("s"),
         F.coalesce(_positive(F.col("price")), parsed_price(F.col("price_raw"))).alias("p"),
         _positive(F.col("price_per_sqft")).alias("r"),
-        own.alias("own"),
-        said.alias("said"),
-    ).select(
+        plain_text(F.col("description")).alias("text"),
+    )
+    x = x.select("*", own_mention(own_areas(F.col("text"))).alias("m"), F.regexp_extract("text", _SAID, 0).alias("mr")).drop("text")
+    x = x.select("*", mention_parts(F.col("m")).alias("own"), rate_parts(F.col("mr")).alias("said")).select(
         "listing_id", "v", "a_d", "s", "p", "r",
         F.col("own.value").alias("v1"), unit_alias(F.col("own.alias")).alias("a_1"),
         F.col("own.value2").alias("v2"), unit_alias(F.col("own.alias2")).alias("a_2"),
         F.col("said.value").alias("v3"), unit_alias(F.col("said.alias")).alias("a_3"),
     )
     for k in ("d", "1", "2", "3"):
-        t = F.broadcast(units.select(F.col("alias").alias(f"t_{k}"), F.col("unit").alias(f"u_{k}"), F.col("scale").alias(f"f_{k}")))
+        t = F.broadcast(units.select(F.col("alias").alias(f"t_{k}"), F.col("unit").alias(f"u_{k}"), F.col("scale").alias(f"f_{k}"), F.col("offset").alias(f"o_{k}")))
         x = x.join(t, F.col(f"a_{k}") == F.col(f"t_{k}"), "left")
     factors = [(u, s) for u, (s, _, _) in sorted(area.compose("sqft").items())]
     rates = [(u.removeprefix("rate:"), 1 / s) for u, (s, _, _) in sorted(rate.compose("rate:sqft").items())]
@@ -240,8 +256,8 @@ def normalise_listing_units(
     both = F.col("v2").isNotNull() & F.col("f_2").isNotNull() & (F.col("u_2") != F.col("u_1")) & (F.col("u_1") != "sqft")
     x = x.withColumns({
         "text_unit": F.when(both & (F.col("f_2") > F.col("f_1")), F.col("u_2")).otherwise(F.col("u_1")),
-        "d": F.col("v1") * F.col("f_1") + F.when(both, F.col("v2") * F.col("f_2")).otherwise(0.0),
-        "declared": F.when(F.col("u_d") != "sqft", F.col("v") * F.col("f_d")),
+        "d": F.col("v1") * F.col("f_1") + F.col("o_1") + F.when(both, F.col("v2") * F.col("f_2") + F.col("o_2")).otherwise(0.0),
+        "declared": F.when(F.col("u_d") != "sqft", F.col("v") * F.col("f_d") + F.col("o_d")),
         "implied": F.col("p") / F.col("r"),
         "said_rate": F.col("v3") / F.col("f_3"),
     })
@@ -253,14 +269,14 @@ def normalise_listing_units(
     #: without other evidence, the first unit in this order under which the number is a plausible dwelling
     guess = F.coalesce(*[F.when((F.col("s") * f).between(lo, hi), F.lit(u)) for u, f in sorted(factors, key=lambda q: (q[0] != "sqyd", q[1]))])
     x = x.withColumn("area_unit", F.when(F.col("s").isNotNull(), F.coalesce(by_declared, by_text, by_price, by_said, plain, guess)))
-    scale = F.element_at(F.create_map(*[F.lit(y) for q in factors for y in q]), F.col("area_unit"))
-    x = x.withColumn("area_sqft", F.coalesce(F.col("s") * scale, F.col("declared"), F.when(F.col("u_d") == "sqft", F.when(F.col("v").between(lo, hi), F.col("v"))), F.col("d")))
+    x = convert_units(x, "s", "area_unit", "sqft", area, "s_sqft")  # equi-joins of the unit found with the composed shortest paths
+    x = x.withColumn("area_sqft", F.coalesce(F.col("s_sqft"), F.col("declared"), F.when(F.col("u_d") == "sqft", F.when(F.col("v").between(lo, hi), F.col("v"))), F.col("d")))
     true_rate = F.coalesce(F.col("p") / F.col("area_sqft"), F.col("said_rate"))
     rlo, rhi = rate_range
     magnitude = F.when(F.col("r") < rlo, F.lit("thousand")).when(F.col("r") > rhi, F.lit("sqyd")).otherwise(F.lit("sqft"))
     x = x.withColumn("rate_unit", F.when(F.col("r").isNotNull(), F.coalesce(_nearest(F.col("r") / true_rate, rates, tolerance), magnitude)))
-    per = F.element_at(F.create_map(*[F.lit(y) for q in rates for y in q]), F.col("rate_unit"))
-    return x.select("listing_id", "area_unit", "rate_unit", "text_unit", "area_sqft", F.coalesce(F.col("r") / per, true_rate).alias("rate_per_sqft"))
+    x = convert_units(x.withColumn("rate_of", F.concat(F.lit("rate:"), "rate_unit")), "r", "rate_of", "rate:sqft", rate, "r_sqft")
+    return x.select("listing_id", "area_unit", "rate_unit", "text_unit", "area_sqft", F.coalesce(F.col("r_sqft"), true_rate).alias("rate_per_sqft"))
 
 
 def unit_findings(listings: DataFrame, **options) -> DataFrame:
