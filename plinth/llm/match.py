@@ -119,7 +119,7 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
     v, price, rate = pos(F.col("covered_area_value")), F.coalesce(pos(F.col("price")), parsed_price(F.col("price_raw"))), pos(F.col("price_per_sqft"))
     sized = lambda c: F.when(c.between(550.0, 5200.0), c)
     x = listings.withColumn("__alias", unit_alias(F.col("covered_area_unit"))).join(units, F.col("__alias") == F.col("alias"), "left")
-    area = F.coalesce(F.when(F.col("unit") != "sqft", sized(v * F.col("scale"))), sized(v), sized(pos(F.col("covered_area_sqft"))), sized(price / rate))
+    area = F.coalesce(F.when(F.col("unit") != "sqft", sized(v * F.col("scale"))), sized(v), sized(pos(F.col("covered_area_sqft"))), sized(price / rate), pos(v * F.col("scale")), pos(F.col("covered_area_sqft")))
     q = restored_position(F.col("latitude"), F.col("longitude"))
     floor = F.when(F.col("floors").rlike(r"(?i)^\s*ground of"), F.lit(0)).otherwise(F.nullif(F.regexp_extract("floors", r"^\s*(\d+) of", 1), F.lit("")).cast("int"))
     whole = lambda c, lo, hi: F.when(~F.isnan(F.col(c)) & F.col(c).between(lo, hi) & (F.col(c) == F.floor(F.col(c))), F.col(c).cast("int"))
