@@ -12,12 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- words
 
 #: Bytes of a text as they count: ASCII letters in lower case, digits, and every byte of other scripts; the rest parts words.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-_MARKUP = re.compile(rb"<[^<>]{0,300}>|&#?[A-Za-z0-9]{1,8};")
+_MARKUP = re.compile(rb"</?[A-Za-z!?][^<>]*>|&#?[A-Za-z0-9]{1,8};")
 #: General punctuation, currency signs, Latin-1 signs, dandas; zero-width characters and soft hyphens go without a trace.
 _SIGNS = re.compile(rb"\xe2\x80[\x90-\xbf]|\xe2\x80[\x80-\x8a]|\xe2[\x81-\xaf][\x80-\xbf]|\xc2[\xa0-\xac\xae-\xbf]|\xe0\xa5[\xa4\xa5]|\xef\xbc[\x80-\x8f]|\xe3\x80[\x80-\x9f]")
 _NOTHING = re.compile(rb"\xe2\x80[\x8b-\x8f]|\xc2\xad|\xef\xbb\xbf|-[ \t]*\r?\n\s*")
@@ -57,6 +59,10 @@ def word_bytes(text: str) -> bytes:
     return b.translate(_KEEP)
 
 
+#: Tags of any length; a sign of comparison before a blank or a number is none.
+_TAGS = re.compile(r"</?[A-Za-z!?][^<>]*>")
+
+
 class _Marks(dict):
     """For ``str.translate``: letters, digits and vowel signs stay, the rest goes."""
 
@@ -71,7 +77,7 @@ _MARKS = _Marks()
 
 def squashed(text: str) -> str:
     """Only the letters, digits and vowel signs of ``text``, in lower case, without markup: spacing, punctuation and broken words leave no mark."""
-    t = re.sub(r"<[^<>]{0,300}>", "", text if text.isascii() else mended(text))
+    t = _TAGS.sub("", text if text.isascii() else mended(text))
     if "&" in t:
         t = html.unescape(t)
     if t.isascii():
@@ -82,7 +88,6 @@ def squashed(text: str) -> str:
 #: ASCII letters in lower case and digits; the separators that ``str.split`` knows part words, the rest goes.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 28 <= b <= 31 else b for b in range(256))
 _DROPPED = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or 9 <= b <= 13 or 28 <= b <= 32))
-_TAGS = re.compile(r"<[^<>]{0,300}>")
 
 
 def squashed_words(text: str, known: dict[str, str]) -> list[str]:
@@ -339,7 +344,7 @@ class Passages:
         first = np.concatenate([[0], np.cumsum(times)])
         for k, ids in enumerate(self.ids):
             m = len(ids)
-            if m < 4:
+            if not m:
                 continue
             need, span = self._need(m), self._span(m)
             lost = m - need
@@ -380,6 +385,53 @@ class Passages:
         return any(doc[b] in mask and kept(b, b + span) >= need for b in range(lo, min(hi + 1, len(doc))))
 
 
+    def spans(self, k: int, text: str) -> list[tuple[int, int]]:
+        """The character spans of ``text``, merged and in order, that hold what ``text`` has of item ``k``: every run of it, and every place that the second rule holds of."""
+        shown = _TAGS.sub(lambda m: " " * len(m[0]), text)  # offsets stay
+        tokens = [(q, m.start(), m.end()) for m in re.finditer(r"\S+", shown) if (q := squashed(m[0]))]
+        words, runs = self.items[k][1], self.items[k][2]
+        at, starts, n = [], [], 0
+        for i, (q, _, _) in enumerate(tokens):
+            starts.append(n)
+            n += len(q)
+            at += [i] * len(q)
+        whole, found = "".join(q for q, _, _ in tokens), []
+        for r in runs:
+            j = whole.find(r)
+            while j >= 0:
+                found.append((at[j], at[j + len(r) - 1]))
+                j = whole.find(r, j + 1)
+        doc, mask, m = [q for q, _, _ in tokens], self.masks[k], len(words)
+        need, span, full = self._need(m), self._span(m), (1 << m) - 1
+        best: tuple[int, int, int] | None = None  # words kept, minus the length, and the first word of the best of places that overlap
+        reach = -1
+        for b in range(len(doc) if m else 0):
+            if doc[b] not in mask:
+                continue
+            v, kept, last = full, 0, b
+            for i in range(b, min(b + span, len(doc))):
+                if u := v & mask.get(doc[i], 0):
+                    v = ((v + u) | (v - u)) & full
+                    if m - v.bit_count() > kept:
+                        kept, last = m - v.bit_count(), i
+            if kept < need:
+                continue
+            if best and b > reach:
+                found.append((best[2], best[2] - best[1]))
+                best = None
+            best, reach = max(best or (0, 0, 0), (kept, b - last, b)), max(reach, last)
+        if best:
+            found.append((best[2], best[2] - best[1]))
+        out: list[tuple[int, int]] = []
+        for a, z in sorted(found):
+            x, y = tokens[a][1], tokens[z][2]
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], y))
+            else:
+                out.append((x, y))
+        return out or [(0, len(text))]  # a text whose broken encoding hides where its words begin goes as a whole
+
+
 def shard_hits(texts: list[str | None], p: Passages) -> dict[int, dict[int, list[int]]]:
     """Text number -> item number -> word places of the item's phrases, by an FM-index over all texts of the shard."""
     if not len(p.patterns):
@@ -425,41 +477,52 @@ def _shards(batches: Iterator[pd.DataFrame], most: int = 1 << 25) -> Iterator[tu
             yield ids[start:], texts[start:]
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, *, run: int = 12, part: float = 0.75, block: int = 5000) -> DataFrame:
-    """doc_id, item_id: each document whose text holds an item's passage, wholly or in part.
+def leaked_spans(documents: DataFrame, items: DataFrame, *, run: int = 12, part: float = 0.75, block: int = 5000) -> DataFrame:
+    """doc_id, item_id, start, end: where each document's text holds an item's passage, wholly or in part, as spans of characters.
 
     Held is a passage of which at least ``run`` consecutive words stand in the text, or at least ``part`` of its words in
     their order in one place with a few changed, dropped or put between; case, punctuation, spacing, markup, and how words
     and lines are broken do not count. Each Arrow batch of documents (or part of one, by size) is a shard with its own FM-index over the words that
     passages use; phrases are found by backward search through wavelet-tree ranks and located from sampled suffix positions. Beside them
     stand two searches that leave out no case of a rule: stretches of the squashed text for the first, the passage's words that are rarest
-    in the shard, counted within one place, for the second. Every pair that any of the three meets is tested exactly. Items are the stated query set:
-    they go to every shard, in blocks of ``block``. There is no shuffle but the last one, which drops repeats.
+    in the shard, counted within one place, for the second. Every pair that any of the three meets is tested exactly, and the spans of a pair
+    that overlap are merged (``removal_spans`` merges those of all items). Items are the stated query set:
+    they go to every shard, in blocks of ``block``, and the corpus is read once. There is no shuffle but the last one, which drops repeats.
 
-    Null and empty texts and passages are in no row; a passage of fewer than ``run`` words is found by the second rule only;
-    one of fewer than four words is not searched. Repeated documents give a row for each id. Empty tables give no rows.
+    Null and empty texts and passages are in no row; a passage of fewer than ``run`` words is found by the second rule only. Repeated
+    documents give a row for each id. Empty tables give no rows.
     """
     rows = items.select("item_id", "passage").orderBy("item_id").collect()  # the query set
-    kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
-    out = None
-    for b in range(0, max(1, len(rows)), block):
-        query = [(r[0], r[1]) for r in rows[b : b + block]]
-
-        def search(batches: Iterator[pd.DataFrame], query: list = query) -> Iterator[pd.DataFrame]:
-            p = Passages(query, run=run, part=part)
-            known: dict[str, str] = {}
-            for ids, texts in _shards(batches):
-                found, squash, docs = [], [squashed(t) for t in texts], [squashed_words(t, known) for t in texts]
+    kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, end int"
+    blocks = [[(r[0], r[1]) for r in rows[b : b + block]] for b in range(0, len(rows), block)]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+        passages = [Passages(q, run=run, part=part) for q in blocks]
+        for ids, texts in _shards(batches):
+            found, squash, docs = [], [squashed(t) for t in texts], [squashed_words(t, known) for t in texts]
+            for p in passages:
                 by_phrase, by_run, by_place = shard_hits(texts, p), p.run_hits(squash), p.place_hits(docs)
                 for d in by_phrase.keys() | by_run.keys() | by_place.keys():
                     places = by_place.get(d, {})
                     for k in set(by_phrase.get(d, ())) | by_run.get(d, set()) | places.keys():
                         if any(w in squash[d] for w in p.items[k][2]) or any(p.within(k, docs[d], lo, hi) for lo, hi in places.get(k, ())):
-                            found.append((ids[d], p.items[k][0]))
-                if len(known) > 1 << 18:
-                    known.clear()
-                yield pd.DataFrame(found, columns=["doc_id", "item_id"])
-
-        x = documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(search, kinds)
-        out = x if out is None else out.unionByName(x)
-    return out.distinct()
+                            found += [(ids[d], p.items[k][0], a, z) for a, z in p.spans(k, texts[d])]
+            if len(known) > 1 << 18:
+                known.clear()
+            yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end"])
+
+    return documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(search, kinds).distinct()
+
+
+def removal_spans(spans: DataFrame) -> DataFrame:
+    """doc_id, start, end: the spans of all items merged for each document, in order and apart from each other: what to take out of its text."""
+    w = W.partitionBy("doc_id").orderBy("start", "end")
+    far = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    x = spans.select("doc_id", "start", "end").withColumn("new", F.when(F.col("start") <= far, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
+    return x.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id: each document whose text holds an item's passage, wholly or in part, as ``leaked_spans`` finds it."""
+    return leaked_spans(documents, items, **options).select("doc_id", "item_id").distinct()

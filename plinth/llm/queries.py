@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm.address import same_address_pairs
 from plinth.llm.canonical import canonical_localities
-from plinth.llm.leak import leaked_passages
+from plinth.llm.leak import leaked_passages, leaked_spans, removal_spans
 from plinth.llm.match import matched_listings
 from plinth.llm.packing import pack, token_counts
 from plinth.llm.percentiles import market_percentiles
@@ -52,6 +52,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "passage"))
 
 
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "passage"))
+
+
+def p9_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_spans(p9_spans(spark, sf_dir))
+
+
 def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pages(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p4_found, p4_matched, p5_found, p8_packed, p9_found, p10_found, p10_pages)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_percentiles, p4_found, p4_matched, p5_found, p8_packed, p9_found, p9_spans, p9_removals, p10_found, p10_pages)}
 
 #: The same buckets, counted and cut at the same ranks without windows over partitions.
 _P3 = """

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plinth.llm.leak import FMIndex, Passages, leaked_passages, mended, shard_hits, squashed, suffix_array, word_bytes
+from plinth.llm.leak import FMIndex, Passages, leaked_passages, leaked_spans, removal_spans, mended, shard_hits, squashed, suffix_array, word_bytes
 from plinth.llm.spam import FEATURES, curve_features, curve_score, fit_weights, spectra, stuffed_pages, stuffed_share, training_rows
 
 PASSAGE = "The register records a deposit of 29.9 lakh, followed by 28 instalments paid every second month. As Prithvik Group delayed the second block, 27 allottees withdrew and recovered 9.5 percent of what they paid."
@@ -83,6 +83,27 @@ def test_leaks_without_an_intact_phrase(spark, rows):
     assert rows(leaked_passages(d, i)) == [(1, 100), (2, 100), (3, 100)]
 
 
+def test_spans_and_removals(spark, rows):
+    w = PASSAGE.split()
+    text = "Intro. " + " ".join(w[3:15]) + " middle part of the page " + PASSAGE + " tail. " + OTHER
+    docs = [(1, text), (2, "<b class='" + "x" * 500 + "'>" + PASSAGE.replace(" ", "  ") + "</b> end"), (3, "nothing at all"), (4, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(100, PASSAGE), (200, OTHER)], "item_id long, passage string")
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in leaked_spans(d, i).collect()}
+    one, whole, other = text.index(w[3]), text.index(PASSAGE), text.index(OTHER)
+    assert {(1, 100, one, one + len(" ".join(w[3:15]))), (1, 100, whole, whole + len(PASSAGE)), (1, 200, other, other + len(OTHER))} == {g for g in got if g[0] == 1}
+    assert [(docs[1][1][a:z]).split() for x, _, a, z in got if x == 2] == [PASSAGE.split()]
+    s = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 5, 9), (1, 3, 2, 4), (1, 1, 20, 30), (2, 1, 1, 2)], "doc_id int, item_id int, start int, end int")
+    assert rows(removal_spans(s), "doc_id", "start", "end") == [(1, 0, 9), (1, 20, 30), (2, 1, 2)]
+    assert removal_spans(leaked_spans(d.where("false"), i)).count() == 0
+
+
+def test_short_passages(spark, rows):
+    d = spark.createDataFrame([(1, "the arch at Kolugi Manor tilted"), (2, "Manor Kolugi"), (3, "KOLUGI, manor!")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "Kolugi Manor"), (2, "tilted"), (3, "")], "item_id long, passage string")
+    assert rows(leaked_passages(d, i)) == [(1, 1), (1, 2), (3, 1)]
+
+
 def test_broken_encoding():
     for t in ("₹1.89 Cr. गए", "सेक्टर 15B के तालाब", "it’s “quoted” – café"):
         cp1252 = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in t.encode())
