@@ -43,8 +43,9 @@ def propagate_labels(
     size costs one hub and not its pairs. In each round a hub takes the average of its rows (the
     mean of a numeric field, the class distribution of a categorical one) and each unlabelled row the average of
     its hubs, by weight; observed values stay as they are. Hubs hold observed values and fills alike, so values
-    reach groups without any observed row. Rounds go on until no hub moves by more than ``tolerance``, relatively, and
-    every hub that can be reached has a value (or for ``rounds``, if given). What no hub reaches takes the average of all rows.
+    reach groups without any observed row. Rounds go on until a round reaches no further hub and the
+    averages that missing values take move by no more than ``tolerance``, relatively and on the mean (or for ``rounds``, if given); a fixed
+    share of the distance is left after each round, so both come to an end. What no hub reaches takes the average of all rows.
 
     ``hubs``: name -> (columns, weight); a hub with a null among its columns does not link its row. The state that rounds work on is the
     table of hubs: sums of observed values are made once, and a round reads only the rows with something missing, looks up their hubs'
@@ -112,9 +113,12 @@ def propagate_labels(
         old = state.select("hub", *[F.col(f"m{k}").alias(f"o{k}") for k in range(len(slots))])
         new = base.join(part, "hub", "left").join(old, "hub")
         now = {k: mean(F.col(f"s{k}") + F.coalesce(f"t{k}", F.lit(0.0)), F.col(f"n_{f.name}") + F.coalesce(f"c_{f.name}", F.lit(0))) for k, (f, _) in enumerate(slots)}
-        moved = F.greatest(F.lit(0.0), *[F.when(F.col(f"m{k}").isNull(), 0.0).when(F.col(f"o{k}").isNull(), 1.0).otherwise(F.abs(F.col(f"m{k}") - F.col(f"o{k}")) / F.greatest(F.abs(F.col(f"o{k}")), F.lit(0.01))) for k in now])
-        state = written(new.withColumns({f"m{k}": v for k, v in now.items()}).select("hub", *[f"m{k}" for k in now], moved.alias("moved")), "fill-hubs")
-        if (state.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        gaps = [F.when(F.col(f"m{k}").isNull() | F.col(f"o{k}").isNull(), 0.0).otherwise(F.abs(F.col(f"m{k}") - F.col(f"o{k}")) / F.greatest(F.abs(F.col(f"o{k}")), F.lit(0.01))) for k in now]
+        waiting = [F.coalesce(f"c_{f.name}", F.lit(0)) for f, _ in slots]  # the missing values that take a hub's average
+        reached = sum((F.when(F.col(f"o{k}").isNull() & F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in now), F.lit(0))
+        state = written(new.withColumns({f"m{k}": v for k, v in now.items()}).select("hub", *[f"m{k}" for k in now], sum((g * n for g, n in zip(gaps, waiting, strict=True)), F.lit(0.0)).alias("moved"), sum(waiting, F.lit(0)).alias("waiting"), reached.alias("reached")), "fill-hubs")
+        moved, held, first_time = state.agg(F.sum("moved"), F.sum("waiting"), F.sum("reached")).first()
+        if not first_time and (moved or 0.0) <= tolerance * (held or 0):
             break
     overall = rows.agg(*[F.avg(seen(f, x)) for f, x in slots]).first()  # one row
     est = [F.coalesce(F.col(f"__e{k}"), F.lit(overall[k]).cast("double")) for k in range(len(slots))]

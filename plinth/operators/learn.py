@@ -57,24 +57,60 @@ def cluster_median_fill(df: DataFrame, features: list[str], columns: list[str],
     return x.select(*df.columns, *[f"{c}_filled" for c in columns])
 
 
-def knn_fill(df: DataFrame, key: str, block: list[str], features: list[str], target: str, k: int = 7) -> DataFrame:
-    """key, value: for rows without ``target``, the mean over the ``k`` nearest rows of their block that have it, by 1 / distance; an equal row decides alone.
+def _neighbours(df: DataFrame, key: str, block: list[str], features: list[str], target: str, k: int, salts: int) -> DataFrame:
+    """a, d, y: the ``k`` nearest known rows of the same block for each row without ``target``.
 
-    Exact within a block (columns that must agree): known and unknown rows meet by an equi-join on the block and only the best ``k`` of a row are kept.
+    Known and unknown rows of a block meet in ``salts`` parts, so that one hot block is spread over tasks; each part keeps its best ``k`` before the parts are joined.
     """
+    from pyspark.sql import Window as W
+
     num = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in features]
-    x = df.select(F.col(key).alias("k"), *block, F.array(*num).alias("f"), F.col(target).cast("double").alias("y"))
-    need, have = x.where("y is null").select(F.col("k").alias("a"), *block, F.col("f").alias("fa")), x.where("y is not null").select(F.col("k").alias("b"), *block, F.col("f").alias("fb"), "y")
+    x = df.select(F.col(key).alias("k"), *block, F.array(*num).alias("f"), F.col(target).alias("y"))
+    need = x.where("y is null").select(F.col("k").alias("a"), *block, F.col("f").alias("fa"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
+    have = x.where("y is not null").select(F.col("k").alias("b"), *block, F.col("f").alias("fb"), "y", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int").alias("part"))
     d = F.sqrt(F.aggregate(F.arrays_zip("fa", "fb"), F.lit(0.0), lambda s, p: s + F.pow(p["fa"] - p["fb"], 2)))
-    pair = need.join(have, block).select("a", d.alias("d"), "b", "y")
-    from pyspark.sql import Window as W
+    pair = need.join(have, [*block, "part"]).select("a", "part", d.alias("d"), "b", "y")
+    best = lambda p, by: p.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("d", "b"))).where(F.col("r") <= k)
+    return best(best(pair, ["a", "part"]), ["a"]).select("a", "d", "y")
+
 
-    near = pair.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+def knn_fill(df: DataFrame, key: str, block: list[str], features: list[str], target: str, k: int = 7, salts: int = 8) -> DataFrame:
+    """key, value: for rows without ``target``, the mean over the ``k`` nearest rows of their block that have it, by 1 / distance; an equal row decides alone.
+
+    Exact within a block (columns that must agree): known and unknown rows meet by an equi-join on the block and only the best ``k`` of a row are kept.
+    """
+    near = _neighbours(df.withColumn(target, F.col(target).cast("double")), key, block, features, target, k, salts)
     zero = F.avg(F.when(F.col("d") == 0, F.col("y")))
     w = F.sum(F.when(F.col("d") > 0, F.col("y") / F.col("d"))) / F.sum(F.when(F.col("d") > 0, 1 / F.col("d")))
     return near.groupBy("a").agg(F.coalesce(zero, w).alias("value")).select(F.col("a").alias(key), "value")
 
 
+def knn_vote(df: DataFrame, key: str, block: list[str], features: list[str], target: str, k: int = 7, salts: int = 8) -> DataFrame:
+    """key, value: for rows without the category ``target``, the one with the largest sum of 1 / distance among the ``k`` nearest rows that have it; equal rows decide alone, ties go to the first by name."""
+    near = _neighbours(df, key, block, features, target, k, salts)
+    votes = near.groupBy("a", "y").agg(F.count_if(F.col("d") == 0).alias("same"), F.sum(F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0)).alias("w"))
+    return votes.groupBy("a").agg(F.min_by("y", F.struct((-F.col("same")).alias("s"), (-F.col("w")).alias("w"), "y")).alias("value")).select(F.col("a").alias(key), "value")
+
+
+def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with NULL and blank categories replaced by the commonest one, ties by name. One small aggregate for each column."""
+    out = {}
+    for c in columns:
+        v = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+        top = df.groupBy(v.alias("v")).agg(F.count("*").alias("n")).where("v is not null").agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), "v"))).first()[0]
+        out[c] = F.coalesce(v, F.lit(top))
+    return df.withColumns(out)
+
+
+def mixed_preprocessor(numeric: list[str], categorical: list[str], out: str = "features") -> Pipeline:
+    """Median-filled and standardised numbers beside one-hot categories, of which unseen ones are left out; categories first go through ``most_frequent``."""
+    imputed = [f"{c}__i" for c in numeric]
+    stages = [Imputer(inputCols=numeric, outputCols=imputed, strategy="median"), VectorAssembler(inputCols=imputed, outputCol="__n", handleInvalid="keep"), StandardScaler(inputCol="__n", outputCol="__s", withMean=True)]
+    for c in categorical:
+        stages += [StringIndexer(inputCol=c, outputCol=f"{c}__x", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}__x", outputCol=f"{c}__h", dropLast=True)]  # the last one stands for unseen
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=["__s", *[f"{c}__h" for c in categorical]], outputCol=out, handleInvalid="keep")])
+
+
 def price_pipeline(numeric: list[str], categorical: list[str], target: str, model: str = "forest", trees: int = 60, seed: int = 42) -> Pipeline:
     """Median-filled numbers, indexed and one-hot categories (unseen ones kept apart), and a forest or boosted trees on log1p of the target."""
     imputed = [f"{c}__i" for c in numeric]
@@ -89,22 +125,24 @@ def price_pipeline(numeric: list[str], categorical: list[str], target: str, mode
     return Pipeline(stages=stages)
 
 
-def with_label(df: DataFrame, target: str) -> DataFrame:
-    return df.where(F.col(target) > 0).withColumn("label", F.log1p(F.col(target).cast("double")))
+def with_label(df: DataFrame, target: str, per: str | None = None) -> DataFrame:
+    """``df`` with ``label``: log1p of the target, or of its ratio to ``per``; rows without a positive one are left out."""
+    v = F.col(target).cast("double") if per is None else F.try_divide(F.col(target).cast("double"), F.col(per).cast("double"))
+    return df.where((v > 0) & ~F.isnan(v)).withColumn("label", F.log1p(v))
 
 
-def fit_price_model(df: DataFrame, numeric: list[str], categorical: list[str], target: str, **options) -> PipelineModel:
-    cast = with_label(df, target).withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical})
+def fit_price_model(df: DataFrame, numeric: list[str], categorical: list[str], target: str, per: str | None = None, **options) -> PipelineModel:
+    cast = with_label(df, target, per).withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical})
     return price_pipeline(numeric, categorical, target, **options).fit(cast)
 
 
-def scored(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """``df`` with ``prediction`` in the target's own unit."""
+def scored(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str], per: str | None = None) -> DataFrame:
+    """``df`` with ``prediction`` in the target's own unit, times ``per`` for a model of a ratio to it."""
     cast = df.withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical})
-    return model.transform(cast).withColumn("prediction", F.expm1("log_prediction"))
+    return model.transform(cast).withColumn("prediction", F.expm1("log_prediction") * (F.lit(1.0) if per is None else F.col(per).cast("double")))
 
 
-def select_by_cv(df: DataFrame, numeric: list[str], categorical: list[str], target: str, folds: int = 3, seed: int = 42) -> tuple[PipelineModel, list[float]]:
+def select_by_cv(df: DataFrame, numeric: list[str], categorical: list[str], target: str, folds: int = 5, seed: int = 42) -> tuple[PipelineModel, list[float]]:
     """The best forest of a small grid by cross-validated R2, and the grid's scores."""
     pipe = price_pipeline(numeric, categorical, target, seed=seed, trees=30)
     grid = ParamGridBuilder().addGrid(pipe.getStages()[-1].maxDepth, [5, 10]).build()
@@ -120,6 +158,58 @@ def importances(model: PipelineModel) -> list[tuple[int, float]]:
     return sorted(((int(i), float(x)) for i, x in zip(v.indices, v.values, strict=True)), key=lambda t: -t[1])
 
 
+#: What each kind of model is trained on: its plausible rows (``filters.LIMITS``), its target, and what the target is a ratio to.
+SEGMENTS = {
+    "sale": {"limits": "sale", "target": "price_per_sqft", "per": "circle_rate"}, "apartment rent": {"limits": "apartment rent", "target": "rent", "per": None},
+    "floor rent": {"limits": "floor rent", "target": "rent", "per": None}, "plot": {"limits": "plot", "target": "price_per_sqft", "per": None},
+}
+
+
+def train_segment(df: DataFrame, segment: str, numeric: list[str], categorical: list[str], key: str, columns: dict[str, str], **options) -> tuple[PipelineModel, DataFrame]:
+    """A segment's model and its errors on held-out rows: plausible rows, a split by key, the segment's own target. ``columns`` maps the names in ``filters.LIMITS`` and the target to columns."""
+    from plinth.operators import filters, stats
+
+    s = SEGMENTS[segment]
+    limits = {k: v for k, v in filters.LIMITS[s["limits"]].items() if columns.get(k, k) in df.columns}
+    target = columns.get(s["target"], s["target"])
+    rows = df.where(filters.within(limits, columns))
+    if s["per"]:
+        rows = rows.where(filters.plausible_ratio(F.col(target), F.col(s["per"])))
+    train, test = hash_split(rows, key)
+    model = fit_price_model(train, numeric, categorical, target, s["per"], **options)
+    return model, stats.model_errors(scored(model, test, numeric, categorical, s["per"]), target, "prediction")
+
+
+def random_search(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, area: str, draws: int = 8, seed: int = 42) -> tuple[PipelineModel, list[tuple[dict, float]]]:
+    """The forest of ``draws`` random settings with the least mean error of the total price (rate times ``area``), and every setting's error, the plain one first; it wins ties."""
+    rng = np.random.default_rng(seed)
+    settings: list[dict] = [{}] + [{"maxDepth": int(rng.integers(4, 13)), "numTrees": int(rng.integers(10, 61)), "minInstancesPerNode": int(rng.integers(1, 9)), "subsamplingRate": float(rng.uniform(0.6, 1.0))} for _ in range(draws)]
+    label = lambda df: with_label(df, target).withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical})
+    best, tried = None, []
+    for s in settings:
+        pipe = price_pipeline(numeric, categorical, target, trees=20, seed=seed)
+        pipe.getStages()[-1].setParams(**s)
+        model = pipe.fit(label(train))
+        gap = F.abs(F.col("prediction") - F.col(target)) * F.col(area)
+        error = float(scored(model, test, numeric, categorical).agg(F.avg(gap)).first()[0])
+        if best is None or error < min(e for _, e in tried):
+            best = model
+        tried.append((s, error))
+    return best, tried
+
+
+def learning_curve(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, key: str, shares: tuple[float, ...] = (0.25, 0.5, 1.0), trees: int = 20) -> list[tuple[float, float]]:
+    """(share, mean absolute error) of models fitted on growing shares of the training rows, by a hash of the key."""
+    from plinth.operators import stats
+
+    out = []
+    for s in shares:
+        part = train.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(10_000)) < int(s * 10_000))
+        model = fit_price_model(part, numeric, categorical, target, trees=trees)
+        out.append((s, float(stats.model_errors(scored(model, test, numeric, categorical), target, "prediction").first()["mae"])))
+    return out
+
+
 class IsolationTrees:
     """Random-split trees; points that few splits set apart are outliers. Fitted on a bounded sample, applied to every row."""
 

@@ -88,22 +88,24 @@ def _rate(c: Column) -> Column:
 
 def rates_flat(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """city, locality, property_type, rate of {locality: number or [numbers]}, the largest of a list. Values are parsed one by one, so one list does not cost the others."""
-    x = _texts(spark, paths).select("city", F.explode(F.from_json("value", "map<string,string>")).alias("locality", "v"))
-    return x.select("city", "locality", F.lit(None).cast("string").alias("property_type"), _rate(F.col("v")).alias("rate")).where("rate is not null")
+    x = _texts(spark, paths).select("city", F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "locality", "v"))
+    return x.select("city", "locality", F.lit(None).cast("string").alias("property_type"), _rate(F.col("v")).alias("rate"), "pos").where("rate is not null")
 
 
 def rates_nested(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The same of {city: {locality: number}}; keys that begin with an underscore, and nulls, are skipped."""
-    x = _texts(spark, paths).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("city", "m")).where("not startswith(city, '_')")
-    x = x.select("city", F.explode(F.map_filter("m", lambda k, v: v.isNotNull())).alias("locality", "v"))
-    return x.select(F.lower("city").alias("city"), "locality", F.lit(None).cast("string").alias("property_type"), _rate(F.col("v")).alias("rate")).where("rate is not null")
+    """The same of {city: {locality: number}}, and of {locality: number} beside it, whose city is in the file's name; keys that begin with an underscore, and nulls, are skipped."""
+    x = _texts(spark, paths).select(F.col("city").alias("file_city"), F.posexplode(F.from_json("value", "map<string,string>")).alias("outer", "name", "v")).where("not startswith(name, '_')")
+    inner = F.when(F.startswith(F.ltrim("v"), F.lit("{")), F.from_json("v", "map<string,string>")).otherwise(F.create_map("name", "v"))
+    city = F.when(F.startswith(F.ltrim("v"), F.lit("{")), F.lower("name")).otherwise(F.col("file_city"))
+    x = x.select(city.alias("city"), "outer", F.posexplode(inner).alias("at", "locality", "v")).where("not startswith(locality, '_')")
+    return x.select("city", "locality", F.lit(None).cast("string").alias("property_type"), _rate(F.col("v")).alias("rate"), (F.col("outer").cast("long") * (1 << 20) + F.col("at")).alias("pos")).where("rate is not null")
 
 
 def rates_records(spark: SparkSession, paths: str | list[str], rate_keys: tuple[str, ...] = ("circle_rate_sqft", "circle_rate", "rate_sqft", "rate")) -> DataFrame:
     """The same of [{city?, locality, property_type?, one of the rate keys}]; the first rate that is not 0 counts, the city may come from the file's name."""
     fields = "city string, locality string, property_type string, " + ", ".join(f"{k} string" for k in rate_keys)
-    x = _texts(spark, paths).select(F.col("city").alias("file_city"), F.explode(F.from_json("value", f"array<struct<{fields.replace(' string', ':string')}>>")).alias("r"))
-    return x.select(F.coalesce(F.lower("r.city"), "file_city").alias("city"), "r.locality", "r.property_type", F.coalesce(*[positive(F.col(f"r.{k}")) for k in rate_keys]).alias("rate")).where("rate is not null and locality is not null")
+    x = _texts(spark, paths).select(F.col("city").alias("file_city"), F.posexplode(F.from_json("value", f"array<struct<{fields.replace(' string', ':string')}>>")).alias("pos", "r"))
+    return x.select(F.coalesce(F.lower("r.city"), "file_city").alias("city"), "r.locality", "r.property_type", F.coalesce(*[positive(F.col(f"r.{k}")) for k in rate_keys]).alias("rate"), "pos").where("rate is not null and locality is not null")
 
 
 def rates_ranges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -128,9 +130,37 @@ def with_order(shapes: list[DataFrame]) -> DataFrame:
     """Rates of all shapes in load order: ``seq`` orders by the place in ``shapes``, then by name, so that later files win."""
     out = None
     for i, s in enumerate(shapes):
-        s = s.select("city", "locality", "property_type", "rate", F.lit(i).alias("__file"))
+        s = s.select("city", "locality", "property_type", "rate", F.lit(i).alias("__file"), (F.col("pos") if "pos" in s.columns else F.pmod(F.xxhash64("locality"), F.lit(1 << 40))).cast("long").alias("__pos"))
         out = s if out is None else out.unionByName(s)
-    return out.select("city", "locality", "property_type", "rate", (F.col("__file").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("locality"), F.lit(1 << 40))).alias("seq"))
+    return out.select("city", "locality", "property_type", "rate", (F.col("__file").cast("long") * F.lit(1 << 44) + F.col("__pos")).alias("seq"))
+
+
+def rates_under(spark: SparkSession, paths: str | list[str], at: str, city: str, rate_keys: tuple[str, ...]) -> DataFrame:
+    """The same of records deep in a document (``at``: a JSON path such as ``$.rates.Town.land``): {locality, rate keys}; the first rate that is there counts, also under the name before a parenthesis."""
+    fields = ",".join(["locality:string", *[f"{k}:string" for k in rate_keys]])
+    x = spark.read.option("wholetext", True).text(paths).select(F.posexplode(F.from_json(F.get_json_object("value", at), f"array<struct<{fields}>>")).alias("pos", "r"))
+    x = x.select("pos", F.trim("r.locality").alias("name"), F.coalesce(*[positive(F.col(f"r.{k}")) for k in rate_keys]).alias("rate")).where("rate is not null and name <> ''")
+    names = F.array_distinct(F.filter(F.array(F.col("name"), F.trim(F.substring_index("name", "(", 1))), lambda n: n != ""))
+    return x.select(F.lit(city).alias("city"), F.explode(names).alias("locality"), F.lit(None).cast("string").alias("property_type"), "rate", "pos")
+
+
+def rates_with_zone(spark: SparkSession, paths: str | list[str], rate_key: str = "circle_rate_sqft") -> DataFrame:
+    """The same of [{locality, property_type, zone, rate}]: each rate under its locality and, as a second key, under its zone."""
+    x = _texts(spark, paths).select("city", F.posexplode(F.from_json("value", f"array<struct<locality:string,property_type:string,zone:string,{rate_key}:string>>")).alias("pos", "r"))
+    keys = F.filter(F.array("r.locality", "r.zone"), lambda k: k.isNotNull() & (F.trim(k) != ""))
+    return x.where("r.locality is not null").select("city", F.explode(keys).alias("locality"), F.coalesce("r.property_type", F.lit("Residential")).alias("property_type"), positive(F.col(f"r.{rate_key}")).alias("rate"), "pos").where("rate is not null")
+
+
+def all_rates(loads: list[DataFrame]) -> DataFrame:
+    """The rates of every file, as the shape's reader gives them, in load order (city files, then overrides, then generic ones): places with a rate for each kind and a default, as one table."""
+    from plinth.operators.lookup import rate_table
+
+    return rate_table(with_order(loads))
+
+
+def road_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files of a folder whose names speak of roads or highways."""
+    return [p for p in listed(spark, f"{folder}/*") if re.search(r"road|highway", p.rsplit("/", 1)[-1], re.I)]
 
 
 def read_roads(spark: SparkSession, paths: str | list[str]) -> DataFrame:

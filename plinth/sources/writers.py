@@ -59,6 +59,14 @@ def register_model(spark: SparkSession, registry: str, name: str, metrics: dict[
     return last + 1
 
 
+def load_model(spark: SparkSession, registry: str, name: str):
+    """The latest version of a model, ready to score; None if the registry has none."""
+    from pyspark.ml import PipelineModel
+
+    path = promoted(spark, registry, name)
+    return PipelineModel.load(path) if path else None
+
+
 def promoted(spark: SparkSession, registry: str, name: str) -> str | None:
     """The path of a model's latest version."""
     if not exists(spark, registry):
