@@ -57,16 +57,16 @@ def base_metrics(active: DataFrame) -> DataFrame:
 def absorption(active: DataFrame) -> DataFrame:
     """KEYS, scrape_date, absorbed_count, absorption_computable: properties gone at the segment's next date, where the locality has rows then.
 
-    The next date comes from the small table of distinct dates; each property's presence then is one equi-join.
+    The next date comes from the small table of distinct dates. When a property is next seen, and when its locality is, are the rows after
+    theirs in order, so no table is joined to itself.
     """
     dates = active.select("segment", "scrape_date").distinct().withColumn("next_date", F.lead("scrape_date").over(W.partitionBy("segment").orderBy("scrape_date")))
-    here = active.select(*KEYS, "scrape_date", "property_id").distinct()
-    now = here.join(dates, ["segment", "scrape_date"])
-    then = here.select(*KEYS, F.col("scrape_date").alias("next_date"), "property_id", F.lit(1).alias("still"))
-    visited = then.select(*KEYS, "next_date").distinct().withColumn("visited", F.lit(1))
-    x = now.join(then, [*KEYS, "next_date", "property_id"], "left").groupBy(*KEYS, "scrape_date", "next_date").agg(F.count_if(F.col("still").isNull()).alias("gone"))
-    x = x.join(visited, [*KEYS, "next_date"], "left")
-    return x.select(*KEYS, "scrape_date", F.when(F.col("visited") == 1, F.col("gone")).otherwise(F.lit(0)).alias("absorbed_count"), (F.col("visited") == 1).alias("seen")).select(*KEYS, "scrape_date", "absorbed_count", F.coalesce("seen", F.lit(False)).alias("absorption_computable"))
+    here = active.select(*KEYS, "property_id", "scrape_date").distinct()
+    seen = here.withColumn("again", F.lead("scrape_date").over(W.partitionBy(*KEYS, "property_id").orderBy("scrape_date"))).join(F.broadcast(dates), ["segment", "scrape_date"])  # a row for each date of a handful of segments
+    x = seen.groupBy(*KEYS, "scrape_date", "next_date").agg(F.count_if(F.coalesce(F.col("again") != F.col("next_date"), F.lit(True))).alias("gone"))
+    visited = F.coalesce(F.lead("scrape_date").over(W.partitionBy(*KEYS).orderBy("scrape_date")) == F.col("next_date"), F.lit(False))
+    x = x.withColumn("absorption_computable", visited)
+    return x.select(*KEYS, "scrape_date", F.when(F.col("absorption_computable"), F.col("gone")).otherwise(F.lit(0)).alias("absorbed_count"), "absorption_computable")
 
 
 def price_revisions(active: DataFrame) -> DataFrame:
@@ -87,8 +87,15 @@ def price_revisions(active: DataFrame) -> DataFrame:
 
 
 def market_panel(market: DataFrame) -> DataFrame:
-    """One row for each key and snapshot date with all metrics. One plan for all segments; each step shuffles once on the panel's keys."""
-    active = days_on_market(market)
+    """One row for each key and snapshot date with all metrics, one plan for all segments.
+
+    The active rows with their days on the market are written once, in the columns that the steps read, so that no step scans the market or
+    looks for first dates again. Runs a job.
+    """
+    from plinth.session import written
+
+    read = [*KEYS, "scrape_date", "property_id", "ingested_at", "price", "price_per_sqft", "is_new_event", "is_updated_event", "is_ready", "is_under_construction", "agent_type", "developer_id", "dom"]
+    active = written(days_on_market(market).select(*read), "active")
     x = base_metrics(active).join(absorption(active), [*KEYS, "scrape_date"], "left").join(price_revisions(active), [*KEYS, "scrape_date"], "left")
     zero = ["cut_count", "hike_count", "absorbed_count"]
     x = x.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {c: F.coalesce(c, F.lit(0.0)) for c in ("cut_median_pct", "hike_median_pct")} | {"absorption_computable": F.coalesce("absorption_computable", F.lit(False))})
