@@ -153,24 +153,30 @@ def token_counter(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens of each document's whole text; NULL and empty texts have 0 tokens."""
+    """doc_id, n_tokens of each document's whole text; NULL and empty texts have 0 tokens. ``tokenizer`` is a path on the driver, whose file Spark gives to the executors."""
+    import os
+
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import SparkFiles
+
         n = None
         for b in batches:
-            n = n or token_counter(tokenizer)
+            n = n or token_counter(SparkFiles.get(name))
             yield pd.DataFrame({"doc_id": b["i"], "n_tokens": [n(t) if t else 0 for t in b["t"]]})
 
     kind = documents.schema[id_column].dataType.simpleString()
     return documents.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInPandas(count, f"doc_id {kind}, n_tokens long")
 
 
-def pack(sizes: DataFrame, *, capacity: int = 2048) -> DataFrame:
+def pack(sizes: DataFrame, *, capacity: int = 2048, most_rows: int = 200_000) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, container_id of documents in containers of ``capacity`` tokens.
 
     ``sizes``: doc_id, n_tokens. A document longer than a container is split into full containers and a remainder, the others
     stay whole. The plan fixes dominating sets and best-fits the rest on the histogram of sizes, at most ``capacity`` rows
-    on the driver. NULL, zero and negative sizes come out with one piece of 0 tokens and no container. Documents that occur
+    on the driver; the plan goes to every task while it has at most ``most_rows`` rows, else it is joined. NULL, zero and negative sizes come out with one piece of 0 tokens and no container. Documents that occur
     twice are packed twice. Empty input gives an empty result. Runs jobs.
     """
     spark = sizes.sparkSession
@@ -180,7 +186,8 @@ def pack(sizes: DataFrame, *, capacity: int = 2048) -> DataFrame:
     pieces = cut(pieces)  # ranks below count within these partitions
     per_part = written(pieces.where("n_tokens > 0").groupBy("part", "n_tokens").agg(F.count("*").alias("n")), "sizes")
     histogram = {r[0]: r[1] for r in per_part.groupBy("n_tokens").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(plan_rows(histogram, capacity) or [(0, 0, -1, 0, 1)], "size int, lo long, hi long, container long, n long")
+    made = plan_rows(histogram, capacity) or [(0, 0, -1, 0, 1)]
+    plan = spark.createDataFrame(made, "size int, lo long, hi long, container long, n long")
     from pyspark.sql import Window as W
 
     before = per_part.withColumn("before", F.sum("n").over(W.partitionBy("n_tokens").orderBy("part")) - F.col("n")).select("part", "n_tokens", "before")
@@ -189,5 +196,5 @@ def pack(sizes: DataFrame, *, capacity: int = 2048) -> DataFrame:
     # a plan row for every block of ranks would be as long as the corpus; a size has a handful of rows, kept in order for one search
     spans = plan.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "container", "n"))).alias("spans"))
     hit = F.element_at(F.filter("spans", lambda s: (s["lo"] <= F.col("rank")) & (s["hi"] >= F.col("rank"))), 1)
-    out = ranked.join(F.broadcast(spans), F.col("n_tokens") == F.col("size"), "left").withColumn("s", F.when(F.col("spans").isNotNull(), hit))
+    out = ranked.join(F.broadcast(spans) if len(made) <= most_rows else spans, F.col("n_tokens") == F.col("size"), "left").withColumn("s", F.when(F.col("spans").isNotNull(), hit))
     return out.select("doc_id", "piece", "first_token", "n_tokens", (F.col("s.container") + (F.col("rank") - F.col("s.lo")) % F.col("s.n")).alias("container_id"))
