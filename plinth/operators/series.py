@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,21 +118,22 @@ def nearest_by_value(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
 def roll_forward(series: DataFrame, keys: list[str], quarters: int, weight: float = 0.6) -> DataFrame:
     """keys..., step, value: each quarter's growth is ``weight`` times the last plus the rest times the mean growth; each step feeds the next.
 
-    Sequential within a key, so a key's history is one group; a quarterly history is bounded by the calendar.
+    A key's history, which the calendar bounds, is one ordered array; the steps are a fold over it in column expressions. A key without two
+    values does not grow.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("quarter")["value"].astype(float).tolist()
-        growth = [b / a - 1 for a, b in zip(v, v[1:], strict=False) if a]
-        mean, g, last, out = (sum(growth) / len(growth) if growth else 0.0), (growth[-1] if growth else 0.0), v[-1], []
-        for step in range(1, quarters + 1):
-            g = weight * g + (1 - weight) * mean
-            last *= 1 + g
-            out.append((*pdf[keys].iloc[0].tolist(), step, last))
-        return pd.DataFrame(out, columns=[*keys, "step", "value"])
-
-    schema = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
-    return series.groupBy(*keys).applyInPandas(run, f"{schema}, step int, value double")
+    x = series.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("quarter", "value"))), lambda s: s["value"].cast("double")).alias("v"))
+    later = F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0)))
+    growth = F.filter(F.zip_with(later, F.slice("v", F.lit(1), F.greatest(F.size("v") - 1, F.lit(0))), lambda b, a: F.try_divide(b, a) - 1), lambda g: g.isNotNull())
+    x = x.withColumn("growth", growth).withColumns({"mean": F.coalesce(F.try_divide(F.aggregate("growth", F.lit(0.0), lambda s, g: s + g), F.size("growth")), F.lit(0.0)), "now": F.coalesce(F.try_element_at("growth", F.lit(-1)), F.lit(0.0))})
+    start = F.struct(F.col("now").alias("g"), F.element_at("v", -1).alias("last"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        g = F.lit(weight) * s["g"] + F.lit(1 - weight) * F.col("mean")
+        last = s["last"] * (1 + g)
+        return F.struct(g.alias("g"), last.alias("last"), F.concat(s["out"], F.array(last)).alias("out"))
+
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(quarters)), start, step, lambda s: s["out"])
+    return x.select(*keys, F.posexplode(steps).alias("at", "value")).select(*keys, (F.col("at") + 1).alias("step"), "value")
 
 
 def scenario_sweep(base: DataFrame, key: str, features: dict[str, list[float]], score) -> DataFrame:

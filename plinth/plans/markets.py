@@ -144,7 +144,7 @@ def rival_localities(spark, d):
     return x.select("city", "locality", "rival", F.round("median", 4).alias("median"), F.round("gap", 4).alias("gap"), F.col("place").cast("int").alias("place"))
 
 
-@query(f"SELECT property_id, city, locality, round({_GOOD.format('price_per_sqft')}, 0) AS listed_ppsf, round({_GOOD.format('pi_price_per_sqft')}, 0) AS model_ppsf, round(({_GOOD.format('price_per_sqft')} - {_GOOD.format('pi_price_per_sqft')}) / {_GOOD.format('pi_price_per_sqft')} * 100, 2) AS delta_pct FROM property_master")
+@query(f"SELECT property_id, city, locality, round({_GOOD.format('price_per_sqft')}, 0) AS listed_ppsf, round({_GOOD.format('pi_price_per_sqft')}, 0) AS model_ppsf, round(({_GOOD.format('price_per_sqft')} - {_GOOD.format('pi_price_per_sqft')}) / {_GOOD.format('pi_price_per_sqft')} * 100, 2) + 0 AS delta_pct FROM property_master")
 def property_summary(spark, d):
     return forecast.property_summary(table(spark, d, "property_master"))
 

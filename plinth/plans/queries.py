@@ -338,16 +338,36 @@ _FACTORS = "('sqft', 1.0), ('sqyd', 9.0), ('sqm', 10.7639), ('acre', 43560.0), (
 
 
 @query(f"""WITH {_L}, x AS (SELECT listing_id, covered_area_value AS v, nullif(regexp_replace(lower(covered_area_unit), '[^a-zऀ-ॿ]', '', 'g'), '') AS alias FROM l)
-SELECT listing_id, u.unit, round(v * f.factor, 2) AS sqft FROM x LEFT JOIN (VALUES {_ALIASES}) u(alias, unit) USING (alias) LEFT JOIN (VALUES {_FACTORS}) f(unit, factor) ON u.unit = f.unit""")
+SELECT listing_id, u.unit, round(v * f.factor, 0) AS sqft FROM x LEFT JOIN (VALUES {_ALIASES}) u(alias, unit) USING (alias) LEFT JOIN (VALUES {_FACTORS}) f(unit, factor) ON u.unit = f.unit""")
 def area_by_declared_unit(spark, d):
     x = _listings(spark, d).select("listing_id", "covered_area_value", unit_alias(F.col("covered_area_unit")).alias("alias"))
     x = x.join(F.broadcast(spelling_table(spark)), "alias", "left")
-    return convert_units(x, "covered_area_value", "unit", "sqft", area_graph(), "sqft").select("listing_id", "unit", F.round("sqft", 2).alias("sqft"))
-
-
-@query()
+    return convert_units(x, "covered_area_value", "unit", "sqft", area_graph(), "sqft").select("listing_id", "unit", F.round("sqft", 0).alias("sqft"))
+
+
+_CLEAN = f"""
+p AS (SELECT * FROM l WHERE price IS NOT NULL),
+x AS (SELECT *, concat_ws(' ', CASE WHEN trim(description) <> '' THEN description END, CASE WHEN trim(amenities) <> '' THEN amenities END) AS t, regexp_replace(trim(lower(property_type)), '\\s+', ' ', 'g') AS k, regexp_replace(trim(lower(furnishing_type)), '\\s+', ' ', 'g') AS u,
+  lower(coalesce(facing_direction, '') || ' facing') AS f, regexp_replace(trim(lower(age_of_property)), '\\s+', ' ', 'g') AS g, lower(trim(floors)) AS fl, regexp_replace(trim(lower(possession_status)), '\\s+', ' ', 'g') AS po,
+  coalesce(try_strptime(regexp_replace(replace(trim(possession_status), ',', ''), '(\\d)(st|nd|rd|th)', '\\1'), '%d %b %Y'), try_strptime(regexp_replace('1 ' || trim(possession_status), '\\s*''(\\d\\d)$', ' 20\\1'), '%d %b %Y')) AS w,
+  try_cast(regexp_extract(road_width, '(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) * CASE WHEN regexp_matches(road_width, 'f(?:ee)?t', 'i') THEN 0.3048 ELSE 1 END AS rw FROM p),
+y AS (SELECT *, {_CNT.format(t='t', a='(\\d+)\\s*bhk', b='bedrooms?\\s*(\\d+)')} AS tb, {_CNT.format(t='t', a='bathrooms?\\s*(\\d+)', b='(\\d+)\\s*bathrooms?')} AS tt, {_CNT.format(t='t', a='(\\d+)\\s*balcon', b='balcon\\w*\\s*(\\d+)')} AS tc,
+  regexp_extract(t, 'sale\\s*price\\s*(\\d[\\d,]*)', 1, 'i') AS ps, regexp_extract(t, '(\\d+\\.?\\d*)\\s*cr', 1, 'i') AS pc, regexp_extract(t, '(\\d+\\.?\\d*)\\s*(?:lac|lakh)', 1, 'i') AS pl, try_cast(nullif(regexp_extract(g, '(\\d+)', 1), '') AS INT) AS low FROM x)"""
+_NUM = "CASE WHEN NOT isnan({0}) AND abs({0}) < 'inf'::DOUBLE THEN {0} END"
+_TWELVE = "CASE WHEN coalesce({0}, {1}) <= 12 THEN coalesce({0}, {1}) END"
+_FACING = " ".join(f"WHEN regexp_matches(f, '{a}\\s*-?\\s*{b}\\s*facing') THEN '{a.title()}-{b.title()}'" for a, b in (("north", "east"), ("north", "west"), ("south", "east"), ("south", "west"))) + " " + " ".join(f"WHEN regexp_matches(f, '{a}\\s*facing') THEN '{a.title()}'" for a in ("north", "south", "east", "west")) + " " + " ".join(f"WHEN regexp_matches(f, '{a}\\s*-?\\s*{b}') THEN '{a.title()}-{b.title()}'" for a, b in (("north", "east"), ("north", "west"), ("south", "east"), ("south", "west")))
+_MISSING = ", ".join(f"'{w}'" for w in scalar.MISSING_WORDS)
+
+
+@query(f"""WITH {_L}, {_CLEAN} SELECT listing_id, CASE k WHEN 'apartment' THEN 'apartment' WHEN 'studio apartment' THEN 'apartment' WHEN 'penthouse' THEN 'apartment' WHEN 'builder floor' THEN 'builder_floor' WHEN 'independent floor' THEN 'builder_floor' WHEN 'residential plot' THEN 'plot' WHEN 'independent house' THEN 'house_villa' WHEN 'residential house' THEN 'house_villa' WHEN 'villa' THEN 'house_villa' ELSE replace(k, ' ', '_') END AS kind,
+  CASE u WHEN 'fully furnished' THEN 'Furnished' WHEN 'furnished' THEN 'Furnished' WHEN 'semi-furnished' THEN 'Semi-Furnished' WHEN 'semi furnished' THEN 'Semi-Furnished' WHEN 'unfurnished' THEN 'Unfurnished' ELSE CASE WHEN regexp_matches(lower(t), 'fully[ -]furnished') THEN 'Furnished' WHEN regexp_matches(lower(t), 'semi[ -]furnished') THEN 'Semi-Furnished' WHEN regexp_matches(lower(t), 'un-?furnished') THEN 'Unfurnished' WHEN contains(lower(t), 'furnished') THEN 'Furnished' END END AS furnishing,
+  CASE {_FACING} END AS facing, CASE WHEN g IS NULL OR g IN ({_MISSING}) THEN NULL WHEN regexp_matches(g, '^(new|0[ -]|under|less than 1)') THEN 'New' WHEN low < 5 THEN 'Under 5 years' WHEN low < 10 THEN '5 to 10 years' WHEN low < 20 THEN '10 to 20 years' WHEN low >= 20 THEN 'Over 20 years' ELSE trim(age_of_property) END AS age,
+  CASE WHEN regexp_matches(po, 'ready|immediate') THEN 'ready' WHEN regexp_matches(po, 'under construction|launch') THEN 'under_construction' WHEN w <= DATE '2026-06-01' THEN 'ready' WHEN w IS NOT NULL THEN 'under_construction' END AS possession,
+  CASE WHEN regexp_matches(fl, '^ground\\b') THEN 0 WHEN starts_with(fl, 'upper basement') THEN -1 WHEN starts_with(fl, 'lower basement') THEN -2 ELSE try_cast(regexp_extract(fl, '^(\\d+)\\b', 1) AS INT) END AS floor, try_cast(regexp_extract(fl, '\\bof\\s+(\\d+)', 1) AS INT) AS floors_total, CASE WHEN rw BETWEEN 1 AND 100 THEN round(rw, 6) END AS road_width_m,
+  {_TWELVE.format('tb', _NUM.format('bhk'))} AS bhk, {_TWELVE.format('tt', _NUM.format('bathrooms'))} AS bathrooms, {_TWELVE.format('tc', _NUM.format('balconies'))} AS balconies,
+  round(coalesce(CASE WHEN try_cast(replace(ps, ',', '') AS DOUBLE) > 0 THEN try_cast(replace(ps, ',', '') AS DOUBLE) WHEN pc <> '' THEN CAST(pc AS DOUBLE) * 1e7 WHEN pl <> '' THEN CAST(pl AS DOUBLE) * 1e5 END, {_NUM.format('price')}), 2) AS price, {_FLAGGED} FROM y""")
 def listings_clean(spark, d):
-    return ingest.clean_listings(_listings(spark, d), F.lit("2025-12-01")).select("listing_id", "kind", "furnishing", "facing", "age", "possession", "floor", "floors_total", "road_width_m", "bhk", "bathrooms", "balconies", "price", *extract.FLAGS)
+    return ingest.clean_listings(_listings(spark, d), F.lit("2025-12-01")).select("listing_id", "kind", "furnishing", "facing", "age", "possession", "floor", "floors_total", F.round("road_width_m", 6).alias("road_width_m"), "bhk", "bathrooms", "balconies", F.round("price", 2).alias("price"), *extract.FLAGS)
 
 
 # ------------------------------------------------------------------ lookups
@@ -531,9 +551,10 @@ def competing_topk(spark, d):
     return x.withColumn("gap", F.round("gap", 9))
 
 
-@query()
+@query(f"""WITH {_QUARTER}, g AS (SELECT segment, city, canonical_locality, quarter, value, value / lag(value) OVER ({_K}) - 1 AS g FROM q), s AS (SELECT segment, city, canonical_locality, arg_max(value, quarter) AS last, coalesce(avg(g), 0) AS mean, coalesce(arg_max(g, quarter) FILTER (g IS NOT NULL), 0) AS now FROM g GROUP BY 1, 2, 3),
+f AS (SELECT s.*, CAST(k AS INT) AS step, 1 + mean + pow(0.6, k) * (now - mean) AS f FROM s, range(1, 21) r(k)) SELECT segment, city, canonical_locality, step, round(last * product(f) OVER (PARTITION BY segment, city, canonical_locality ORDER BY step), 2) AS value FROM f""")
 def forecast_roll_forward(spark, d):
-    return series.roll_forward(_quarters(spark, d), panel.KEYS, 20)
+    return series.roll_forward(_quarters(spark, d), panel.KEYS, 20).withColumn("value", F.round("value", 2))
 
 
 @query("SELECT property_id, round(price_per_sqft * 1.07, 4) AS invested, round((price_per_sqft * 1.5 * 0.98 + price_per_sqft * 0.02 * 5 - price_per_sqft * 1.07) / (price_per_sqft * 1.07) * 100, 6) AS roi_pct FROM property_master")
@@ -659,6 +680,10 @@ def stream_event_windows(spark, d):
     schema = table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d) if not os.path.isdir(f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     x = windowed_counts(raw.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], late="60 days")
-    name = f"w{uuid.uuid4().hex[:10]}"
-    x.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+    def keep(part: DataFrame, _: int) -> None:
+        part.write.mode("overwrite").parquet(f"{base}/out")  # the whole result so far; executors write it, none of it goes to the driver
+
+    x.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(x.schema).parquet(f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -23,7 +23,7 @@ def test_flagship_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p6_found", "p7_found", "market_panel", "nearest_donor_fill", "yoy_chain", "stream_event_windows"])
+@pytest.mark.parametrize("name", ["p6_found", "p7_found", "market_panel", "nearest_donor_fill", "yoy_chain", "stream_event_windows", "missing_rate_report", "plot_fields", "text_flags", "listings_clean", "forecast_roll_forward"])
 def test_against_sql(spark, name):
     import duckdb
 
