@@ -103,11 +103,11 @@ def titled_society(title: str | None) -> tuple[str, int]:
     return "", 0
 
 
-def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
+def listing_features(listings: DataFrame, *, bands: int = BANDS, area_range: tuple[float, float] = (550.0, 5200.0)) -> DataFrame:
     """One row for each listing with what identifies its dwelling, and the MinHash bands of its attributes.
 
     ``listings``: the columns of a listing table and ``src``. Areas come from the declared value and unit (or price over rate where
-    no unit fits), prices from the number or its text, the building's name from the address, its own field or the description's first sentence. The set of a row holds its attributes in combinations that few dwellings share:
+    no unit fits); one that no reading brings into ``area_range`` is in a unit that cannot be told and counts as unknown, prices from the number or its text, the building's name from the address, its own field or the description's first sentence. The set of a row holds its attributes in combinations that few dwellings share:
     place (position cell, building or locality) with area, price or floor; numbers are in buckets with two offsets, so near values
     share one. Unknown attributes add nothing. ``bands`` has the tokens that
     win a MinHash band and, negative where they do not, those that hold a door number.
@@ -117,9 +117,9 @@ def listing_features(listings: DataFrame, *, bands: int = BANDS) -> DataFrame:
     scale = area_graph().table(spark, "sqft").select(F.col("source_unit").alias("unit"), "scale")
     units = F.broadcast(spelling_table(spark).join(scale, "unit").select("alias", "unit", "scale"))  # a constant of a hundred rows
     v, price, rate = pos(F.col("covered_area_value")), F.coalesce(pos(F.col("price")), parsed_price(F.col("price_raw"))), pos(F.col("price_per_sqft"))
-    sized = lambda c: F.when(c.between(550.0, 5200.0), c)
+    sized = lambda c: F.when(c.between(*area_range), c)
     x = listings.withColumn("__alias", unit_alias(F.col("covered_area_unit"))).join(units, F.col("__alias") == F.col("alias"), "left")
-    area = F.coalesce(F.when(F.col("unit") != "sqft", sized(v * F.col("scale"))), sized(v), sized(pos(F.col("covered_area_sqft"))), sized(price / rate), pos(v * F.col("scale")), pos(F.col("covered_area_sqft")))
+    area = F.coalesce(F.when(F.col("unit") != "sqft", sized(v * F.col("scale"))), sized(v), sized(pos(F.col("covered_area_sqft"))), sized(price / rate))
     q = restored_position(F.col("latitude"), F.col("longitude"))
     floor = F.when(F.col("floors").rlike(r"(?i)^\s*ground of"), F.lit(0)).otherwise(F.nullif(F.regexp_extract("floors", r"^\s*(\d+) of", 1), F.lit("")).cast("int"))
     whole = lambda c, lo, hi: F.when(~F.isnan(F.col(c)) & F.col(c).between(lo, hi) & (F.col(c) == F.floor(F.col(c))), F.col(c).cast("int"))
