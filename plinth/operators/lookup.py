@@ -275,15 +275,18 @@ def rates_for_listings(listings: DataFrame, table: DataFrame, donors_km: float |
 
     ``listings``: id, city, locality, kind, lat, lon. ``table``: as ``rate_table`` gives it. ``typed`` asks for the listing's kind, else the
     place's default counts. ``donors_km`` bounds the nearest donor (of the same city, else of any); None sets no bound. Unresolved listings
-    are dropped or kept with NULL.
+    are dropped or kept with NULL. Each distinct place and kind is looked up once. Runs jobs.
     """
     from plinth.operators.nearest import nearest_any, tiered_fill
+    from plinth.session import written
 
     e = rate_entries(table)
     rate = resolved_rate(F.col("rates"), F.col("default_rate"), F.col("kind") if typed else None)
-    keys = listings.withColumn("k", F.explode(key_ladder(F.col("locality")))).select("id", "city", "kind", "k.level", "k.key")
-    hit = keys.join(e, (scalar.collapsed(keys.city) == e.city) & (keys.key == e.locality)).select("id", keys.kind, "level", rate.alias("rate")).groupBy("id").agg(F.min_by("rate", "level").alias("rate"))
-    x = listings.select("id", scalar.collapsed(F.col("city")).alias("city"), "lat", "lon").join(hit, "id", "left").withColumnRenamed("rate", "value")
+    places = listings.select("city", "locality", "kind").distinct()
+    keys = places.withColumn("k", F.explode(key_ladder(F.col("locality")))).select("city", "locality", "kind", "k.level", "k.key")
+    hit = keys.join(e, (scalar.collapsed(keys.city) == e.city) & (keys.key == e.locality)).select(keys.city.alias("c"), keys.locality.alias("l"), keys.kind.alias("k"), "level", rate.alias("rate")).groupBy("c", "l", "k").agg(F.min_by("rate", "level").alias("value"))
+    x = listings.join(hit, (F.col("city") == F.col("c")) & (F.col("locality") == F.col("l")) & F.col("kind").eqNullSafe(F.col("k")), "left").select("id", scalar.collapsed(F.col("city")).alias("city"), "lat", "lon", "value")
+    x = written(x, "rates")  # read by each search for donors
     fill = tiered_fill(x, [["city"], []], donors_km) if donors_km is not None else nearest_any(x)
     out = x.join(fill.select("id", F.col("value").alias("near")), "id", "left").select("id", F.coalesce("value", "near").alias("rate"), F.when(F.col("value").isNotNull(), "place").when(F.col("near").isNotNull(), "nearest").alias("source"))
     return out.where("rate is not null") if drop_unresolved else out

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators.geo import haversine_km
+from plinth.operators.geo import EARTH_KM, haversine_km
 
 KM_LAT, KM_LON = 110.574, 111.320
 
@@ -16,52 +16,76 @@ def _cell(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("int")
 
 
-def nearest_within(targets: DataFrame, donors: DataFrame, km: float, on: list[str] | None = None) -> DataFrame:
+def nearest_within(targets: DataFrame, donors: DataFrame, km: float, on: list[str] | None = None, *, finest: float = 0.02) -> DataFrame:
     """target_id, donor_id, value, km: the nearest donor within ``km``, by great-circle distance, then donor id. Both: id, lat, lon, ``on``...; donors: value.
 
-    Donors go to the nine grid cells around their own; a target meets those of its cell by an equi-join on cell and ``on``, and only the
-    best is kept while shuffling.
+    Donors of one position count as the first of them by id, and each stands in one cell of each of some nested grids, from ``km`` down to
+    ``finest`` km, four times finer each time. A target takes the finest grid in which its own cell holds a donor; the nearest donor of that
+    cell bounds the distance, and only the cells that a circle of this radius touches are searched. So the pairs grow with the targets and not
+    with targets times donors, unless many of either lie apart from the other. All joins are equi-joins, and pairs meet no sort before the
+    distance has been bounded. Recorded latitudes beyond 85 degrees stay in the widest grid.
     """
     on = on or []
     dy = km / 111.0 * 1.001
     dx = dy / math.cos(math.radians(60))
-    a = targets.select(F.col("id").alias("target_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *on, _cell(F.col("lat"), dy).alias("cy"), _cell(F.col("lon"), dx).alias("cx"))
-    around = F.explode(F.array(*[F.struct((_cell(F.col("lat"), dy) + i).alias("cy"), (_cell(F.col("lon"), dx) + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = donors.where("lat is not null and lon is not null and value is not null").select(F.col("id").alias("donor_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "value", *on, around.alias("n")).select("*", "n.cy", "n.cx").drop("n")
-    d = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    x = a.join(b, ["cy", "cx", *on]).withColumn("km", d).where(F.col("km") <= km)
-    return x.groupBy("target_id").agg(F.min_by(F.struct("donor_id", "value", "km"), F.struct("km", "donor_id")).alias("m")).select("target_id", "m.*")
+    deepest = max(0, math.ceil(math.log(km / finest, 4)))
+    lat, lon, usual = F.col("a_lat"), F.col("a_lon"), lambda c: F.abs(c) <= 85
+    fine = lambda lv: F.pow(F.lit(4.0), lv)
+    cell = lambda c, width, lv: F.floor(c / F.lit(width) * fine(lv))
+    levels = lambda c: F.explode(F.when(usual(c), F.sequence(F.lit(0), F.lit(deepest))).otherwise(F.array(F.lit(0))))
+    b = donors.where("lat is not null and lon is not null and value is not null").groupBy(*on, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(F.min_by(F.struct(F.col("id").alias("donor_id"), "value"), "id").alias("d"))
+    b = b.select(*on, "b_lat", "b_lon", "d", levels(F.col("b_lat")).alias("lv")).withColumns({"cy": cell(F.col("b_lat"), dy, F.col("lv")), "cx": cell(F.col("b_lon"), dx, F.col("lv"))})
+    at, key = [*on, "lv", "cy", "cx"], ["target_id", "a_lat", "a_lon", *on]
+    own = lambda x: x.withColumns({"cy": cell(lat, dy, F.col("lv")), "cx": cell(lon, dx, F.col("lv"))})
+    a = own(targets.select(F.col("id").alias("target_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *on).where("a_lat is not null and a_lon is not null").withColumn("lv", levels(lat)))
+    a = a.join(b.select(*at).distinct().withColumn("held", F.lit(True)), at, "left").groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("held"), F.col("lv"))), F.lit(0)).alias("lv"))
+    d = haversine_km(lat, lon, F.col("b_lat"), F.col("b_lon"))
+    a = own(a).join(b, at, "left").groupBy(*key, "lv").agg(F.min(d).alias("r"))
+    a = a.withColumn("r", F.least(F.coalesce("r", F.lit(float(km))), F.lit(float(km))) * (1 + 1e-9) + 1e-9)
+    # the circle's extent in degrees: exact up to the poles; beyond them, where a position is no place, the neighbouring cells
+    up, wide = F.col("r") / 111.0 * 1.001, F.sin(F.col("r") / F.lit(EARTH_KM)) / F.cos(F.radians(lat))
+    side = F.when(F.abs(lat) > 90, F.lit(dx)).when((F.col("r") < 1e4) & (wide >= 0) & (wide < 1), F.degrees(F.asin(wide)) * 1.001).otherwise(F.lit(360.0))
+    reached = lambda c, by, width: F.explode(F.sequence(cell(c - by, width, F.col("lv")), cell(c + by, width, F.col("lv"))))
+    x = a.select(*key, "r", "lv", reached(lat, up, dy).alias("cy"), side.alias("side")).select(*key, "r", "lv", "cy", reached(lon, F.col("side"), dx).alias("cx"))
+    x = x.join(b, at).withColumn("km", d).where((F.col("km") <= F.col("r")) & (F.col("km") <= km))
+    return x.groupBy("target_id").agg(F.min_by(F.struct("d.donor_id", "d.value", "km"), F.struct("km", "d.donor_id")).alias("m")).select("target_id", "m.*")
 
 
 def tiered_fill(rows: DataFrame, pools: list[list[str]], km: float) -> DataFrame:
     """id, value, km, tier: rows without a value take that of the nearest row that has one, from the first pool that holds any such row within ``km``.
 
     ``rows``: id, lat, lon, value and the pools' columns. Pools are lists of columns that must agree, tried in order ([city, kind], [city],
-    [kind], []). Fills never serve as donors. Rows that find none are left out.
+    [kind], []); a later one only takes up the rows that the earlier left. Fills never serve as donors. Rows that find none are left out.
+    Runs jobs.
     """
+    from plinth.session import written
+
     have, need = rows.where("value is not null"), rows.where("value is null and lat is not null and lon is not null")
     out = None
     for i, on in enumerate(pools):
-        hit = nearest_within(need, have, km, on).select(F.col("target_id").alias("id"), "value", "km", F.lit(i).alias("tier"))
+        hit = written(nearest_within(need, have, km, on).select(F.col("target_id").alias("id"), "value", "km", F.lit(i).alias("tier")), "tier")
         out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("id").agg(F.min_by(F.struct("value", "km", "tier"), "tier").alias("m")).select("id", "m.*")
+        need = need.join(hit.select("id"), "id", "left_anti")
+    return out
 
 
 def nearest_any(rows: DataFrame, km: float = 5.0, farthest: float = 320.0, salts: int = 64) -> DataFrame:
     """id, value, km: rows without a value take that of the nearest row that has one, however far it is.
 
-    ``rows``: id, lat, lon, value. The radius of the grid search doubles from ``km`` to ``farthest`` and each round takes up only the rows that
-    are still without a donor; rows with no donor within ``farthest`` are the few that lie apart, and these, as the stated query set, meet
+    ``rows``: id, lat, lon, value. The search goes as far as ``km``, then, for the rows that are still without a donor, as far as
+    ``farthest``; rows with no donor within ``farthest`` are the few that lie apart, and these, as the stated query set, meet
     all donors in ``salts`` blocks. Rows without a position are left out. Runs jobs.
     """
     from plinth.session import written
 
     have, need = rows.where("value is not null and lat is not null and lon is not null"), rows.where("value is null and lat is not null and lon is not null")
     out = None
-    while km <= farthest and need.limit(1).count():
-        hit = written(nearest_within(need, have, km).select(F.col("target_id").alias("id"), "value", "km"), "nearest")
+    for reach in (km, farthest):
+        if not need.limit(1).count():
+            break
+        hit = written(nearest_within(need, have, reach).select(F.col("target_id").alias("id"), "value", "km"), "nearest")
         out = hit if out is None else out.unionByName(hit)
-        need, km = written(need.join(hit.select("id"), "id", "left_anti"), "apart"), km * 2
+        need = written(need.join(hit.select("id"), "id", "left_anti"), "apart")
     a = need.select("id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("block"))
     b = have.select(F.col("id").alias("donor"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("block"))
     x = a.join(b, "block").withColumn("km", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))

@@ -92,6 +92,52 @@ def test_nearest(spark, rows):
     assert x == pytest.approx(20037508.34, abs=1) and abs(y) < 1e-6
 
 
+def _pairs_met(df):
+    """The most rows that any join of the last plan of ``df`` gave out."""
+    df.collect()
+    plan, most, stack = df._jdf.queryExecution().executedPlan(), 0, []
+    stack.append(plan)
+    while stack:
+        p = stack.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            stack.append(p.plan())
+        elif "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        stack.extend(p.children().apply(i) for i in range(p.children().size()))
+    return most
+
+
+def test_nearest_in_a_crowd(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    at = lambda n, s: [(i, 28.0 + r.gauss(0, s), 77.0 + r.gauss(0, s)) for i in range(n)]
+    targets = [*at(300, 0.004), (300, 28.05, 77.05), (301, 28.0, 78.0), (302, 0.0, 0.0), (303, 77.0, 28.1), (304, 28459312.0, 77026314.0), (305, None, 77.0), (306, float("nan"), 77.0)]
+    donors = [*at(1500, 0.004), (1500, 28.03, 77.06), *[(k, 0.0, 0.0) for k in range(1501, 1801)], (1801, 77.0, 28.25), (1802, 28459312.0, 77026314.0), (1803, 77.0, None)]
+    a = spark.createDataFrame(targets, "id int, lat double, lon double")
+    b = spark.createDataFrame([(*d, float(d[0])) for d in donors], "id int, lat double, lon double, value double")
+
+    def km(p, q):
+        p1, p2 = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {}
+    for t in targets[:304]:
+        best = min((km(t, d), d[0]) for d in donors[:1802])
+        if best[0] <= 5.0:
+            want[t[0]] = best[1]
+    want[304] = 1802
+    got = nearest.nearest_within(a, b, 5.0)
+    assert {x.target_id: x.donor_id for x in got.collect()} == want
+    assert want[302] == 1501 and want[303] == 1801 and 301 not in want
+    assert _pairs_met(nearest.nearest_within(a, b, 5.0)) < 20_000  # of 300 x 1500 within reach
+
+
 def _market(spark, rows):
     base = dict(segment="apt", city="C", canonical_locality="L", is_active_event=1, is_new_event=0, is_updated_event=0, price=100.0, price_per_sqft=10.0, is_ready=1, is_under_construction=0, agent_type="x", developer_id="nan", days_on_market=None, ingested_at=None)
     schema = "property_id string, scrape_date timestamp_ntz, segment string, city string, canonical_locality string, is_active_event int, is_new_event int, is_updated_event int, price double, price_per_sqft double, is_ready int, is_under_construction int, agent_type string, developer_id string, days_on_market double, ingested_at timestamp_ntz"
