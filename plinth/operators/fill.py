@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.session import small_side, written
+from plinth.session import written
 
 #: The compass directions, in the order used for distributions.
 COMPASS = ["North", "North-East", "East", "South-East", "South", "South-West", "West", "North-West"]
@@ -49,8 +49,8 @@ def propagate_labels(
 
     ``hubs``: name -> (columns, weight); a hub with a null among its columns does not link its row. The state that rounds work on is the
     table of hubs: sums of observed values are made once, and a round reads only the rows with something missing, looks up their hubs'
-    averages (by broadcast while the table's files hold at most ``small`` bytes, else by a join salted ``salts`` times, so that a hub with a
-    third of all rows is no hot key) and adds up their estimates for each hub, partly before the shuffle. Duplicate rows count as often as they
+    averages (each kind of hub for itself: by broadcast while its averages take at most ``small`` bytes, else by a join salted ``salts``
+    times, so that a hub with a third of all rows is no hot key) and adds up their estimates for each hub, partly before the shuffle. Duplicate rows count as often as they
     occur, and a null ``key`` is kept. Fields that are null everywhere come out with filled true and null values. Empty input
     gives an empty result. The names beginning with ``__`` are reserved. Runs jobs.
     """
@@ -76,22 +76,24 @@ def propagate_labels(
         x = x.select(*[v.alias(f"__x{k}") for k, v in enumerate(value)], F.explode(F.filter(F.array(*[link(i) for i in range(len(names))]), lambda z: z.isNotNull())).alias("__l"))
         serves = lambda f: F.col("__l.i").isin(*[i for i in range(len(names)) if (f.name, i) in weight])
         first = {f.name: k for k, (f, _) in reversed(list(enumerate(slots)))}
-        return x.groupBy(F.col("__l.hub").alias("hub")).agg(
+        return x.groupBy(F.col("__l.hub").alias("hub"), F.col("__l.i").alias("i")).agg(
             *[F.coalesce(F.sum(F.when(serves(f), F.col(f"__x{k}"))), F.lit(0.0)).alias(f"{s}{k}") for k, (f, _) in enumerate(slots)],
             *[F.count(F.when(serves(f), F.col(f"__x{first[f.name]}"))).alias(f"{n}_{f.name}") for f in fields],
         )
 
     def estimated(x: DataFrame, state: DataFrame) -> DataFrame:
         """Rows with ``__e<k>``, the weighted average of their hubs in each slot."""
-        means = state.select("hub", *[f"m{k}" for k in range(len(slots))])
-        near = small_side(state, small)
-        if near is None:
+        if len(near) < len(names):
             x = x.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-            means = means.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        for i in range(len(names)):
-            m = means.select(F.col("hub").alias(f"__hub{i}"), *[F.col(f"m{k}").alias(f"__m{i}_{k}") for k, (f, _) in enumerate(slots) if (f.name, i) in weight], *([F.col("__at").alias(f"__at{i}")] if near is None else []))
+        for i in sorted(range(len(names)), key=lambda i: i in near):  # the joins that shuffle come first, while rows are narrow
+            mine = [k for k, (f, _) in enumerate(slots) if (f.name, i) in weight]
+            m = state.where(F.col("i") == i).select(F.col("hub").alias(f"__hub{i}"), *[F.col(f"m{k}").alias(f"__m{i}_{k}") for k in mine])
             same = F.col(f"__h{i}") == F.col(f"__hub{i}")
-            x = x.join(m if near is None else F.broadcast(m), same & (F.col("__salt") == F.col(f"__at{i}")) if near is None else same, "left")
+            if i in near:
+                x = x.join(F.broadcast(m), same, "left")
+            else:
+                m = m.withColumn(f"__at{i}", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                x = x.join(m, same & (F.col("__salt") == F.col(f"__at{i}")), "left")
         out = {}
         for k, (f, _) in enumerate(slots):
             mine = [(F.col(f"__m{i}_{k}"), w) for (name, i), w in weight.items() if name == f.name]
@@ -101,7 +103,9 @@ def propagate_labels(
 
     base = written(totals(rows, [seen(f, x) for f, x in slots], "s", "n"), "fill-observed")
     mean = lambda s, n: F.when(n > 0, s / n)
-    state = written(base.select("hub", *[mean(F.col(f"s{k}"), F.col(f"n_{f.name}")).alias(f"m{k}") for k, (f, _) in enumerate(slots)]), "fill-hubs")
+    #: the kinds of hubs whose averages are broadcast; a hub takes a row of 8 bytes for each slot it serves and for its key, sizes and place in the map
+    near = set(range(len(names))) - {i for i, n in base.groupBy("i").count().collect() if n * 8 * (5 + sum((f.name, i) in weight for f, _ in slots)) > small}
+    state = written(base.select("hub", "i", *[mean(F.col(f"s{k}"), F.col(f"n_{f.name}")).alias(f"m{k}") for k, (f, _) in enumerate(slots)]), "fill-hubs")
     any_gone = F.lit(False)
     for f in fields:
         any_gone = any_gone | gone(f)
@@ -110,13 +114,13 @@ def propagate_labels(
         done += 1
         e = estimated(need, state)
         part = totals(e, [F.when(gone(f), F.col(f"__e{k}")) for k, (f, _) in enumerate(slots)], "t", "c")
-        old = state.select("hub", *[F.col(f"m{k}").alias(f"o{k}") for k in range(len(slots))])
-        new = base.join(part, "hub", "left").join(old, "hub")
+        old = state.select("hub", "i", *[F.col(f"m{k}").alias(f"o{k}") for k in range(len(slots))])
+        new = base.join(part, ["hub", "i"], "left").join(old, ["hub", "i"])
         now = {k: mean(F.col(f"s{k}") + F.coalesce(f"t{k}", F.lit(0.0)), F.col(f"n_{f.name}") + F.coalesce(f"c_{f.name}", F.lit(0))) for k, (f, _) in enumerate(slots)}
         gaps = [F.when(F.col(f"m{k}").isNull() | F.col(f"o{k}").isNull(), 0.0).otherwise(F.abs(F.col(f"m{k}") - F.col(f"o{k}")) / F.greatest(F.abs(F.col(f"o{k}")), F.lit(0.01))) for k in now]
         waiting = [F.coalesce(f"c_{f.name}", F.lit(0)) for f, _ in slots]  # the missing values that take a hub's average
         reached = sum((F.when(F.col(f"o{k}").isNull() & F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in now), F.lit(0))
-        state = written(new.withColumns({f"m{k}": v for k, v in now.items()}).select("hub", *[f"m{k}" for k in now], sum((g * n for g, n in zip(gaps, waiting, strict=True)), F.lit(0.0)).alias("moved"), sum(waiting, F.lit(0)).alias("waiting"), reached.alias("reached")), "fill-hubs")
+        state = written(new.withColumns({f"m{k}": v for k, v in now.items()}).select("hub", "i", *[f"m{k}" for k in now], sum((g * n for g, n in zip(gaps, waiting, strict=True)), F.lit(0.0)).alias("moved"), sum(waiting, F.lit(0)).alias("waiting"), reached.alias("reached")), "fill-hubs")
         moved, held, first_time = state.agg(F.sum("moved"), F.sum("waiting"), F.sum("reached")).first()
         if not first_time and (moved or 0.0) <= tolerance * (held or 0):
             break

@@ -45,3 +45,29 @@ def test_empty_repeats_and_nothing_known(spark):
     assert got.count() == 8 and got.where("filled and value_num is null and value_cat is null").count() >= 6
     assert fill_property_master(x.where("false")).count() == 0
     assert set(COMPASS) and got.columns == ["property_id", "field_name", "value_num", "value_cat", "filled"]
+
+
+def test_each_kind_of_hub_is_sent_by_its_own_size(spark):
+    x = spark.range(4000).select("id", (F.col("id") % 3).alias("few"), (F.col("id") % 1500).alias("many"), F.when(F.col("id") % 4 > 0, (F.col("id") % 3).cast("double")).alias("v"))
+    f = [Field("v", F.col("v"), F.lit(True))]
+    hubs = {"few": ([F.col("few")], 1.0), "many": ([F.col("many")], 1.0)}
+    results = {}
+    for small in (0, 10_000, 4 << 20):  # none broadcast, only the few, both
+        got = propagate_labels(x, "id", f, hubs, small=small)
+        joins = got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+        results[small] = joins, {r.id: r.value_num for r in got.collect()}
+    assert [results[s][0] for s in results] == [0, 1, 2]
+    assert all(results[s][1] == pytest.approx(results[0][1]) for s in results) and len(results[0][1]) == 4000
+    met = propagate_labels(x, "id", f, hubs)
+    met.collect()
+    sides, stack = [], [met._jdf.queryExecution().executedPlan()]
+    while stack:
+        p = stack.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            stack.append(p.plan())
+        elif p.nodeName() == "BroadcastExchange":
+            sides.append(p.metrics().apply("numOutputRows").value())
+        stack.extend(p.children().apply(i) for i in range(p.children().size()))
+    assert sorted(sides) == [3, 1500]  # no broadcast holds the hubs of another kind
